@@ -29,27 +29,18 @@ COUNTDOWN = (r"(?i)^(in\s+(a|an|\d+)\s+(day|week|month|hour)s?|tomorrow|today|to
              r"closing\s+soon|due\s+soon|asap|open\s+now|ongoing|tbd|n/?a)\.?$")
 
 
-def _ymd(year: Column, month: Column, day: Column) -> Column:
-    return F.concat_ws("-", year, month, day).try_cast("date")
-
-
 def _month_first(found: Column, sep: str) -> Column:
-    parts = F.split(found, sep)
-    return _ymd(F.get(parts, 2), F.get(parts, 0), F.get(parts, 1))
+    return F.regexp_replace(found, rf"^(\d+){sep}(\d+){sep}(\d+)$", "$3-$1-$2").try_cast("date")
 
 
 def _short_year(found: Column) -> Column:
-    parts = F.split(found, "/")
-    year = F.get(parts, 2)
-    century = F.when(year >= "69", F.lit("19")).otherwise(F.lit("20"))
-    return _ymd(F.concat(century, year), F.get(parts, 0), F.get(parts, 1))
+    late = F.regexp_replace(found, r"^(\d+)/(\d+)/(69|[7-9]\d)$", "19$3-$1-$2")
+    return F.regexp_replace(late, r"^(\d+)/(\d+)/(\d\d)$", "20$3-$1-$2").try_cast("date")
 
 
 def _worded(found: Column) -> Column:
-    months = F.create_map(*[F.lit(x) for kv in vocab.MONTH_NUMBERS.items() for x in kv])
-    month = F.try_element_at(months, F.lower(F.substring(found, 1, 3)))
-    return _ymd(F.substring(found, -4, 4), month,
-                F.regexp_extract(found, r"(\d{1,2}),?\D+\d{4}$", 1))
+    short = F.regexp_replace(found, r"^([A-Za-z]{3})[A-Za-z]*\.?\s+(\d{1,2}),?\s+(\d{4})$", "$1 $2 $3")
+    return F.try_to_timestamp(F.initcap(short), F.lit("MMM d yyyy")).cast("date")
 
 
 def _whole(t: Column) -> Column:
@@ -87,13 +78,13 @@ def parse_date_strict(c: Column | str) -> Column:
     )
 
 
-def deadline_moment(c: Column | str) -> Column:
+def deadline_moment(c: Column | str, date: Column | None = None) -> Column:
     """The UTC instant of a deadline that states a clock time; null otherwise.
 
     A missing or unknown zone is read as the latest one, so nothing closes early.
     """
     t = collapse(c)
-    date = parse_deadline(c)
+    date = parse_deadline(c) if date is None else date
     hour = F.regexp_extract(t, CLOCK, 1).try_cast("int")
     minute = F.regexp_extract(t, CLOCK, 2).try_cast("int")
     half = F.lower(F.regexp_extract(t, CLOCK, 3))
@@ -110,10 +101,14 @@ def deadline_moment(c: Column | str) -> Column:
     return F.when((hour <= 12) & (minute <= 59), instant)
 
 
-def deadline_status(status: Column | str, deadline: Column | str, as_of: Column) -> Column:
-    """Status, forced to Closed once the stated deadline or a bare past year is over."""
-    date = parse_deadline(deadline)
-    moment = deadline_moment(deadline)
+def deadline_status(status: Column | str, deadline: Column | str, as_of: Column, *,
+                    date: Column | None = None, moment: Column | None = None) -> Column:
+    """Status, forced to Closed once the stated deadline or a bare past year is over.
+
+    ``date`` and ``moment`` are the parsed deadline where a job already has them as columns.
+    """
+    date = parse_deadline(deadline) if date is None else date
+    moment = deadline_moment(deadline, date) if moment is None else moment
     year = F.regexp_extract(text(deadline), BARE_YEAR, 1).try_cast("int")
     over = (F.when(date.isNotNull() & moment.isNotNull(), moment < as_of)
             .when(date.isNotNull(), date < as_of.cast("date"))
@@ -138,12 +133,13 @@ def clean_deadline(c: Column | str) -> Column:
 
 
 def age_out_status(status: Column | str, deadline: Column | str, published: Column | str,
-                   first_seen: Column | str, as_of: Column,
-                   max_days: int = vocab.UNDATED_MAX_DAYS) -> Column:
+                   first_seen: Column | str, as_of: Column, max_days: int = vocab.UNDATED_MAX_DAYS, *,
+                   date: Column | None = None) -> Column:
     """Closed when an open, undated bid is too old by its own date or by first sight."""
     today = as_of.cast("date")
+    date = parse_deadline(deadline) if date is None else date
     since = F.coalesce(parse_deadline(published), col(first_seen))
-    old = is_open(status) & parse_deadline(deadline).isNull() & (F.datediff(today, since) >= max_days)
+    old = is_open(status) & date.isNull() & (F.datediff(today, since) >= max_days)
     return F.when(F.coalesce(old, F.lit(False)), F.lit("Closed")).otherwise(text(status))
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE sizes shuffle partitions, turns a join into a broadcast join only once the
 # side has been measured below the threshold, and splits skewed join partitions.
@@ -44,3 +45,15 @@ def checkpoint_root(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="noticegrid-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and go on from the written copy.
+
+    For results that several later steps read: they are computed once, a lost executor costs
+    nothing that was written, and plans stay small.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/stage/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -24,7 +24,7 @@ def test_parse_deadline(spark):
         "2026-1-5": dt.date(2026, 1, 5), "2026-13-45 or 12/02/2026": dt.date(2026, 12, 2),
         "December 1, 2026": dt.date(2026, 12, 1),
         "Posted 3/4/2026, closes 2026-05-06": dt.date(2026, 5, 6),
-        "FY2024": None, "Due 2025": None, "2025 cycle": None, "": None, "02/30/2026": None,
+        "FY2024": None, "Due 2025": None, "2025 cycle": None, "": None, "02/30/2026": None, "February 30, 2026": None,
     }
     assert run(spark, list(cases), dates.parse_deadline) == list(cases.values())
 
