@@ -19,7 +19,7 @@ def haversine_mi(lat1, lon1, lat2, lon2) -> Column:
     a = (F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2.0))
          + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2))
          * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0)))
-    return 2 * vocab.EARTH_RADIUS_MI * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return 2 * vocab.EARTH_RADIUS_MI * F.asin(F.sqrt(F.when(a > 1.0, F.lit(1.0)).otherwise(a)))
 
 
 def destination_point(lat, lon, bearing_deg, distance_mi) -> Column:

@@ -176,13 +176,13 @@ def _(v):
 # ---- scan ---------------------------------------------------------------------------
 _NICHE = "('sidewalk', 'ada ramp', 'ada', 'curb', 'gutter', 'concrete', 'flatwork')"
 _CLOSED = "regexp_matches(lower({0}), 'closed|close date|awarded|award to|cancel|expired|withdrawn|archived|no longer|not accepting|complete|planned|upcoming|anticipated')"
-_AGED = f"""SELECT p.*, CASE WHEN NOT {_CLOSED.format('st1')} AND due_date IS NULL AND since <= DATE '1998-06-02' THEN TRUE ELSE FALSE END AS aged_out FROM (
-    SELECT p.*, j.status_now AS st1, CASE WHEN p.published <> '' THEN CAST(p.published AS DATE) WHEN p.bid_id % 3 = 0 AND p.bid_id % 20 > 6 THEN DATE '1998-05-01' END AS since FROM placed p JOIN judged j USING (bid_id) WHERE drop_reason IS NULL) p"""
+_AGED = f"""SELECT p.*, CASE WHEN NOT {_CLOSED.format('st1')} AND due_date IS NULL AND since <= DATE '2006-06-02' THEN TRUE ELSE FALSE END AS aged_out FROM (
+    SELECT p.*, j.status_now AS st1, CASE WHEN p.published <> '' THEN CAST(p.published AS DATE) WHEN p.bid_id % 3 = 0 AND p.bid_id % 20 > 6 THEN DATE '2006-05-01' END AS since FROM placed p JOIN judged j USING (bid_id) WHERE drop_reason IS NULL) p"""
 _STATUS2 = "CASE WHEN aged_out THEN 'Closed' ELSE st1 END"
-_SCORED = f"""SELECT *, CASE WHEN {_CLOSED.format('st3')} THEN -100 WHEN due_date IS NULL THEN 0 WHEN due_date < DATE '1998-08-01' THEN -50 ELSE greatest(0, 30 - least(date_diff('day', DATE '1998-08-01', due_date), 30)) END
+_SCORED = f"""SELECT *, CASE WHEN {_CLOSED.format('st3')} THEN -100 WHEN due_date IS NULL THEN 0 WHEN due_date < DATE '2006-08-01' THEN -50 ELSE greatest(0, 30 - least(date_diff('day', DATE '2006-08-01', due_date), 30)) END
     + 2 * (SELECT count(*) FROM (VALUES ('sidewalk'), ('ada ramp'), ('ada'), ('curb'), ('gutter'), ('concrete'), ('flatwork')) w(k) WHERE contains(lower(title || ' ' || scope), k))
     + CASE WHEN email <> '' OR phone <> '' THEN 3 ELSE 0 END + CASE WHEN value <> '' THEN 1 ELSE 0 END AS score
-  FROM (SELECT *, CASE WHEN trim(deadline) = '' AND NOT {_CLOSED.format('st2')} AND contains(scope, '1996') THEN 'Closed' ELSE st2 END AS st3 FROM (SELECT *, {_STATUS2} AS st2 FROM aged))"""
+  FROM (SELECT *, CASE WHEN trim(deadline) = '' AND NOT {_CLOSED.format('st2')} AND contains(scope, '2004') THEN 'Closed' ELSE st2 END AS st3 FROM (SELECT *, {_STATUS2} AS st2 FROM aged))"""
 _HIT = f"""SELECT s.search_id, s.state AS centre_state, b.*, CASE WHEN b.place_state = s.state THEN b.place_city ELSE b.place_city || ', ' || b.place_state END AS label,
     {V.sql_distance('s.lat', 's.lon', 'b.lat', 'b.lon')} AS d FROM searches s JOIN scored b ON {V.sql_distance('s.lat', 's.lon', 'b.lat', 'b.lon')} <= s.radius"""
 _KEPT = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY search_id, label, CASE WHEN title = '' THEN CAST(bid_id AS VARCHAR) ELSE '' END, lower(title), lower(trim(deadline)) ORDER BY seq) AS dup FROM hit) WHERE dup = 1"""
@@ -194,7 +194,7 @@ def prepared(v, **kw):
     # bids that state their town plainly were first seen on one day
     seen = v.bids().where("bid_id % 3 = 0 and bid_id % 20 > 6").select(
         keys.bid_signature(F.concat_ws(", ", "town", "town_state"), "title", "deadline", "url").alias("sig"),
-        F.lit("1998-05-01").cast("date").alias("seen_date"))
+        F.lit("2006-05-01").cast("date").alias("seen_date"))
     return scan.prepare(v.bids(), v.gazetteer(), v.registry(), V.as_of(), first_seen=seen, **kw)
 
 
@@ -253,7 +253,7 @@ def _(v):
 
 
 @register("b2_upcoming", V.sql(_SCAN_VIEWS, """SELECT search_id, label, bid_id, CASE WHEN status_now = 'Closed' THEN 'Closed' ELSE 'Planned' END AS status FROM (
-    SELECT k.search_id, k.label, k.bid_id, j.status_now FROM kept k JOIN (SELECT bid_id, CASE WHEN due_date IS NOT NULL AND CASE WHEN contains(deadline, '2:00 PM CST') THEN CAST(due_date AS TIMESTAMP) + INTERVAL 20 HOUR < TIMESTAMP '1998-08-01 12:00:00' ELSE due_date < DATE '1998-08-01' END THEN 'Closed' END AS status_now FROM bids) j USING (bid_id))""", **_SCAN))
+    SELECT k.search_id, k.label, k.bid_id, j.status_now FROM kept k JOIN (SELECT bid_id, CASE WHEN due_date IS NOT NULL AND CASE WHEN contains(deadline, '2:00 PM CST') THEN CAST(due_date AS TIMESTAMP) + INTERVAL 20 HOUR < TIMESTAMP '2006-08-01 12:00:00' ELSE due_date < DATE '2006-08-01' END THEN 'Closed' END AS status_now FROM bids) j USING (bid_id))""", **_SCAN))
 def _(v):
     rows, _ = scan.upcoming(centres(v), v.bids(), v.gazetteer(), v.registry(), V.as_of())
     return rows.select("search_id", "label", "bid_id", "status")

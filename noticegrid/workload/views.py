@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-AS_OF = "1998-08-01 12:00:00"
+AS_OF = "2006-08-01 12:00:00"
 EVENTS_AS_OF = "2024-02-01 00:00:00"
 STATES = ["AL", "AR", "AZ", "CA", "CO", "FL", "GA", "IA", "IL", "IN", "KS", "KY", "LA", "MD", "MI", "MN", "MO",
           "NC", "NE", "NM", "OH", "OK", "PA", "TN", "TX"]
@@ -116,7 +116,7 @@ class Views:
         joined = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(
             self.table("part").select("p_partkey", "p_name", "p_type"), F.col("o_custkey") == F.col("p_partkey"))
         joined = joined.withColumns({"_name": town_name(F.col("c_custkey")), "_state": pick(STATES, F.col("c_nationkey")),
-                                     "_due": F.date_trunc("quarter", "o_orderdate")})
+                                     "_due": F.add_months(F.date_trunc("quarter", "o_orderdate"), 96)})
         name, state, d = F.col("_name"), F.col("_state"), F.col("_due")
         due = (F.when(k % 11 == 0, F.lit("")).when(k % 13 == 0, F.concat(F.lit("FY"), F.date_format(d, "yyyy")))
                .when(k % 17 == 0, F.lit("in 8 days"))
@@ -136,7 +136,7 @@ class Views:
             k.alias("bid_id"), k.alias("seq"),
             F.trim(F.concat(pick(TRADES, k % 12), F.when(k % 12 == 10, F.lit("")).otherwise(
                 F.concat(F.lit(" "), F.col("p_name"), F.lit(" "), F.lower("p_type"))))).alias("title"),
-            F.when(k % 3 == 0, F.lit("Remove and replace ADA ramp")).when(k % 3 == 1, F.lit("Plan year 1996 work"))
+            F.when(k % 3 == 0, F.lit("Remove and replace ADA ramp")).when(k % 3 == 1, F.lit("Plan year 2004 work"))
             .otherwise(F.lit("")).alias("scope"),
             F.when(F.col("o_orderstatus") == "O", F.lit("Open")).when(F.col("o_orderstatus") == "F", F.lit("Closed"))
             .otherwise(pick(["Accepting Bids", "", "Awarded to Acme", "Award"], k % 4)).alias("status"),
@@ -146,7 +146,7 @@ class Views:
             F.when(k % 3 == 0, F.concat(F.lit("$"), price.cast("string")))
             .when(k % 3 == 1, F.concat(F.lit("$"), F.floor(price / 1000).cast("string"), F.lit("k"))).otherwise(F.lit("")).alias("value"),
             F.concat(F.lit("https://"), F.lower(name), F.lit(".gov/bids/"), text_key).alias("url"), city.alias("city"),
-            F.when(k % 22 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.lit("")).alias("published"),
+            F.when(k % 22 == 0, F.date_format(F.add_months("o_orderdate", 96), "yyyy-MM-dd")).otherwise(F.lit("")).alias("published"),
             F.when(where == 6, F.lit("")).otherwise(name).alias("default_city"),
             F.when(where == 7, F.lit("")).otherwise(state).alias("default_state"), state.alias("center_state"),
             F.when(where != 8, latitude(F.col("c_custkey"))).alias("fallback_lat"),
@@ -208,7 +208,7 @@ class Views:
 
 _NAME = sql_town_name("c_custkey")
 _STATE = sql_pick(STATES, "c_nationkey")
-_D = "date_trunc('quarter', o_orderdate)"
+_D = "(date_trunc('quarter', o_orderdate) + INTERVAL 8 YEAR)"
 
 SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "towns": ((), f"SELECT {_NAME} AS city, {_STATE} AS state, {sql_lat('c_custkey')} AS lat, {sql_lon('c_custkey')} AS lon, "
@@ -224,7 +224,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         {sql_pick(STATES, 'CASE WHEN c_custkey % 8 = 1 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END')} AS state FROM customer"""),
     "bids": ((), f"""SELECT o_orderkey AS bid_id, o_orderkey AS seq,
         trim({sql_pick(TRADES, 'o_orderkey % 12')} || CASE WHEN o_orderkey % 12 = 10 THEN '' ELSE ' ' || p_name || ' ' || lower(p_type) END) AS title,
-        CASE o_orderkey % 3 WHEN 0 THEN 'Remove and replace ADA ramp' WHEN 1 THEN 'Plan year 1996 work' ELSE '' END AS scope,
+        CASE o_orderkey % 3 WHEN 0 THEN 'Remove and replace ADA ramp' WHEN 1 THEN 'Plan year 2004 work' ELSE '' END AS scope,
         CASE o_orderstatus WHEN 'O' THEN 'Open' WHEN 'F' THEN 'Closed' ELSE {sql_pick(['Accepting Bids', '', 'Awarded to Acme', 'Award'], 'o_orderkey % 4')} END AS status,
         CASE WHEN o_orderkey % 11 = 0 THEN '' WHEN o_orderkey % 13 = 0 THEN 'FY' || strftime({_D}, '%Y')
              WHEN o_orderkey % 17 = 0 THEN 'in 8 days' WHEN o_custkey % 5 = 0 THEN strftime({_D}, '%Y-%m-%d')
@@ -241,7 +241,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         CASE WHEN o_orderkey % 20 IN (0, 6) THEN '' WHEN o_orderkey % 20 = 1 THEN {_NAME} || ', ' || {_STATE}
              WHEN o_orderkey % 20 = 2 THEN 'City of ' || {_NAME} WHEN o_orderkey % 20 = 3 THEN {_NAME}[:-2]
              WHEN o_orderkey % 20 = 4 THEN {_NAME} || ' County' WHEN o_orderkey % 20 = 5 THEN 'Nowhere' ELSE {_NAME} END AS city,
-        CASE WHEN o_orderkey % 22 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS published,
+        CASE WHEN o_orderkey % 22 = 0 THEN strftime(o_orderdate + INTERVAL 8 YEAR, '%Y-%m-%d') ELSE '' END AS published,
         CASE WHEN o_orderkey % 20 = 6 THEN '' ELSE {_NAME} END AS default_city,
         CASE WHEN o_orderkey % 20 = 7 THEN '' ELSE {_STATE} END AS default_state, {_STATE} AS center_state,
         CASE WHEN o_orderkey % 20 <> 8 THEN {sql_lat('c_custkey')} END AS fallback_lat,
@@ -250,9 +250,9 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN part ON o_custkey = p_partkey"""),
     "judged": (("bids",), """SELECT *, CASE
           WHEN due_date IS NOT NULL THEN CASE
-               WHEN contains(deadline, '2:00 PM CST') THEN CASE WHEN CAST(due_date AS TIMESTAMP) + INTERVAL 20 HOUR < TIMESTAMP '1998-08-01 12:00:00' THEN 'Closed' ELSE status END
-               WHEN due_date < DATE '1998-08-01' THEN 'Closed' ELSE status END
-          WHEN starts_with(deadline, 'FY') AND CAST(substr(deadline, 3, 4) AS INTEGER) >= 2000 AND CAST(substr(deadline, 3, 4) AS INTEGER) < 1998 THEN 'Closed'
+               WHEN contains(deadline, '2:00 PM CST') THEN CASE WHEN CAST(due_date AS TIMESTAMP) + INTERVAL 20 HOUR < TIMESTAMP '2006-08-01 12:00:00' THEN 'Closed' ELSE status END
+               WHEN due_date < DATE '2006-08-01' THEN 'Closed' ELSE status END
+          WHEN starts_with(deadline, 'FY') AND CAST(substr(deadline, 3, 4) AS INTEGER) >= 2000 AND CAST(substr(deadline, 3, 4) AS INTEGER) < 2006 THEN 'Closed'
           ELSE status END AS status_now FROM bids"""),
     "fetch_log": ((), """SELECT user_id AS portal, ts, event_id AS seq, event_type <> 'error' AS ok,
         CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 0 THEN 429 ELSE 500 END ELSE 200 END AS status, event_type FROM events"""),
