@@ -159,6 +159,6 @@ def days_until(deadline: Column | str, as_of: Column) -> Column:
 
 def trial_days_left(started: Column | str, as_of: Column, days: int = vocab.TRIAL_DAYS) -> Column:
     """Days left in a trial, at least 1 while it is active and 0 after."""
-    end = F.timestamp_add("DAY", F.lit(days), col(started))
+    end = F.timestamp_add("DAY", F.lit(days), col(started).cast("timestamp"))
     left = F.floor((F.unix_micros(end) - F.unix_micros(as_of)) / F.lit(86_400_000_000)) + 1
     return F.when(as_of <= end, F.greatest(F.lit(1), left)).otherwise(F.lit(0)).cast("int")

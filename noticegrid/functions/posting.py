@@ -68,7 +68,9 @@ def contact_name(visible_text: Column | str) -> Column:
 def detail_value(visible_text: Column | str) -> Column:
     """First labelled estimate whose surroundings mention no bond, deposit or fee."""
     t = text(visible_text)
-    windowed = r"(?s)(?<=(^.{0,59}|.{60}))" + ESTIMATE + r"(?=(.{0,40}))"
+    # the cheap look-ahead keeps the look-behind away from positions that start no label
+    windowed = (r"(?s)(?=(?i:engineer|estimated|project|opinion|budget))(?<=(^.{0,59}|.{60}))" + ESTIMATE
+                + r"(?=(.{0,40}))")
     before, amount, after, whole = (
         F.regexp_extract_all(t, F.lit(windowed), F.lit(g)) for g in (1, 2, 3, 0))
     found = F.arrays_zip(before.alias("b"), whole.alias("w"), after.alias("a"), amount.alias("v"))

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from noticegrid.workload import scan_queries  # noqa: F401
+from noticegrid.workload import directory_queries, page_queries, rule_queries, scan_queries  # noqa: F401
 from noticegrid.workload.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

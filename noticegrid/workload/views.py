@@ -160,7 +160,7 @@ class Views:
     def fetch_log(self) -> DataFrame:
         """Fetch results of portals; a fifth of the events are failures."""
         return self.table("events").select(
-            F.col("user_id").alias("portal"), "ts", F.col("event_id").alias("seq"),
+            F.col("user_id").alias("portal"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
             (F.col("event_type") != "error").alias("ok"),
             F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 3 == 0, F.lit(429)).otherwise(F.lit(500)))
             .otherwise(F.lit(200)).alias("status"), F.col("event_type"))
@@ -189,6 +189,43 @@ class Views:
             F.when(k % 3 == 0, F.concat(F.lit("https://"), F.lower(name), F.lit(".gov/Bids.aspx"))).otherwise(F.lit("")).alias("bid_url"),
             F.when(k % 6 == 0, F.lit("civicplus")).otherwise(F.lit("")).alias("platform"), (k % 2).alias("file_ord"), k.alias("row_ord"))
 
+    def listing_pages(self) -> DataFrame:
+        """Listing pages of eight bids each, with a 'Read on' link and labelled values per posting."""
+        k, key = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+        title = F.concat(pick(TRADES, k % 12), F.lit(" job "), key)
+        status = F.when(F.col("o_orderstatus") == "O", F.lit("Open")).when(F.col("o_orderstatus") == "F", F.lit("Closed")).otherwise(F.lit("Awarded"))
+        link = F.concat(F.lit('<a href="bids.aspx?bidID='), key, F.lit('">'))
+        post = F.concat(
+            F.lit("<div><span>"), link, title, F.lit("</a></span><br><span><b>Bid No.</b> 0"), key,
+            F.lit("</span><p>Summary of the work &amp; more ... ["), link, F.lit("Read on</a>]</p><span>Status:</span><br><span>Closes:</span> <span>"),
+            status, F.lit("</span><br><span>"),
+            F.when(k % 6 != 0, F.date_format(F.add_months("o_orderdate", 96), "M/d/yyyy")).otherwise(F.lit("TBA")), F.lit("</span></div>\n"))
+        page = F.floor(k / 8)
+        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), post.alias("p")))), lambda x: x["p"]), "")
+        return self.table("orders").groupBy(page.alias("page_id")).agg(body.alias("_b")).select(
+            "page_id", F.concat(F.lit("https://t"), F.col("page_id").cast("string"), F.lit(".gov/Bids.aspx")).alias("url"),
+            F.concat(F.lit("<html><body><h1>Bid Postings</h1>"), F.col("_b"), F.lit("</body></html>")).alias("html"))
+
+    def detail_pages(self) -> DataFrame:
+        """One posting page per bid; which fields it states follows from the key."""
+        k, key = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+        day = F.date_format(F.add_months("o_orderdate", 96), "M/d/yyyy")
+        part = lambda every, rest, c: F.when(k % every == rest, c).otherwise(F.lit(""))
+        html = F.concat(
+            F.lit("<html><title>Job</title><p>Description: Replace and repair the public way along Main Street, phase "), key, F.lit("</p><p>"),
+            part(2, 0, F.lit("Contact: Marla Whitfield Email: ")), part(2, 1, F.lit("Contact: ")),
+            part(3, 0, F.concat(F.lit("clerk"), key, F.lit("@town.gov"))), F.lit(" webmaster@town.gov</p>"),
+            part(5, 0, F.concat(F.lit("<p>Phone 417.864."), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("</p>"))),
+            part(4, 1, F.concat(F.lit("<p>Closing Date/Time:&nbsp;"), day, F.lit(" 2:00 PM</p>"))),
+            part(7, 2, F.concat(F.lit("<p>Engineer&#39;s estimate: $"), F.floor("o_totalprice").cast("bigint").cast("string"), F.lit("</p>"))),
+            part(3, 1, F.concat(F.lit("<p>Publication Date: "), day, F.lit("</p>"))),
+            part(3, 2, F.concat(F.lit("<p>Bid Number: A-"), key, F.lit(" </p>"))),
+            part(6, 0, F.lit("<p>A mandatory pre-bid meeting will be held.</p>")), part(6, 1, F.lit("<p>Pre-bid conference at town hall.</p>")),
+            part(9, 4, F.lit("<p>Addendum 1 issued.</p>")),
+            part(4, 0, F.concat(F.lit('<a href="/DocumentCenter/View/'), key, F.lit('">plans</a><a href="plan.pdf">p</a><a href="plan.pdf">p</a>'))),
+            F.lit("</html>"))
+        return self.table("orders").select(k.alias("bid_id"), F.concat(F.lit("https://d.gov/bids/"), key).alias("url"), html.alias("html"))
+
     def leads(self) -> DataFrame:
         """Permits as leads; the trade follows the order priority."""
         k = F.col("o_orderkey")
