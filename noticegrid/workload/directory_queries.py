@@ -13,7 +13,12 @@ from noticegrid.sources import readers, sinks
 from noticegrid.workload import views as V
 from noticegrid.workload.registry import register
 
-TODAY = F.lit("2026-08-01").cast("date")
+
+
+def today():
+    return F.lit("2026-08-01").cast("date")
+
+
 _KEY = "lower(city) || '|' || state"
 
 
@@ -164,7 +169,7 @@ def _(v):
     tier = lambda cond, n, tail: p.where(cond).withColumns({"tier": F.lit(n), "url": F.concat("url", F.lit(tail))})
     tiers = p.withColumn("tier", F.lit(3)).unionByName(tier("length(city_key) % 2 = 0", 2, "?n")).unionByName(
         tier("fail_count % 3 = 1", 1, "?h")).unionByName(tier("fail_count = 2", 0, "?s"))
-    return D.seed_directory(tiers, TODAY).select("city_key", "url", "source", "fail_count")
+    return D.seed_directory(tiers, today()).select("city_key", "url", "source", "fail_count")
 
 
 @register("j4_learn_portals", V.sql("portals crawl", f"""SELECT city_key, url, 'learned' AS source FROM (SELECT DISTINCT {_KEY} AS city_key, CASE WHEN row_ord % 5 = 4 THEN 'https://sam.gov/' || row_ord ELSE bid_url END AS url FROM crawl WHERE bid_url <> '')
@@ -174,7 +179,7 @@ def _(v):
                                                     F.when(F.col("row_ord") % 5 == 4, F.concat(F.lit("https://sam.gov/"), F.col("row_ord").cast("string"))).otherwise(F.col("bid_url")).alias("url"),
                                                     F.col("row_ord").alias("seq"))
     twice = found.unionByName(found.withColumn("seq", F.col("seq") + 1))
-    return D.learn_portals(v.portals().where("fail_count > 1"), twice, TODAY).select("city_key", "url", "source")
+    return D.learn_portals(v.portals().where("fail_count > 1"), twice, today()).select("city_key", "url", "source")
 
 
 
