@@ -239,7 +239,7 @@ def _(v):
 
 
 @register("a18_bonus_days", V.sql("", """SELECT g.email, CAST(sum(days) AS INTEGER) AS bonus_days, CAST(greatest(coalesce(any_value(p.expires), DATE '2024-02-01'), DATE '2024-02-01') + CAST(sum(days) AS INTEGER) AS DATE) AS expires FROM (
-    SELECT unnest([referrer, referred]) AS email, unnest([30, 14]) AS days FROM (SELECT * FROM (SELECT ts, seq, email AS referred, 'user' || ((user_id * 7 + 3) % 40) || '@x.com' AS referrer FROM bill WHERE event_type = 'signup' AND user_id % 4 <> 0) WHERE referrer <> referred
+    SELECT unnest([referrer, referred]) AS email, unnest([30, 14]) AS days FROM (SELECT * FROM (SELECT ts, seq, email AS referred, 'user' || ((user_id * 7 + 3) % 40) || '@x.com' AS referrer FROM bill WHERE event_type = 'signup' AND user_id % 4 <> 0) WHERE referrer <> referred AND referrer IN (SELECT email FROM bill)
       QUALIFY row_number() OVER (PARTITION BY referred ORDER BY ts, seq) = 1)) g LEFT JOIN (SELECT email, arg_max(expires, issued_at) AS expires FROM plans GROUP BY email) p USING (email) GROUP BY g.email""", **_PL))
 def _(v):
     b = billing(v)

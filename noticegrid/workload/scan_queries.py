@@ -253,7 +253,7 @@ def _(v):
 
 
 @register("b2_upcoming", V.sql(_SCAN_VIEWS, """SELECT search_id, label, bid_id, CASE WHEN status_now = 'Closed' THEN 'Closed' ELSE 'Planned' END AS status FROM (
-    SELECT k.search_id, k.label, k.bid_id, j.status_now FROM kept k JOIN (SELECT bid_id, CASE WHEN due_date IS NOT NULL AND CASE WHEN contains(deadline, '2:00 PM CST') THEN CAST(due_date AS TIMESTAMP) + INTERVAL 20 HOUR < TIMESTAMP '2006-08-01 12:00:00' ELSE due_date < DATE '2006-08-01' END THEN 'Closed' END AS status_now FROM bids) j USING (bid_id))""", **_SCAN))
+    SELECT k.search_id, k.label, k.bid_id, j.status_now FROM kept k JOIN (SELECT bid_id, CASE WHEN due_date IS NOT NULL AND CASE WHEN contains(deadline, '2:00 PM CST') THEN CAST(due_date AS TIMESTAMP) + INTERVAL 20 HOUR < TIMESTAMP '2006-08-01 12:00:00' ELSE due_date < DATE '2006-08-01' END THEN 'Closed' WHEN starts_with(deadline, 'FY') AND CAST(substr(deadline, 3, 4) AS INTEGER) < 2006 THEN 'Closed' END AS status_now FROM bids) j USING (bid_id))""", **_SCAN))
 def _(v):
     rows, _ = scan.upcoming(centres(v), v.bids(), v.gazetteer(), v.registry(), V.as_of())
     return rows.select("search_id", "label", "bid_id", "status")

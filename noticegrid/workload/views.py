@@ -69,8 +69,8 @@ def sql_lon(key: str) -> str:
 
 
 def sql_distance(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    return (f"(2 * 3958.8 * asin(sqrt(least(1.0, pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * "
-            f"cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))))")
+    return (f"(2 * 3958.8 * asin(sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * "
+            f"cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))))")
 
 
 class Views:
