@@ -10,6 +10,7 @@ from noticegrid.functions import dates, relevance
 from noticegrid.functions.text import text
 from noticegrid.operators.common import subtract_keys, tally, top_k
 from noticegrid.operators.directory import fetch_runs
+from noticegrid.session import stage
 
 
 def failure_streaks(log: DataFrame, keys: list[str], trip: int) -> DataFrame:
@@ -93,6 +94,7 @@ def feed_audit(postings: DataFrame, link_status: DataFrame, as_of: Column, links
     judged = postings.withColumn("niche", relevance.looks_relevant("title", "scope")).withColumn(
         "due", dates.parse_deadline("deadline"))
     judged = judged.withColumn("shown", F.col("niche") & relevance.is_open(status))
+    judged = stage(judged.select("portal", "seq", "url", "status", "niche", "due", "shown"), "audited")
     counts = judged.groupBy("portal").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("niche").alias("niche_rows"), F.count_if("shown").alias("shown_open"),
         F.count_if(status == "").alias("no_status"),

@@ -14,7 +14,8 @@ from noticegrid.operators.common import first_per_key, top_k
 # fixed values: markup of links and listings
 ANCHOR = r'(?is)<a[^>]+href="([^"#][^"]*)"[^>]*>(.*?)</a>'
 POSTING_LINK = r'(?is)<a[^>]+href="([^"]*Bids\.aspx\?bidID=\d+[^"]*)"[^>]*>(.*?)</a>'
-READ_ON = rf"(?:{WS}|<[^>]+>|&(?:amp;)?nbsp;)*read{WS}*on\b"
+GAP = rf"(?:{WS}|<[^>]+>|&(?:amp;)?nbsp;)*"
+READ_ON = rf"{GAP}read{GAP}on\b"
 NEXT_POSTING = rf'(?i)(?=<a[^>]+href="[^"]*Bids\.aspx\?bidID=\d+[^"]*"[^>]*>(?!{READ_ON}))'
 FEED_LINK = r'(?i)href="([^"]*(?:RSSFeed\.aspx|rss\.aspx)[^"]*)"[^>]*>([^<]*)'
 FEED_SCHEMA = ("struct<channel:struct<item:array<struct<title:string,link:string,description:string>>>>")

@@ -22,10 +22,8 @@ def within_radius(searches: DataFrame, points: DataFrame, *, reach: Column | Non
     Each pair meets in exactly one cell. ``reach`` replaces the radius.
     """
     reach = F.col("radius").cast("double") if reach is None else reach
-    centres = (searches.withColumnsRenamed({"lat": "_clat", "lon": "_clon"})
+    centres = (searches.withColumnsRenamed({"lat": "_clat", "lon": "_clon", "city": "centre_city", "state": "centre_state"})
                .withColumn("_reach", reach).where("_clat is not null and _clon is not null"))
-    if "city" in centres.columns:
-        centres = centres.withColumnsRenamed({"city": "centre_city", "state": "centre_state"})
     celled = (centres.withColumn("_cell", F.explode(
         geo.covering_cells("_clat", "_clon", "_reach", cell_degrees)))
         .select("*", "_cell.*").drop("_cell"))

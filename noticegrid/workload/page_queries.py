@@ -185,7 +185,7 @@ def _snapshot(v):
     rows = F.array(F.when(k % 7 != 6, F.struct(name.alias("url"), front.alias("html"))),
                    F.when(k % 3 == 0, F.struct(F.concat(name, F.lit("/purchasing")).alias("url"), long_text.alias("html"))),
                    F.when(k % 3 == 1, F.struct(F.concat(name, F.lit("/dept/vendor-opportunities")).alias("url"), long_text.alias("html"))))
-    pages = v.table("customer").select(F.inline(F.array_compact(rows)))
+    pages = v.spread("customer").select(F.inline(F.array_compact(rows)))
     return pages.withColumn("page_id", F.xxhash64("url"))
 
 
@@ -272,7 +272,7 @@ def _site_pages(v):
     second = F.concat(F.lit("noreply@x.com sales@"), name, F.lit(".com sales@"), name, F.lit(".com Tel 417-555-1111"))
     third = F.lit("late@gmail.com")
     rows = F.posexplode(F.array(F.when(k % 9 != 0, first), F.when(k % 3 != 0, second), F.when(k % 2 == 0, third)))
-    return v.table("customer").select(site.alias("site"), rows.alias("path_rank", "html"))
+    return v.spread("customer").select(site.alias("site"), rows.alias("path_rank", "html"))
 
 
 _PROS = f"""SELECT *, CASE WHEN k % 9 <> 0 AND k % 4 = 0 THEN '(417) 555-0000' WHEN k % 3 <> 0 THEN '(417) 555-1111' ELSE '' END AS ph, k % 9 <> 0 AND k % 5 = 0 AS m0, k % 3 <> 0 AS m1, k % 2 = 0 AS m2,
