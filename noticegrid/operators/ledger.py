@@ -76,7 +76,8 @@ def account_summary(plans: DataFrame, trials: DataFrame, as_of: Column) -> DataF
     left = dates.trial_days_left("started", as_of)
     t = trials.where("started is not null").agg(F.count_if(left > 0).alias("active_trials"), F.count(F.lit(1)).alias("total_trials"))
     p = plans.agg(F.count_if(~F.col("revoked")).alias("active_subs"), F.count(F.lit(1)).alias("issued"), F.count_if("revoked").alias("revoked"))
-    return t.join(F.broadcast(p))  # two one-row aggregates
+    both = t.unionByName(p, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def trial_list(trials: DataFrame, as_of: Column, days: int = vocab.TRIAL_DAYS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from noticegrid.functions import keys, places
+from noticegrid.functions import geo, keys, places
 from noticegrid.operators import bids as bid_ops
 from noticegrid.operators import placing, radius
 from noticegrid.operators.common import tally
@@ -24,6 +24,12 @@ def _(v):
     return near.select("search_id", "city", "state", F.round("distance_mi", 6).alias("distance_mi"))
 
 
+@register("c7_haversine", V.sql("gazetteer searches", f"SELECT s.search_id, t.city, round({_DIST}, 6) AS distance_mi FROM searches s JOIN gazetteer t ON s.state = t.state"))
+def _(v):
+    s = v.searches().select("search_id", "state", F.col("lat").alias("slat"), F.col("lon").alias("slon"))
+    return s.join(v.gazetteer(), "state").select("search_id", "city", F.round(geo.haversine_mi("slat", "slon", "lat", "lon"), 6).alias("distance_mi"))
+
+
 @register("j2_towns_in_reach", V.sql("gazetteer searches portals", "SELECT search_id, city, state, round(d, 6) AS distance_mi FROM near "
           "WHERE NOT EXISTS (SELECT 1 FROM searches s WHERE s.search_id = near.search_id AND s.city = near.city)", trusted=_TRUSTED, near=_REACH))
 def _(v):
