@@ -48,26 +48,36 @@ def _without_dots(path: Column) -> Column:
 
 
 def url_join(base: Column | str, ref: Column | str) -> Column:
-    """A link resolved against the page it stands on."""
+    """A link resolved against the page it stands on.
+
+    Links without dot segments or empty segments, nearly all of them, need no path folding.
+    """
     b, r = text(base), text(ref)
     origin = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    base_path = path_of(b)
-    folder = F.regexp_extract(base_path, r"^(.*/)", 1)
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    ref_path = F.regexp_extract(r, r"^([^?#]*)", 1)
-    ref_tail = F.regexp_extract(r, r"^[^?#]*(.*)$", 1)
-    relative = F.regexp_replace(F.concat(folder, ref_path), r"(?<=.)/{2,}(?=.)", "/")
+    folder_url = F.regexp_replace(
+        F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(?:[^?#]*/)?)", 1), "(?<=[^/])$", "/")
+    folded = r.rlike(r"(?:^|/)\.\.?(?:[/?#]|$)|^[^?#]*//")
     return (
         F.when((b == "") | r.rlike(SCHEME), r)
         .when(r == "", b)
         .when(r.startswith("//"), F.concat(F.regexp_extract(b, r"^([^/]*)", 1), r))
         .when(r.startswith("?"), F.concat(F.regexp_extract(b, r"^([^?#]*)", 1), r))
         .when(r.startswith("#"), F.concat(F.regexp_extract(b, r"^([^#]*)", 1), r))
-        .when(r.startswith("/"), F.concat(origin, _without_dots(ref_path), ref_tail))
-        .otherwise(F.concat(origin, _without_dots(relative), ref_tail))
+        .when(~folded & r.startswith("/"), F.concat(origin, r))
+        .when(~folded, F.concat(folder_url, r))
+        .otherwise(_folded_join(b, r, origin))
     )
 
 
+def _folded_join(b: Column, r: Column, origin: Column) -> Column:
+    folder = F.regexp_extract(path_of(b), r"^(.*/)", 1)
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    ref_path = F.regexp_extract(r, r"^([^?#]*)", 1)
+    relative = F.regexp_replace(F.concat(folder, ref_path), r"(?<=.)/{2,}(?=.)", "/")
+    path = F.when(r.startswith("/"), ref_path).otherwise(relative)
+    return F.concat(origin, _without_dots(path), F.regexp_extract(r, r"^[^?#]*(.*)$", 1))
+
+
 def is_aggregator_url(url: Column | str, domains=vocab.AGGREGATOR_DOMAINS) -> Column:
     return host_of(url).rlike(rf"(^|\.)({terms_pattern(domains)})$")
 

@@ -82,12 +82,12 @@ def posting_rows(pages: DataFrame, window: int = vocab.SEGMENT_CHARS) -> DataFra
     pieces = F.filter(F.split(text("html"), NEXT_POSTING, -1), lambda p: p.rlike(rf'(?i)^<a[^>]+href="[^"]*Bids\.aspx\?bidID=\d+'))
     cut = pages.select("page_id", "url", F.posexplode(pieces).alias("pos", "_piece"))
     read = cut.select(
-        "page_id", F.col("url").alias("page_url"), "pos", F.regexp_extract("_piece", POSTING_LINK, 1).alias("_href"),
+        "page_id", F.col("url").alias("page_url"), "pos", unescape(F.regexp_extract("_piece", POSTING_LINK, 1)).alias("_ref"),
         visible(F.regexp_extract("_piece", POSTING_LINK, 2)).alias("title"),
         visible(F.substring(F.regexp_replace("_piece", r"(?is)^<a.*?</a>", ""), 1, window)).alias("_window"))
     rows = read.where(F.length("title") >= 4).select(
         "page_id", "page_url", "pos", "title",
-        F.when(text("page_url") == "", unescape("_href")).otherwise(urls.url_join("page_url", unescape("_href"))).alias("url"),
+        urls.url_join("page_url", "_ref").alias("url"),
         F.lit("").alias("scope"), dates.close_date("_window").alias("deadline"),
         dates.status_near("_window").alias("status"), F.lit("civicplus").alias("source"))
     return first_per_key(rows, ["page_id", "url"], [F.col("pos")])
