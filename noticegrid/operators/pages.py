@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from noticegrid import vocab
 from noticegrid.functions import dates, posting, urls
 from noticegrid.functions.relevance import looks_relevant
-from noticegrid.functions.text import WS, clean, col, count_terms, grams, has_any, slug, text, unescape, visible
+from noticegrid.functions.text import WS, clean, count_terms, grams, has_any, slug, text, unescape, visible
 from noticegrid.operators.common import first_per_key, top_k
 
 # fixed values: markup of links and listings

@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from noticegrid.functions import dates, geo, keys, leads, money, places, posting, relevance, text, urls
