@@ -61,3 +61,49 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts, reach = starts[order], np.maximum.accumulate(stops[order])
     new = np.flatnonzero(np.r_[True, starts[1:] > reach[:-1]])
     return starts[new], reach[np.r_[new[1:] - 1, len(reach) - 1]]
+
+
+SPACES = np.zeros(256, bool)
+SPACES[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A"):ord("Z") + 1] += 32
+_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_CODES = np.random.default_rng(20240).integers(1, 1 << 64, 256, dtype=np.uint64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def scrambled(x: np.ndarray) -> np.ndarray:
+    """A one-to-one mix of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Stretches:
+    """64-bit hashes of any stretches of a byte array, from one running sum of code * base^place."""
+
+    def __init__(self, raw: np.ndarray):
+        n = len(raw)
+        if len(_powers[0]) <= n:
+            for i, factor in enumerate((_BASE, _INVERSE)):
+                steps = np.full(n + 1, factor, np.uint64)
+                steps[0] = 1
+                _powers[i] = np.multiply.accumulate(steps)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_CODES[raw] * _powers[0][:n], out=self.total[1:])
+
+    def hashes(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        value = (self.total[stops] - self.total[starts]) * _powers[1][starts]
+        return scrambled(value + (stops - starts).astype(np.uint64))
+
+
+def hashed_words(raw: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word of the texts: its hash, its text's number, and where it starts and stops."""
+    gap = SPACES[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[begin] = True
+    word = np.r_[~gap, False]
+    starts = np.flatnonzero(word & np.r_[True, gap] | word & edge)
+    stops = np.flatnonzero(np.r_[False, ~gap] & (np.r_[gap, True] | edge))
+    return Stretches(raw).hashes(starts, stops), np.searchsorted(begin, starts, side="right") - 1, starts, stops

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from noticegrid.llm import mixing, quality_rules
+from noticegrid.llm import language_id, mixing, packing, quality_gam, quality_rules, topk
 from noticegrid.llm.base import read
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -18,7 +19,40 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_quality_rules)}
+def tokenizer_files() -> tuple[str, str]:
+    """The tokenizer, and the ranks of the same vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), *tokenizer_files())
+
+
+def op8_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def fold(k: int) -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % k
+
+
+def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_gam.learn(docs, read(spark, sf_dir, "labels"), fold(5) != 0)
+    return quality_gam.scored(docs, model).select(
+        "doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= quality_gam.KEEP_AT).cast("int").alias("predicted"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    parser = language_id.Parser(language_id.training_texts(docs, fold(4) != 2))
+    return language_id.identify(docs, parser, "doc_id").select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_mix_sources, op3_quality_rules, op6_best_fit_packing, op8_maxscore_topk, op9_quality_gam, op10_language_id)}
 
 ORACLE = {
     # The words taken are the overlap of a document's stretch of its source's axis with the words that are due.
@@ -80,4 +114,13 @@ counts AS (
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - shared_words) >= 50 * n_words AS kept
 FROM counts""",
+    "op8_maxscore_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10""",
 }
