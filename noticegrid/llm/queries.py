@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticegrid.llm import language_id, mixing, packing, quality_gam, quality_rules, topk
+from noticegrid.llm import language_id, mixing, packing, pii, quality_gam, quality_rules, topk
 from noticegrid.llm.base import read
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -30,6 +30,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op7_pii_lstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(pii.sample_texts(docs)))
+
+
 def op8_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -52,7 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op3_quality_rules, op6_best_fit_packing, op8_maxscore_topk, op9_quality_gam, op10_language_id)}
+    op1_mix_sources, op3_quality_rules, op6_best_fit_packing, op7_pii_lstm_crf, op8_maxscore_topk, op9_quality_gam, op10_language_id)}
 
 ORACLE = {
     # The words taken are the overlap of a document's stretch of its source's axis with the words that are due.
