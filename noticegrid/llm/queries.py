@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticegrid.llm import language_id, mixing, packing, pii, quality_gam, quality_rules, topk
+from noticegrid.llm import language_id, line_dedup, mixing, packing, pii, quality_gam, quality_rules, topk
 from noticegrid.llm.base import read
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -19,6 +19,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.without_lines(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def tokenizer_files() -> tuple[str, str]:
     """The tokenizer, and the ranks of the same vocabulary."""
     import public_tokenizers
@@ -57,7 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op3_quality_rules, op6_best_fit_packing, op7_pii_lstm_crf, op8_maxscore_topk, op9_quality_gam, op10_language_id)}
+    op1_mix_sources, op3_quality_rules, op5_line_templates, op6_best_fit_packing, op7_pii_lstm_crf, op8_maxscore_topk, op9_quality_gam, op10_language_id)}
 
 ORACLE = {
     # The words taken are the overlap of a document's stretch of its source's axis with the words that are due.
@@ -128,4 +134,29 @@ scored AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 10""",
+    "op5_line_templates": rf"""
+WITH texts AS (SELECT md5(text) AS key, any_value(text) AS text FROM documents WHERE length(text) > 0 GROUP BY 1),
+lines AS (
+  SELECT key, place, list_transform(regexp_extract_all(line, '{WORD_SQL}'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+  FROM (SELECT key, unnest(range(len(l))) AS place, unnest(l) AS line FROM (SELECT key, string_split(text, chr(10)) AS l FROM texts))
+  WHERE regexp_matches(line, '{WORD_SQL}')),
+limits AS (SELECT greatest(10, 0.002::DOUBLE * count(*)) AS lim FROM texts),
+leafed AS (SELECT *, len(tokens) || chr(10) || array_to_string(tokens[1:3], chr(10)) AS leaf FROM lines),
+held AS (SELECT leaf FROM leafed GROUP BY leaf HAVING count(DISTINCT key) > (SELECT lim FROM limits)),
+chosen AS (SELECT * FROM leafed WHERE leaf IN (SELECT leaf FROM held)),
+words AS (SELECT key, place, leaf, len(tokens) AS n, unnest(range(len(tokens))) AS pos, unnest(tokens) AS token FROM chosen),
+constant AS (
+  SELECT leaf, pos, token FROM words WHERE token <> '<*>' GROUP BY ALL HAVING count(DISTINCT key) > (SELECT lim FROM limits)),
+blanked AS (
+  SELECT w.key, w.place, w.leaf, any_value(n) AS n, count(c.token) AS n_constant,
+    string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY w.pos) AS template
+  FROM words w LEFT JOIN constant c ON w.leaf = c.leaf AND w.pos = c.pos AND w.token = c.token GROUP BY 1, 2, 3),
+good AS (SELECT * FROM blanked WHERE n_constant > 0 AND 100 * n_constant >= 50 * n),
+recurring AS (SELECT leaf, template FROM good GROUP BY ALL HAVING count(DISTINCT key) > (SELECT lim FROM limits)),
+dropped AS (SELECT key, list(place) AS places FROM good JOIN recurring USING (leaf, template) GROUP BY key)
+SELECT d.doc_id, CASE WHEN length(text) > 0 THEN CAST(len(string_split(text, chr(10))) AS BIGINT) ELSE 0 END AS n_lines,
+  CAST(coalesce(len(places), 0) AS BIGINT) AS n_dropped,
+  sha256(CASE WHEN places IS NULL THEN coalesce(text, '') ELSE
+    coalesce(array_to_string([x[2] FOR x IN list_zip(range(len(string_split(text, chr(10)))), string_split(text, chr(10))) IF NOT list_contains(places, x[1])], chr(10)), '') END) AS kept_sha256
+FROM documents d LEFT JOIN dropped ON md5(d.text) = dropped.key""",
 }
