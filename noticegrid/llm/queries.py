@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticegrid.llm import language_id, line_dedup, mixing, near_dedup, packing, pii, quality_gam, quality_rules, topk
+from noticegrid.llm import language_id, line_dedup, mixing, near_dedup, packing, pii, quality_gam, quality_rules, suffix_dedup, topk
 from noticegrid.llm.base import read
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -15,6 +15,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op3_quality_rules, op4_minhash_bayes, op5_line_templates, op6_best_fit_packing, op7_pii_lstm_crf, op8_maxscore_topk, op9_quality_gam, op10_language_id)}
+    op1_mix_sources, op2_suffix_dedup, op3_quality_rules, op4_minhash_bayes, op5_line_templates, op6_best_fit_packing, op7_pii_lstm_crf, op8_maxscore_topk, op9_quality_gam, op10_language_id)}
 
 ORACLE = {
     # The words taken are the overlap of a document's stretch of its source's axis with the words that are due.
