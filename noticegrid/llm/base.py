@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from noticegrid.session import stage
 
-__all__ = ["SPACE", "WORD", "flat", "length_slices", "merged", "read", "stage", "words_of"]
+__all__ = ["SPACE", "WORD", "flat", "fresh", "length_slices", "merged", "read", "stage", "words_of"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -28,6 +28,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of the documents has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, in order; none for a null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticegrid.llm.base import stage, words_of
+from noticegrid.llm.base import fresh, stage, words_of
 
 DEPTH = 3
 LIMIT_DOCUMENTS = 10
@@ -75,15 +75,16 @@ def dropped_lines(docs: DataFrame, limit_documents: int = LIMIT_DOCUMENTS, limit
     return blanked.join(recurring, ["leaf", "template"]).groupBy("key").agg(F.collect_set("place").alias("places")), key
 
 
-def without_lines(docs: DataFrame, **options) -> DataFrame:
-    """The documents with their recurring lines dropped, and n_lines, n_dropped."""
-    places, key = dropped_lines(docs, **options)
-    own = docs.withColumn("_key", key)
-    left = F.array_join(F.filter(lines_of(F.col("text")), lambda line, i: ~F.array_contains("places", i)), "\n")
-    out = own.join(places.withColumnRenamed("key", "_key"), "_key", "left") \
-        .withColumn("n_lines", F.when(F.length("text") > 0, F.size(lines_of(F.col("text")))).otherwise(0).cast("long")) \
-        .withColumn("n_dropped", F.when(F.col("places").isNull(), 0).otherwise(F.size("places")).cast("long")) \
-        .withColumn("text", F.when(F.col("places").isNull(), F.col("text")).otherwise(left))
+def without_lines(docs: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_dropped", **options) -> DataFrame:
+    """The documents with their recurring lines dropped, and two columns more: lines of the text before, and lines dropped."""
+    found, key = dropped_lines(docs, **options)
+    own, places = fresh(docs, "_key"), fresh(docs, "_places")
+    joined = docs.withColumn(own, key).join(found.toDF(own, places), own, "left")
+    left = F.array_join(F.filter(lines_of(F.col("text")), lambda line, i: ~F.array_contains(places, i)), "\n")
+    out = joined.withColumn(n_lines, F.when(F.length("text") > 0, F.size(lines_of(F.col("text")))).otherwise(0).cast("long")) \
+        .withColumn(n_dropped, F.when(F.col(places).isNull(), 0).otherwise(F.size(places)).cast("long")) \
+        .withColumn("text", F.when(F.col(places).isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("_key", "places")
+        now = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(n_dropped) > 0, now).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns, n_lines, n_dropped)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticegrid.llm.base import WORD, stage
+from noticegrid.llm.base import WORD, fresh, stage
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -140,8 +140,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A document stands in a round if its middle lies before the cut of that round: texts stay whole.
     """
-    keyed = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    taken = mix(keyed.select(F.col("_row").alias("doc_id"), "text", "source"), **options) \
-        .filter("copies > 0").select(F.col("doc_id").alias("_row"), "copies")
-    return keyed.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))) \
-        .select(*docs.columns)
+    row, copy = fresh(docs, "_row"), fresh(docs, "_copy")
+    keyed = stage(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    taken = mix(keyed.select(F.col(row).alias("doc_id"), "text", "source"), **options) \
+        .filter("copies > 0").select(F.col("doc_id").alias(row), F.col("copies").cast("int").alias(copy))
+    return keyed.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*docs.columns)

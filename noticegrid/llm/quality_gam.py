@@ -220,8 +220,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
     return fit(x, rows["quality"].to_numpy(np.float64))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of the documents, with `score`."""
+def scored(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
+    """All columns of the documents, and their score in a column of that name."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
 
@@ -230,6 +230,6 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             raw, begin = flat(batch["text"])
             scores = [held.value.score(measures(raw[begin[i]:begin[j]], begin[i:j + 1] - begin[i])) for i, j in length_slices(begin)]
             if scores:
-                yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(np.concatenate(scores))], [*columns, "score"])
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(np.concatenate(scores))], [*columns, score])
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.mapInArrow(run, f"{schema}, score double")
+    return docs.mapInArrow(run, f"{schema}, `{score}` double")
