@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from noticegrid.functions.text import col, text
+from noticegrid.functions.text import col, collapse, strip, text
 
 
 def bid_signature(label, title, deadline, url) -> Column:
@@ -18,15 +18,11 @@ def bid_id(city, title, scope) -> Column:
 
 
 def title_key(title) -> Column:
-    return F.lower(F.trim(F.regexp_replace(text(title), r"\s+", " ")))
+    return F.lower(collapse(title))
 
 
 def deadline_key(deadline) -> Column:
-    return F.lower(F.trim(text(deadline)))
-
-
-def saved_search_key(user, location, radius) -> Column:
-    return F.concat_ws("|", col(user), F.lower(F.trim(text(location))), col(radius).cast("int").cast("string"))
+    return F.lower(strip(deadline))
 
 
 def scan_cache_key(state, city, radius, as_of: Column) -> Column:

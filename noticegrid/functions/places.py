@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticegrid import vocab
-from noticegrid.functions.text import WS, col, collapse, text
+from noticegrid.functions.text import WS, col, collapse, strip, text
 
 # fixed values: name shapes
 PREFIX = (rf"(?i)^(?:the{WS}+)?(?:city|town|village|township|borough|county|municipality)"
@@ -94,7 +94,7 @@ def label_for(city: Column | str, state: Column | str, centre_state: Column | st
 
 
 def place_key(city: Column | str, state: Column | str) -> Column:
-    return F.concat(F.lower(F.trim(text(city))), F.lit("|"), F.upper(F.trim(text(state))))
+    return F.concat(F.lower(strip(city)), F.lit("|"), F.upper(strip(state)))
 
 
 def type_rank(c: Column | str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noticegrid import vocab
 from noticegrid.functions.dates import ANY_DATE
-from noticegrid.functions.text import WS, col, has_any, text, unescape
+from noticegrid.functions.text import WS, col, collapse, has_any, text, unescape, unescape_all
 from noticegrid.functions.urls import url_join
 
 # fixed values: patterns of a posting page
@@ -19,7 +19,7 @@ CONTACT = (rf"(?i:contact(?:{WS}+person|{WS}+name)?|direct{WS}+questions{WS}+to|
            rf"((?:[A-Z][A-Za-z.'\-]+{WS}+){{1,2}}[A-Z][A-Za-z.'\-]+)(?![A-Za-z.'\-])(?!{WS}*:)")
 OFFICE = r"(?i)\b(the|city|county|department|office|clerk's|purchasing)\b"
 SCOPE = (r"(?is)(?:description|scope(?:\s+of\s+work)?|summary|project\s+description)\s*[:\-]\s*"
-         r"(.{40,600}?)(?:\s*(?:contact|closing|publication|bid\s+opening|attachment)\b|$)")
+         r"(.{40,}?)(?:\s*(?:contact|closing|publication|bid\s+opening|attachment)\b|$)")
 ESTIMATE = (r"(?i:engineer'?s?\s+estimate|estimated\s+(?:cost|value|price|budget)|"
             r"project\s+estimate|opinion\s+of\s+probable\s+cost|budget(?:ed)?\s+amount|"
             r"estimated\s+project\s+cost|estimated\s+construction\s+cost)"
@@ -99,13 +99,13 @@ def detail_addenda(visible_text: Column | str) -> Column:
     return text(visible_text).rlike(ADDENDUM)
 
 
-def detail_documents(html: Column | str, page_url: Column | str, limit: int = 5) -> Column:
+def detail_documents(html: Column | str, page_url: Column | str) -> Column:
     """Distinct packet links in page order; the bare document index is not one."""
     base = text(page_url)
     links = F.transform(F.regexp_extract_all(text(html), F.lit(DOCUMENT), F.lit(1)),
                         lambda h: url_join(base, unescape(h)))
     real = F.filter(links, lambda u: ~F.lower(F.regexp_replace(u, "/+$", "")).endswith("documentcenter"))
-    return F.slice(F.array_distinct(real), 1, limit)
+    return F.array_distinct(real)
 
 
 def detail_scope(visible_text: Column | str) -> Column:
@@ -114,18 +114,14 @@ def detail_scope(visible_text: Column | str) -> Column:
 
 def page_title(html: Column | str) -> Column:
     """Title text up to the first bar or long dash."""
-    raw = F.regexp_extract(text(html), TITLE, 1)
-    t = F.trim(F.regexp_replace(raw, r"\s+", " "))
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                         ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return F.substring(F.trim(F.get(F.split(F.trim(t), r"\s*[|–—]\s*", -1), 0)), 1, 120)
+    t = collapse(unescape_all(F.regexp_extract(text(html), TITLE, 1)))
+    return F.trim(F.get(F.split(t, r"\s*[|–—]\s*", -1), 0))
 
 
 def site_emails(html: Column | str, host: Column | str) -> Column:
     """Distinct business addresses of a page, own-domain ones first."""
     low = F.transform(emails_in(html), lambda e: F.lower(e))
-    real = F.filter(low, lambda e: ~has_any(e, vocab.PROSPECT_JUNK_EMAIL) & (F.length(e) <= 80))
+    real = F.filter(low, lambda e: ~has_any(e, vocab.PROSPECT_JUNK_EMAIL))
     root = F.get(F.split(F.replace(F.lower(col(host)), F.lit("www."), F.lit("")), r"\."), 0)
     own = F.filter(real, lambda e: F.contains(F.substring_index(e, "@", -1), root))
     return F.array_distinct(F.concat(own, real))

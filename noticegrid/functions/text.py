@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Java's \s is ASCII only; the extra characters are the Unicode spaces pages carry.
 WS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\x85\x1C-\x1F]"
+NAMED = {name.rstrip(";"): char for name, char in html5.items() if name.endswith(";")}
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
             ("&#39;", "'"), ("&nbsp;", " "))
 
@@ -33,6 +35,11 @@ def first_filled(*cs: Column | str) -> Column:
     return F.coalesce(*[filled(c) for c in cs], F.lit(""))
 
 
+def strip(c: Column | str) -> Column:
+    """White space of every kind off both ends."""
+    return F.regexp_replace(F.regexp_replace(text(c), "^" + WS + "+", ""), WS + "+$", "")
+
+
 def collapse(c: Column | str) -> Column:
     """Runs of white space become one blank; ends trimmed."""
     return F.trim(F.regexp_replace(text(c), WS + "+", " "))
@@ -51,6 +58,24 @@ def unescape(c: Column | str) -> Column:
     return out
 
 
+def unescape_all(c: Column | str) -> Column:
+    """Every named character of HTML and every numbered one, once; what is none of them stays.
+
+    The text is cut before each ampersand, so a piece begins with at most one entity; the names are one map literal.
+    """
+    names = F.create_map(*[F.lit(x) for name, char in sorted(NAMED.items()) for x in (name, char)])
+
+    def piece(p: Column) -> Column:
+        name = F.regexp_extract(p, r"^&([A-Za-z][A-Za-z0-9]*);", 1)
+        number = F.regexp_extract(p, r"^&#0*([0-9]{1,7});", 1).try_cast("int")
+        hexed = F.conv(F.nullif(F.regexp_extract(p, r"^&#[xX]0*([0-9a-fA-F]{1,6});", 1), F.lit("")), 16, 10).try_cast("int")
+        code = F.coalesce(number, hexed)
+        wide = F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        char = F.coalesce(F.try_element_at(names, F.nullif(name, F.lit(""))), wide)
+        return F.when(char.isNull(), p).otherwise(F.concat(char, F.regexp_replace(p, r"^&[^;]*;", "")))
+    return F.when(F.contains(text(c), F.lit("&")), F.array_join(F.transform(F.split(text(c), "(?=&)"), piece), "")).otherwise(text(c))
+
+
 def visible(c: Column | str) -> Column:
     return clean(unescape(c))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from noticegrid import vocab
 from noticegrid.functions import dates, keys, places, posting, relevance
 from noticegrid.functions.text import filled, first_filled, text, visible
-from noticegrid.operators.common import first_per_key, top_k
+from noticegrid.operators.common import first_per_key, ranked_rows, top_k
 
 BID_FIELDS = ["title", "scope", "status", "deadline", "contact", "email", "phone", "value", "url", "city"]
 DETAIL_FIELDS = ["contact", "email", "phone", "deadline", "scope", "value", "published", "bid_number", "prebid"]
@@ -36,13 +36,15 @@ def federal_to_bids(federal: DataFrame, as_of: Column) -> DataFrame:
 
 
 def agency_notices(raw: DataFrame) -> DataFrame:
-    """Notices posted by agencies: trimmed, cut to size, kept only with title, city and a real state."""
-    def cut(name: str, n: int) -> Column:
-        return F.substring(F.trim(text(name)), 1, n).alias(name)
+    """Notices posted by agencies: trimmed, kept only with title, city and a real state.
+
+    Texts are whole; ``over_length`` names the fields that are longer than the form allows.
+    """
     sizes = {"title": 200, "scope": 2000, "city": 80, "deadline": 60, "contact": 120, "email": 160, "phone": 40,
              "url": 400, "agency": 160}
     extra = [c for c in raw.columns if c not in sizes and c not in ("state", "status", "source")]
-    return raw.select(*extra, *[cut(n, k) for n, k in sizes.items()], places.state_code("state").alias("state"),
+    over = F.array_compact(F.array(*[F.when(F.length(F.trim(text(n))) > k, F.lit(n)) for n, k in sizes.items()]))
+    return raw.select(*extra, *[F.trim(text(n)).alias(n) for n in sizes], over.alias("over_length"), places.state_code("state").alias("state"),
                       F.lit("Open").alias("status"), F.lit("agency_posted").alias("source")
                       ).where("title <> '' and city <> '' and state <> ''")
 
@@ -68,11 +70,11 @@ def dedupe_bids(rows: DataFrame, scope: Sequence[str], order: Sequence[str], row
         "_title", "_due", "_self")
 
 
-def enrich_budget(rows: DataFrame, limit: int = vocab.ENRICH_MAX) -> DataFrame:
-    """Bids per search worth reading further: a link but no way to call; undated ones first."""
+def enrich_budget(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Bids per search worth reading further: a link but no way to call; undated ones first. The first ``limit`` on request."""
     todo = rows.where((text("url") != "") & (text("email") == "") & (text("phone") == ""))
     dated = F.when(F.trim(text("deadline")) == "", F.lit(0)).otherwise(F.lit(1))
-    return top_k(todo, ["search_id"], [dated, F.col("seq")], limit)
+    return ranked_rows(todo, ["search_id"], [dated, F.col("seq")], limit, "read_order")
 
 
 def with_details(rows: DataFrame, details: DataFrame, only: Column | None = None) -> DataFrame:
@@ -127,11 +129,11 @@ def open_totals(rows: DataFrame, *by: str) -> DataFrame:
 def scan_sample(rows: DataFrame, k: int = 8) -> DataFrame:
     """A handful of placed bids per search, by town."""
     return top_k(rows, ["search_id"], [F.col("label"), F.col("seq")], k).select(
-        "search_id", F.col("label").alias("city"), F.substring(text("title"), 1, 120).alias("title"),
+        "search_id", F.col("label").alias("city"), text("title").alias("title"),
         text("deadline").alias("deadline"), text("status").alias("status"), relevance.is_open("status").alias("open"))
 
 
-def rolling_history(scans: DataFrame, k: int = vocab.HISTORY_MAX) -> DataFrame:
-    """Newest scans per area with the slim columns only."""
+def rolling_history(scans: DataFrame, k: int | None = None) -> DataFrame:
+    """Scans per area, newest first, with the slim columns only; the newest k on request."""
     slim = scans.select("at", "location", "radius", "kept", "raw_local", "anchor_towns", "funnel", "scan_id")
-    return top_k(slim, ["location"], [F.desc("at"), F.desc("scan_id")], k, "recency").drop("scan_id")
+    return ranked_rows(slim, ["location"], [F.desc("at"), F.desc("scan_id")], k, "recency").drop("scan_id")

@@ -7,29 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Spark prunes ranked windows before the shuffle only up to this many rows per group
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
-
-
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
           name: str | None = None) -> DataFrame:
     """First k rows per key.
 
-    A rank filter lets every map task keep only k rows per group before the shuffle.
-    Above Spark's limit for that, groups are first cut inside hashed slices.
+    A rank filter lets every map task keep only k rows per group before the shuffle, up to the k of
+    spark.sql.optimizer.windowGroupLimitThreshold (set in ``session.SETTINGS``).
     """
     rank = name or "_rank"
-    if k > GROUP_LIMIT:
-        slices = Window.partitionBy(*keys, "_slice").orderBy(*order)
-        df = (df.withColumn("_slice", F.pmod(F.xxhash64(*df.columns), F.lit(64)))
-              .withColumn("_in_slice", F.row_number().over(slices))
-              .where(F.col("_in_slice") <= k).drop("_slice", "_in_slice"))
     window = Window.partitionBy(*keys).orderBy(*order)
     out = df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
     return out if name else out.drop(rank)
 
 
+def ranked_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None, name: str) -> DataFrame:
+    """Every row with its rank per key, or the first k rows where a limit is asked for."""
+    if k is not None:
+        return top_k(df, keys, order, k, name)
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     return top_k(df, keys, order, 1)
 
@@ -48,27 +45,24 @@ def rank_all(df: DataFrame, keys: Sequence[str], coarse: Sequence[Column],
                .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
     inside = Window.partitionBy(*keys, *slice_names).orderBy(*order)
     return (sliced.join(offsets, [*keys, *slice_names])
-            .withColumn(name, (F.col("_offset") + F.row_number().over(inside)).cast("int"))
+            .withColumn(name, F.col("_offset") + F.row_number().over(inside))
             .drop("_offset", *slice_names))
 
 
-def split_hot_join(left: DataFrame, right: DataFrame, on: Sequence[str], rows_per_task: int = 1_000_000
-                   ) -> DataFrame:
-    """Inner join that cuts keys with more than ``rows_per_task`` left rows into slices.
+def split_hot_join(left: DataFrame, right: DataFrame, on: Sequence[str], rows_per_task: int = 20_000) -> DataFrame:
+    """Inner join in which no task gets more than about ``rows_per_task`` rows of either side of one key.
 
-    A key is hot only above that count, so the broadcast list of hot keys has at most
-    (left rows / rows_per_task) entries.
+    Both sides of a key are cut into slices by their counts, and every slice of one meets every slice of the
+    other, so a key with many rows on both sides is as many tasks as its pairs need.
     """
     on = list(on)
-    hot = (left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_task)
-           .select(*on, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_fan")))
-    salt = F.when(F.col("_fan").isNotNull(),
-                  F.pmod(F.xxhash64(*left.columns), F.col("_fan").cast("long"))).otherwise(F.lit(0))
-    salted = left.join(F.broadcast(hot), on, "left").withColumn("_salt", salt.cast("int")).drop("_fan")
-    copies = (right.join(F.broadcast(hot), on, "left")
-              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1)))
-              .drop("_fan"))
-    return salted.join(copies, [*on, "_salt"]).drop("_salt")
+    count = lambda df, name: df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / rows_per_task).cast("int").alias(name))
+    slices = count(left, "_left").join(count(right, "_right"), on)
+    own = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.col(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cut_left = left.join(slices, on).withColumn("_l", own(left, "_left")).withColumn("_r", every("_right")).drop("_left", "_right")
+    cut_right = right.join(slices, on).withColumn("_r", own(right, "_right")).withColumn("_l", every("_left")).drop("_left", "_right")
+    return cut_left.join(cut_right, [*on, "_l", "_r"]).drop("_l", "_r")
 
 
 def subtract_keys(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from noticegrid import vocab
 from noticegrid.functions import places, urls
 from noticegrid.functions.text import col, filled, grams, slug, text
-from noticegrid.operators.common import first_per_key, insert_missing, subtract_keys, tally, top_k
+from noticegrid.operators.common import first_per_key, insert_missing, ranked_rows, subtract_keys, tally
 
 HEALTH = ["source", "added", "last_ok", "last_checked", "fail_count"]
 
@@ -80,9 +80,10 @@ def rank_domains(wanted: DataFrame, registry: DataFrame) -> DataFrame:
     return ranked.select("city_key", "domain", "type", "org", "type_rank", "names_town")
 
 
-def known_domains(wanted: DataFrame, registry: DataFrame, k: int = 2) -> DataFrame:
-    return top_k(rank_domains(wanted, registry), ["city_key"],
-                 [F.col("type_rank"), F.col("names_town"), F.col("domain")], k, "rank")
+def known_domains(wanted: DataFrame, registry: DataFrame, k: int | None = None) -> DataFrame:
+    """Registered domains of each town, best first; the first k on request."""
+    return ranked_rows(rank_domains(wanted, registry), ["city_key"],
+                       [F.col("type_rank"), F.col("names_town"), F.col("domain")], k, "rank")
 
 
 def states_for_org(names: DataFrame, registry: DataFrame, min_len: int = vocab.MIN_ORG_MATCH) -> DataFrame:

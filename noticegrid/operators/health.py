@@ -67,11 +67,16 @@ def first_seen_clock(sightings: DataFrame, store: DataFrame | None = None) -> Da
     return seen.groupBy("sig").agg(F.min("seen_date").alias("first_seen"))
 
 
-def evict_oldest(clock: DataFrame, k: int = vocab.UNDATED_STORE_MAX) -> DataFrame:
-    """The k newest entries of a store, one per scope."""
+def evict_oldest(clock: DataFrame, k: int) -> DataFrame:
+    """The k newest entries of each store, for a store that has to be of bounded size."""
     return top_k(clock, ["store"], [F.desc("first_seen"), F.col("sig")], k)
 
 
+def retire_old(clock: DataFrame, as_of: Column, days: int = 2 * vocab.UNDATED_MAX_DAYS) -> DataFrame:
+    """The entries that still matter: a bid is closed by age long before its clock is forgotten."""
+    return clock.where(F.datediff(as_of.cast("date"), F.col("first_seen")) <= days)
+
+
 def same_day(cache: DataFrame, as_of: Column) -> DataFrame:
     """Cached results of today; earlier days are gone."""
     return cache.where(F.col("run_date") == as_of.cast("date"))
@@ -88,8 +93,8 @@ AUDIT_COUNTS = ["rows", "niche_rows", "shown_open", "no_status", "open_but_expir
                 "shown_no_deadline", "links_checked", "links_dead"]
 
 
-def feed_audit(postings: DataFrame, link_status: DataFrame, as_of: Column, links_per_portal: int = 2) -> DataFrame:
-    """Per portal: what a customer would be shown and what is wrong with it."""
+def feed_audit(postings: DataFrame, link_status: DataFrame, as_of: Column, links_per_portal: int | None = None) -> DataFrame:
+    """Per portal: what a customer would be shown and what is wrong with it; all links are checked, or the first few."""
     status = F.trim(text("status"))
     judged = postings.withColumn("niche", relevance.looks_relevant("title", "scope")).withColumn(
         "due", dates.parse_deadline("deadline"))
@@ -101,7 +106,8 @@ def feed_audit(postings: DataFrame, link_status: DataFrame, as_of: Column, links
         F.count_if(F.col("shown") & (F.col("due") < as_of.cast("date"))).alias("open_but_expired"),
         F.count_if(F.col("shown") & F.lower(status).startswith("award")).alias("awarded_shown_open"),
         F.count_if(F.col("shown") & F.col("due").isNull()).alias("shown_no_deadline"))
-    links = top_k(judged.where("niche and url <> ''").select("portal", "seq", "url"), ["portal"], [F.col("seq")], links_per_portal)
+    links = judged.where("niche and url <> ''").select("portal", "seq", "url")
+    links = links if links_per_portal is None else top_k(links, ["portal"], [F.col("seq")], links_per_portal)
     alive = link_status.groupBy("url").agg(F.bool_and("alive").alias("alive"))
     checked = links.join(alive, "url").where("alive is not null").groupBy("portal").agg(
         F.count(F.lit(1)).alias("links_checked"), F.count_if(~F.col("alive")).alias("links_dead"))
@@ -133,15 +139,16 @@ def degraded_alerts(providers: DataFrame) -> DataFrame:
     return providers.where("degraded").select(F.lit("search_blocked").alias("fault"), "*")
 
 
-def sample_portals(portals: DataFrame, seed: int = 0, n: int = vocab.AUDIT_SAMPLE) -> DataFrame:
-    """Repeatable random sample of listing portals, with the show-everything view to audit."""
+def sample_portals(portals: DataFrame, seed: int = 0, n: int | None = None) -> DataFrame:
+    """Listing portals with the show-everything view to audit: all, or a repeatable random sample of n."""
     base = F.substring_index("url", "/Bids.aspx", 1)
-    return (portals.where((F.col("platform") == "civicplus") & (text("url") != ""))
-            .withColumn("_r", F.xxhash64("url", F.lit(seed))).orderBy("_r", "url").limit(n).drop("_r")
-            .withColumn("audit_url", F.concat(base, F.lit(vocab.CIVICPLUS_AUDIT_QUERY))))
+    listing = portals.where((F.col("platform") == "civicplus") & (text("url") != ""))
+    if n is not None:
+        listing = listing.withColumn("_r", F.md5(F.concat("url", F.lit(str(seed))))).orderBy("_r", "url").limit(n).drop("_r")
+    return listing.withColumn("audit_url", F.concat(base, F.lit(vocab.CIVICPLUS_AUDIT_QUERY)))
 
 
-def category_profile(rows: DataFrame, name: str, per_column: int = 50) -> DataFrame:
+def category_profile(rows: DataFrame, name: str) -> DataFrame:
     """The first column value of a dataset that is a category of the trade, if it has one.
 
     Columns are chosen by name; a dataset needs coordinates or an address column.
@@ -155,7 +162,7 @@ def category_profile(rows: DataFrame, name: str, per_column: int = 50) -> DataFr
     long = rows.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("pos"), F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))
         for i, c in enumerate(fields)])).alias("c")).select("c.*").where("value <> ''")
-    top = top_k(tally(long, "pos", "field", "value"), ["pos"], [F.desc("n"), F.col("value")], per_column, "_r")
     from noticegrid.functions.text import has_any
-    good = top.where((F.col("n") >= vocab.CATEGORY_MIN_COUNT) & has_any(F.lower("value"), vocab.CATEGORY_VALUE_TERMS))
-    return good.orderBy("pos", "_r").limit(1).select(F.lit(name).alias("dataset"), "field", "value", "n")
+    good = tally(long, "pos", "field", "value").where(
+        (F.col("n") >= vocab.CATEGORY_MIN_COUNT) & has_any(F.lower("value"), vocab.CATEGORY_VALUE_TERMS))
+    return good.orderBy("pos", F.desc("n"), "value").limit(1).select(F.lit(name).alias("dataset"), "field", "value", "n")

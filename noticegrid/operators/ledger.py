@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from noticegrid import vocab
 from noticegrid.functions import dates
-from noticegrid.functions.text import text
-from noticegrid.operators.common import first_per_key, subtract_keys, top_k
+from noticegrid.functions.text import strip, text
+from noticegrid.operators.common import first_per_key, rank_all, subtract_keys
 
 COMPLETED = "checkout.session.completed"
 PAID = "invoice.paid"
@@ -112,23 +112,24 @@ def published_reviews(reviews: DataFrame, k: int = 6) -> DataFrame:
         F.greatest(F.lit(1), F.least(F.lit(5), F.coalesce("rating", F.lit(5)))).alias("rating"), "quote", "display_name", "company")
 
 
-def clean_recipients(rows: DataFrame, suppressed: DataFrame, limit: int = vocab.RECIPIENTS_MAX) -> DataFrame:
-    """The addresses of each campaign batch, first mentions first, up to the batch limit."""
-    return top_k(queued_recipients(rows, suppressed), ["campaign"], [F.col("seq"), F.col("email")], limit, "ord")
+def clean_recipients(rows: DataFrame, suppressed: DataFrame, per_batch: int = vocab.RECIPIENTS_MAX) -> DataFrame:
+    """All addresses of each campaign in the order of their first mention, with the batch they are sent in."""
+    queued = rank_all(queued_recipients(rows, suppressed), ["campaign"], [F.floor(F.col("seq") / 65536)], [F.col("seq"), F.col("email")], "ord")
+    return queued.withColumn("batch", F.ceil(F.col("ord") / per_batch))
 
 
 def queued_recipients(rows: DataFrame, suppressed: DataFrame) -> DataFrame:
-    addr = F.lower(F.trim(text("address")))
+    addr = F.lower(strip("address"))
     asked = rows.select("campaign", "seq", addr.alias("email")).where(F.contains("email", F.lit("@")))
     once = first_per_key(asked, ["campaign", "email"], [F.col("seq")])
-    return subtract_keys(once, suppressed.select(F.lower(F.trim("email")).alias("email")), ["email"])
+    return subtract_keys(once, suppressed.select(F.lower(strip("email")).alias("email")), ["email"])
 
 
 def recipients_report(rows: DataFrame, suppressed: DataFrame, limit: int = vocab.RECIPIENTS_MAX) -> DataFrame:
-    """Per campaign: asked, skipped as suppressed, queued, over the limit."""
-    addr = F.lower(F.trim(text("address")))
+    """Per campaign: asked, skipped as suppressed, queued in the first batch, and in later ones."""
+    addr = F.lower(strip("address"))
     asked = rows.select("campaign", addr.alias("email")).where(F.contains("email", F.lit("@"))).distinct()
-    listed = suppressed.select(F.lower(F.trim("email")).alias("email")).distinct().withColumn("_s", F.lit(True))
+    listed = suppressed.select(F.lower(strip("email")).alias("email")).distinct().withColumn("_s", F.lit(True))
     per = asked.join(listed, "email", "left").groupBy("campaign").agg(
         F.count(F.lit(1)).alias("asked"), F.count("_s").alias("suppressed"))
     queue = F.col("asked") - F.col("suppressed")

@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 
 from noticegrid import vocab
 from noticegrid.functions import dates, posting, urls
-from noticegrid.functions.relevance import looks_relevant
-from noticegrid.functions.text import WS, clean, count_terms, grams, has_any, slug, text, unescape, visible
-from noticegrid.operators.common import first_per_key, top_k
+from noticegrid.functions.relevance import declares_closed, looks_awarded, looks_relevant
+from noticegrid.functions.text import clean, count_terms, grams, has_any, html_to_text, slug, text, unescape, visible
+from noticegrid.operators.common import first_per_key, ranked_rows, top_k
 
 # fixed values: markup of links and listings
 ANCHOR = r'(?is)<a[^>]+href="([^"#][^"]*)"[^>]*>(.*?)</a>'
 POSTING_LINK = r'(?is)<a[^>]+href="([^"]*Bids\.aspx\?bidID=\d+[^"]*)"[^>]*>(.*?)</a>'
-GAP = rf"(?:{WS}|<[^>]+>|&(?:amp;)?nbsp;)*"
-READ_ON = rf"{GAP}read{GAP}on\b"
-NEXT_POSTING = rf'(?i)(?=<a[^>]+href="[^"]*Bids\.aspx\?bidID=\d+[^"]*"[^>]*>(?!{READ_ON}))'
+POSTING_START = r'(?i)(?=<a[^>]+href="[^"]*Bids\.aspx\?bidID=\d)'
+READ_ON = r"(?i)^read ?on\b"
 FEED_LINK = r'(?i)href="([^"]*(?:RSSFeed\.aspx|rss\.aspx)[^"]*)"[^>]*>([^<]*)'
 FEED_SCHEMA = ("struct<channel:struct<item:array<struct<title:string,link:string,description:string>>>>")
 EXTRACTED = ("array<struct<title:string,scope:string,status:string,deadline:string,contact:string,email:string,"
@@ -35,8 +34,8 @@ def anchors(pages: DataFrame) -> DataFrame:
     return links.select("page_id", "url", "pos", F.col("_a.href").alias("href"), clean("_a.label").alias("label"))
 
 
-def link_candidates(pages: DataFrame, k: int = 3, hints=vocab.LINK_HINTS, noise=vocab.LINK_NOISE) -> DataFrame:
-    """Up to k links per page that look like a bid page, most hints first; no shuffle.
+def link_candidates(pages: DataFrame, k: int | None = None, hints=vocab.LINK_HINTS, noise=vocab.LINK_NOISE) -> DataFrame:
+    """Links per page that look like a bid page, most hints first, the first k on request; no shuffle.
 
     The links of one page stay in its row, so this scales with the number of pages.
     """
@@ -49,7 +48,7 @@ def link_candidates(pages: DataFrame, k: int = 3, hints=vocab.LINK_HINTS, noise=
     step = pages.select("page_id", "url", scored.alias("_s"))
     step = step.withColumn("_links", F.transform("_s", lambda s: s["link"]))
     once = F.filter("_s", lambda s, i: F.array_position(F.col("_links"), s["link"]) == i + 1)
-    best = F.slice(F.array_sort(once), 1, k)
+    best = F.array_sort(once) if k is None else F.slice(F.array_sort(once), 1, k)
     return step.select("page_id", F.posexplode(best).alias("_i", "_b")).select(
         "page_id", (F.col("_i") + 1).alias("rank"), F.col("_b.link").alias("link"), (-F.col("_b.score")).alias("hits"))
 
@@ -75,16 +74,27 @@ def link_for_title(pages: DataFrame, titles: DataFrame, min_len: int = vocab.MIN
     return best.select("page_id", "title", urls.url_join("url", unescape("href")).alias("link"))
 
 
-def posting_rows(pages: DataFrame, window: int = vocab.SEGMENT_CHARS) -> DataFrame:
-    """Postings of listing pages. A page is cut before each title link, so every piece holds one
-    posting with its own 'Read on' link, status and dates; first piece of a link wins.
+def posting_pieces(html: Column | str) -> Column:
+    """A listing page cut before each title link, whole, without what comes before the first.
+
+    The page is split at every posting link. A link whose visible text is 'Read on' goes on with the posting before
+    it; the texts are tested once tags and blanks are gone, so a page may hold any number of them.
     """
-    pieces = F.filter(F.split(text("html"), NEXT_POSTING, -1), lambda p: p.rlike(rf'(?i)^<a[^>]+href="[^"]*Bids\.aspx\?bidID=\d+'))
-    cut = pages.select("page_id", "url", F.posexplode(pieces).alias("pos", "_piece"))
+    mark = "\u0001"
+    starts = F.split(F.replace(text(html), F.lit(mark), F.lit(" ")), POSTING_START, -1)
+    label = lambda p: visible(F.regexp_extract(p, POSTING_LINK, 2))
+    goes_on = lambda p: ~p.rlike("^" + POSTING_START) | label(p).rlike(READ_ON)
+    marked = F.transform(starts, lambda p: F.when(goes_on(p), p).otherwise(F.concat(F.lit(mark), p)))
+    return F.filter(F.split(F.array_join(marked, ""), mark, -1), lambda p, i: i > 0)
+
+
+def posting_rows(pages: DataFrame) -> DataFrame:
+    """Postings of listing pages, each with its own 'Read on' link, status and dates; first piece of a link wins."""
+    cut = pages.select("page_id", "url", F.posexplode(posting_pieces("html")).alias("pos", "_piece"))
     read = cut.select(
         "page_id", F.col("url").alias("page_url"), "pos", unescape(F.regexp_extract("_piece", POSTING_LINK, 1)).alias("_ref"),
         visible(F.regexp_extract("_piece", POSTING_LINK, 2)).alias("title"),
-        visible(F.substring(F.regexp_replace("_piece", r"(?is)^<a.*?</a>", ""), 1, window)).alias("_window"))
+        visible(F.regexp_replace("_piece", r"(?is)^<a.*?</a>", "")).alias("_window"))
     rows = read.where(F.length("title") >= 4).select(
         "page_id", "page_url", "pos", "title",
         urls.url_join("page_url", "_ref").alias("url"),
@@ -115,15 +125,10 @@ def page_outcomes(pages: DataFrame) -> DataFrame:
               .when(listing, F.lit("civicplus_parse_miss"))
               .when(~looks_relevant("_text"), F.lit("portal_no_niche_content"))
               .otherwise(F.lit("for_extraction")))
-    return pages.withColumn("_text", posting_text("html")).withColumn("reason", reason).groupBy("reason").agg(
+    return pages.withColumn("_text", html_to_text("html")).withColumn("reason", reason).groupBy("reason").agg(
         F.count(F.lit(1)).alias("n"))
 
 
-def posting_text(html: Column | str) -> Column:
-    from noticegrid.functions.text import html_to_text
-    return html_to_text(html)
-
-
 def feed_items(feeds: DataFrame) -> DataFrame:
     """Items of RSS documents; a malformed document gives none."""
     parsed = feeds.select("feed_id", F.from_xml("xml", FEED_SCHEMA, {"mode": "PERMISSIVE"}).alias("_x"))
@@ -146,7 +151,7 @@ def bid_feed_link(pages: DataFrame) -> DataFrame:
 def extraction_rows(outputs: DataFrame) -> DataFrame:
     """Bid objects inside model output text; anything that is not a JSON array gives none.
 
-    An award story closes what was read from it; countdown deadlines are blanked.
+    Countdown deadlines are blanked. ``with_page_verdicts`` closes rows read from an award story.
     """
     body = F.regexp_extract(text("output"), r"(?s)(\[.*\])", 1)
     rows = outputs.select(*[c for c in outputs.columns if c != "output"],
@@ -161,21 +166,11 @@ def with_page_verdicts(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Status closed where the page reports an award, or declares its only bid closed."""
     n = rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n"))
     flags = texts.join(n, "page_id").select(
-        "page_id", (_awarded("page_text") | _declared("page_text", "_n")).alias("_over"))
+        "page_id", (looks_awarded("page_text") | declares_closed("page_text", "_n")).alias("_over"))
     return rows.join(flags, "page_id", "left").withColumn(
         "status", F.when(F.col("_over"), F.lit("Closed")).otherwise(F.col("status"))).drop("_over")
 
 
-def _awarded(c):
-    from noticegrid.functions.relevance import looks_awarded
-    return looks_awarded(c)
-
-
-def _declared(c, n):
-    from noticegrid.functions.relevance import declares_closed
-    return declares_closed(c, n)
-
-
 # ---- page tests and the best page of a site -----------------------------------------
 def bid_page_platform(html: Column | str) -> Column:
     """civicplus when postings are listed, generic when it reads like a bid page, else null."""
@@ -204,7 +199,8 @@ def site_candidates(sites: DataFrame, homepages: DataFrame) -> DataFrame:
 
 def best_bid_page(sites: DataFrame, candidates: DataFrame, pages: DataFrame, verdict: Column) -> DataFrame:
     """First candidate page per site that passes; others not_found. verdict is a platform or null."""
-    tested = pages.withColumn("_v", verdict).where("_v is not null").select("url", "_v")
+    asked = pages.join(candidates.select("url").distinct(), "url", "left_semi")
+    tested = asked.withColumn("_v", verdict).where("_v is not null").select("url", "_v")
     hits = candidates.join(tested, "url").groupBy("domain").agg(F.min(F.struct("rank", "url", "_v")).alias("_h"))
     platform = F.when(F.col("_h._v") == "civicplus", F.lit("civicplus")).otherwise(
         F.coalesce(F.nullif(urls.identify_platform("_h.url"), F.lit("")), F.lit("custom")))
@@ -220,20 +216,20 @@ def distinct_links(hits: DataFrame) -> DataFrame:
     return first_per_key(hits, ["search_id", "url"], [F.col("seq")])
 
 
-def prioritize_pages(hits: DataFrame, budget: int = vocab.PAGE_BUDGET,
+def prioritize_pages(hits: DataFrame, budget: int | None = None,
                      per_domain: int = vocab.MAX_PAGES_PER_DOMAIN) -> DataFrame:
-    """Pages to read per search: trusted listing first, government next, few per domain.
+    """Pages of each search in reading order: trusted listing first, government next, few per domain before more of it.
 
-    At most ``budget`` pages can come from one domain, so longer domain groups are cut first.
+    ``budget`` keeps the first so many; without it every page has its rank.
     """
     host = urls.full_host("url")
     ranked = hits.withColumn("host", host).withColumn(
         "_bidnet", F.when(F.contains("host", F.lit("bidnetdirect.com")), F.lit(0)).otherwise(F.lit(1))).withColumn(
         "_gov", F.when(urls.is_gov_domain("host"), F.lit(0)).otherwise(F.lit(1)))
     order = [F.col("_bidnet"), F.col("_gov"), F.col("seq")]
-    cut = top_k(ranked, ["search_id", "host"], order, budget, "_nth")
+    cut = ranked_rows(ranked, ["search_id", "host"], order, budget, "_nth")
     over = F.when(F.col("_nth") > per_domain, F.lit(1)).otherwise(F.lit(0))
-    return top_k(cut, ["search_id"], [over, *order], budget, "rank").drop("_bidnet", "_gov", "_nth")
+    return ranked_rows(cut, ["search_id"], [over, *order], budget, "rank").drop("_bidnet", "_gov", "_nth")
 
 
 # ---- site contacts ------------------------------------------------------------------

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from noticegrid import vocab
 from noticegrid.functions import geo
 from noticegrid.functions.places import place_key
-from noticegrid.operators.common import first_per_key, keep_keys, split_hot_join, subtract_keys, top_k
+from noticegrid.operators.common import first_per_key, keep_keys, ranked_rows, split_hot_join, subtract_keys
 
 CELL_DEGREES = 1.0
 
 
 def within_radius(searches: DataFrame, points: DataFrame, *, reach: Column | None = None,
-                  cell_degrees: float = CELL_DEGREES, rows_per_task: int = 1_000_000) -> DataFrame:
+                  cell_degrees: float = CELL_DEGREES, rows_per_task: int = 20_000) -> DataFrame:
     """Every (search, point) pair not farther apart than the search's radius.
 
     A search is listed under each grid cell its circle may touch, a point under its own, so
@@ -48,22 +48,20 @@ def towns_in_reach(searches: DataFrame, gazetteer: DataFrame, portals: DataFrame
     return subtract_keys(near, exclude, ["search_id", "city_key"]) if exclude is not None else near
 
 
-def nearest_k(near: DataFrame, k: int = vocab.MAX_KNOWN_TOWNS) -> DataFrame:
-    """Closest places per search, ties by name."""
-    return top_k(near, ["search_id"], [F.round("distance_mi", 6), F.col("city"), F.col("state")], k, "rank")
+def nearest_k(near: DataFrame, k: int | None = None) -> DataFrame:
+    """Places per search by distance, ties by name; the first k on request."""
+    return ranked_rows(near, ["search_id"], [F.round("distance_mi", 6), F.col("city"), F.col("state")], k, "rank")
 
 
 def coverage(searches: DataFrame, gazetteer: DataFrame, portals: DataFrame) -> DataFrame:
     """Trusted towns per search (radius held to 5..250) with the eight nearest names."""
     held = searches.withColumn("radius", F.greatest(F.lit(5.0), F.least(F.col("radius").cast("double"), F.lit(250.0))))
-    near = towns_in_reach(held, gazetteer, portals)
-    counts = near.groupBy("search_id").agg(F.count(F.lit(1)).alias("agencies"))
-    closest = (nearest_k(near, 8).groupBy("search_id").agg(F.array_sort(F.collect_list(
-        F.struct("rank", F.concat_ws(", ", "city", "state").alias("label")))).alias("_l")))
-    return (held.select("search_id", F.col("radius").cast("int").alias("radius"))
-            .join(counts, "search_id", "left").join(closest, "search_id", "left")
-            .select("search_id", "radius", F.coalesce("agencies", F.lit(0)).alias("agencies"),
-                    F.array_join(F.transform("_l", lambda x: x["label"]), "; ").alias("nearest")))
+    near = nearest_k(towns_in_reach(held, gazetteer, portals))
+    label = F.struct("rank", F.concat_ws(", ", "city", "state").alias("label"))
+    per = near.groupBy("search_id").agg(F.count(F.lit(1)).alias("agencies"), F.collect_list(F.when(F.col("rank") <= 8, label)).alias("_l"))
+    return held.select("search_id", F.col("radius").cast("int").alias("radius")).join(per, "search_id", "left").select(
+        "search_id", "radius", F.coalesce("agencies", F.lit(0)).alias("agencies"),
+        F.array_join(F.transform(F.array_sort("_l"), lambda x: x["label"]), "; ").alias("nearest"))
 
 
 def metro_reach(metros: DataFrame, gazetteer: DataFrame, portals: DataFrame,
@@ -115,8 +113,12 @@ def with_fallback_point(rows: DataFrame, zips: DataFrame) -> DataFrame:
             .drop("_zlat", "_zlon"))
 
 
-def leads_in_radius(pairs: DataFrame, zips: DataFrame) -> DataFrame:
-    """Leads already offered to a search, kept when in range or when they cannot be placed."""
-    located = with_fallback_point(pairs, zips)
-    distance = geo.haversine_mi("centre_lat", "centre_lon", "lat", "lon")
-    return located.where(F.coalesce(distance <= F.col("radius"), F.lit(True)))
+def leads_in_radius(offered: DataFrame, searches: DataFrame, leads: DataFrame, zips: DataFrame, lead_id: str) -> DataFrame:
+    """Leads already offered to a search, (search_id, lead_id), kept when in range or when they cannot be placed.
+
+    Each lead is located once, whatever the number of searches it is offered to.
+    """
+    centres = searches.select("search_id", F.col("lat").alias("_clat"), F.col("lon").alias("_clon"), F.col("radius").alias("_reach"))
+    located = offered.join(with_fallback_point(leads, zips), lead_id).join(centres, "search_id")
+    distance = geo.haversine_mi("_clat", "_clon", "lat", "lon")
+    return located.where(F.coalesce(distance <= F.col("_reach"), F.lit(True))).drop("_clat", "_clon", "_reach")

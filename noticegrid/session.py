@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # rank filters up to this k are applied in every task before the shuffle
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.ui.explainMode": "formatted",
 }
 

@@ -131,7 +131,13 @@ def _(v):
 @register("w14_evict_oldest", "SELECT sig FROM (SELECT 's' || event_id AS sig, row_number() OVER (ORDER BY CAST(ts AS DATE) DESC, 's' || event_id) AS rn FROM events) WHERE rn <= 5000")
 def _(v):
     clock = v.fetch_log().select(F.lit("undated").alias("store"), F.concat(F.lit("s"), F.col("seq").cast("string")).alias("sig"), F.col("ts").cast("date").alias("first_seen"))
-    return health.evict_oldest(clock).select("sig")
+    return health.evict_oldest(clock, 5000).select("sig")
+
+
+@register("t2_retire_old", "SELECT 's' || event_id AS sig FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-20'")
+def _(v):
+    clock = v.fetch_log().select(F.concat(F.lit("s"), F.col("seq").cast("string")).alias("sig"), F.col("ts").cast("date").alias("first_seen"))
+    return health.retire_old(clock, F.lit("2024-02-01").cast("timestamp"), days=12).select("sig")
 
 
 # ---- new matches as a stream --------------------------------------------------------

@@ -28,7 +28,7 @@ _POSTED = "SELECT page_id, trim(raw_title) AS title, url, deadline, status, due,
       CAST(contains(b, 'th') AS INTEGER) + CAST(contains(b, 'en') AS INTEGER) + CAST(contains(b, 'de') AS INTEGER) + CAST(contains(b, 'que') AS INTEGER) AS hits FROM (SELECT *, lower(href || ' ' || label) AS b FROM anch) WHERE NOT regexp_matches(b, 'facebook\\.com')) WHERE hits > 0)
     WHERE rn = 1 QUALIFY rank <= 3""", anch=_ANCH))
 def _(v):
-    return P.link_candidates(v.table("pages"), hints=HINTS, noise=("facebook.com",))
+    return P.link_candidates(v.table("pages"), k=3, hints=HINTS, noise=("facebook.com",))
 
 
 @register("j18_link_for_title", V.sql("", """SELECT page_id, title, arg_min(regexp_extract(url, '^(https?://[^/]+)', 1) || href, (length(slug), pos)) AS link FROM (
@@ -185,7 +185,7 @@ def _snapshot(v):
     rows = F.array(F.when(k % 7 != 6, F.struct(name.alias("url"), front.alias("html"))),
                    F.when(k % 3 == 0, F.struct(F.concat(name, F.lit("/purchasing")).alias("url"), long_text.alias("html"))),
                    F.when(k % 3 == 1, F.struct(F.concat(name, F.lit("/dept/vendor-opportunities")).alias("url"), long_text.alias("html"))))
-    pages = v.spread("customer").select(F.inline(F.array_compact(rows)))
+    pages = v.table("customer").select(F.inline(F.array_compact(rows)))
     return pages.withColumn("page_id", F.xxhash64("url"))
 
 
@@ -232,8 +232,9 @@ def _(v):
 def _(v):
     c = _candidates(v)
     verified = discovery.verify_candidates(c.drop("row_ord"), _snapshot(v)).join(c.select("domain", "row_ord"), "domain")
+    from noticegrid.operators import directory
     prior = c.where("row_ord % 4 = 0").select("domain", F.lit("2025-01-01").alias("checked_date"))
-    return discovery.promote(verified, prior, F.lit("2026-08-01")).select("domain", "platform", "checked_date", "verified_by")
+    return directory.promote_portals(verified, prior, F.lit("2026-08-01")).select("domain", "platform", "checked_date", "verified_by")
 
 
 @register("j28_owns_domain", V.sql("", "SELECT domain, owns FROM (SELECT k, domain, CASE WHEN k % 2 = 0 THEN 'domain' WHEN k % 3 = 0 THEN 'homepage' ELSE '' END AS owns FROM site)", site=_SITE))
@@ -243,17 +244,23 @@ def _(v):
 
 
 # ---- page budgets -------------------------------------------------------------------
-_HITS = "SELECT s.s_suppkey AS search_id, p.page_id AS seq, p.url, lower(regexp_extract(p.url, '//([^/:?#]+)', 1)) AS host FROM supplier s JOIN pages p ON p.page_id % 10 = s.s_suppkey % 10"
+_HITS = "SELECT l_suppkey AS search_id, l_orderkey * 8 + l_linenumber AS seq, p.url, lower(regexp_extract(p.url, '//([^/:?#]+)', 1)) AS host FROM lineitem l JOIN pages p ON p.page_id = l.l_partkey // 8"
 
 
 def _hits(v):
-    p = v.table("pages").select(F.col("page_id").alias("seq"), "url", (F.col("page_id") % 10).alias("g"))
-    return v.table("supplier").select(F.col("s_suppkey").alias("search_id"), (F.col("s_suppkey") % 10).alias("g")).join(p, "g").drop("g")
+    """Every line item is one hit of a search on a page."""
+    hits = v.table("lineitem").select(F.col("l_suppkey").alias("search_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.floor(F.col("l_partkey") / 8).alias("page_id"))
+    return hits.join(v.table("pages").select("page_id", "url"), "page_id").drop("page_id")
 
 
 @register("w4_prioritize_pages", V.sql("", """SELECT search_id, url, rank FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY CASE WHEN nth > 4 THEN 1 ELSE 0 END, seq) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY search_id, host ORDER BY seq) AS nth FROM hits)) WHERE rank <= 24""", hits=_HITS))
 def _(v):
-    return P.prioritize_pages(_hits(v)).select("search_id", "url", "rank")
+    return P.prioritize_pages(_hits(v), budget=24).select("search_id", "url", "rank")
+
+
+@register("w4_reading_order", V.sql("", """SELECT search_id, url, seq, row_number() OVER (PARTITION BY search_id ORDER BY CASE WHEN nth > 4 THEN 1 ELSE 0 END, seq) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY search_id, host ORDER BY seq) AS nth FROM hits)""", hits=_HITS))
+def _(v):
+    return P.prioritize_pages(_hits(v)).select("search_id", "url", "seq", "rank")
 
 
 @register("u2_distinct_links", V.sql("", "SELECT search_id, url, min(seq) AS seq FROM (SELECT * FROM hits UNION ALL SELECT search_id, seq + 5, url, host FROM hits) GROUP BY search_id, url", hits=_HITS))
@@ -272,7 +279,7 @@ def _site_pages(v):
     second = F.concat(F.lit("noreply@x.com sales@"), name, F.lit(".com sales@"), name, F.lit(".com Tel 417-555-1111"))
     third = F.lit("late@gmail.com")
     rows = F.posexplode(F.array(F.when(k % 9 != 0, first), F.when(k % 3 != 0, second), F.when(k % 2 == 0, third)))
-    return v.spread("customer").select(site.alias("site"), rows.alias("path_rank", "html"))
+    return v.table("customer").select(site.alias("site"), rows.alias("path_rank", "html"))
 
 
 _PROS = f"""SELECT *, CASE WHEN k % 9 <> 0 AND k % 4 = 0 THEN '(417) 555-0000' WHEN k % 3 <> 0 THEN '(417) 555-1111' ELSE '' END AS ph, k % 9 <> 0 AND k % 5 = 0 AS m0, k % 3 <> 0 AS m1, k % 2 = 0 AS m2,
@@ -296,18 +303,22 @@ def _(v):
 # ---- audit --------------------------------------------------------------------------
 _AUD = f"""SELECT page_id AS portal, count(*) AS rows, count(*) FILTER (WHERE {_REL}) AS niche_rows, count(*) FILTER (WHERE {_REL} AND status <> 'Closed' AND status <> 'Awarded') AS shown_open, 0 AS no_status,
     count(*) FILTER (WHERE {_REL} AND status = 'Open' AND due < DATE '2006-08-01') AS open_but_expired, 0 AS awarded_shown_open, count(*) FILTER (WHERE {_REL} AND status = 'Open' AND due IS NULL) AS shown_no_deadline FROM posted GROUP BY page_id"""
-_LNK = f"SELECT page_id AS portal, count(*) AS links_checked, count(*) FILTER (WHERE k % 5 = 0) AS links_dead FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) AS rn FROM posted WHERE {_REL}) WHERE rn <= 2 AND k % 4 <> 0 GROUP BY page_id"
+_LNK = f"SELECT page_id AS portal, count(*) AS links_checked, count(*) FILTER (WHERE k % 5 = 0) AS links_dead FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) AS rn FROM posted WHERE {_REL}) WHERE k % 4 <> 0 GROUP BY page_id"
 _AUDIT = "SELECT a.*, coalesce(links_checked, 0) AS links_checked, coalesce(links_dead, 0) AS links_dead FROM aud a LEFT JOIN lnk USING (portal)"
 _AU = dict(posts=_POST, posted=_POSTED, aud=_AUD, lnk=_LNK, audit=_AUDIT)
 
 
+def _alive(v):
+    """Whether the link of a posting still answers; unknown for every fourth."""
+    k = F.col("o_orderkey")
+    return v.table("orders").select(F.concat(F.lit("https://t"), F.floor(k / 8).cast("string"), F.lit(".gov/bids.aspx?bidID="), k.cast("string")).alias("url"),
+                                     F.when(k % 4 != 0, k % 5 != 0).alias("alive"))
+
+
 def _audit(v):
     from noticegrid.operators import health
     rows = P.posting_rows(v.listing_pages()).select(F.col("page_id").alias("portal"), F.col("pos").alias("seq"), "title", "scope", "status", "deadline", "url")
-    k = F.col("o_orderkey")
-    alive = v.table("orders").select(F.concat(F.lit("https://t"), F.floor(k / 8).cast("string"), F.lit(".gov/bids.aspx?bidID="), k.cast("string")).alias("url"),
-                                     F.when(k % 4 != 0, k % 5 != 0).alias("alive"))
-    return health.feed_audit(rows, alive, V.as_of())
+    return health.feed_audit(rows, _alive(v), V.as_of())
 
 
 @register("a11_feed_audit", V.sql("", "SELECT * FROM audit", **_AU))
@@ -331,18 +342,16 @@ def _(v):
     return health.audit_faults(health.audit_totals(_audit(v))).select("fault", "n")
 
 
-@register("b8_audit", V.sql("", "SELECT count(*) AS portals, sum(rows) AS rows, sum(niche_rows) AS niche_rows, sum(shown_open) AS shown_open, sum(open_but_expired) AS open_but_expired, sum(shown_no_deadline) AS shown_no_deadline FROM aud", **_AU))
+@register("b8_audit", V.sql("", "SELECT count(*) AS portals, sum(rows) AS rows, sum(niche_rows) AS niche_rows, sum(shown_open) AS shown_open, sum(open_but_expired) AS open_but_expired, sum(shown_no_deadline) AS shown_no_deadline, sum(links_checked) AS links_checked, sum(links_dead) AS links_dead FROM audit", **_AU))
 def _(v):
     listing = v.listing_pages().withColumn("url", F.concat(F.substring_index("url", "/Bids.aspx", 1), F.lit(vocab.CIVICPLUS_AUDIT_QUERY)))
     portals = listing.select(F.concat(F.substring_index("url", "/Bids.aspx", 1), F.lit("/Bids.aspx")).alias("url"), F.lit("civicplus").alias("platform"))
-    links = v.bids().select("url", F.lit(True).alias("alive"))
-    # a sample size beyond the number of portals audits them all, which SQL can repeat
-    totals = discovery.audit(listing, portals, links, V.as_of(), n=1_000_000)[1]
-    return totals.select("portals", "rows", "niche_rows", "shown_open", "open_but_expired", "shown_no_deadline")
+    totals = discovery.audit(listing, portals, _alive(v), V.as_of())[1]
+    return totals.select("portals", "rows", "niche_rows", "shown_open", "open_but_expired", "shown_no_deadline", "links_checked", "links_dead")
 
 
-@register("a12_sample_portals")
+@register("a12_sample_portals", "SELECT url FROM (SELECT DISTINCT 'https://t' || (o_orderkey // 8) || '.gov/Bids.aspx' AS url FROM orders) ORDER BY md5(url || '7'), url LIMIT 40")
 def _(v):
     from noticegrid.operators import health
     portals = v.listing_pages().select("url", F.lit("civicplus").alias("platform"))
-    return health.sample_portals(portals, seed=7)
+    return health.sample_portals(portals, seed=7, n=40).select("url")

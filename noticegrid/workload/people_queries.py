@@ -72,15 +72,15 @@ def _zips(v):
     return v.towns().where("town_id % 4 <> 0").select(F.lpad((F.col("town_id") % 100000).cast("string"), 5, "0").alias("zip"), "lat", "lon")
 
 
-_OFFER = "SELECT s.search_id, s.radius, s.lat AS clat, s.lon AS clon, l.* FROM searches s JOIN leads l ON l.seq % 25 = s.search_id % 25"
+_OFFER = "SELECT s.search_id, s.radius, s.lat AS clat, s.lon AS clon, l.* FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) i JOIN searches s ON s.search_id = i.l_suppkey JOIN leads l ON l.seq = i.l_orderkey"
 
 
 @register("j16_leads_in_radius", V.sql("towns searches leads", f"""SELECT o.search_id, o.permit_id FROM offer o LEFT JOIN zips z ON z.zip = o.zip
     WHERE coalesce({V.sql_distance('o.clat', 'o.clon', 'CASE WHEN o.lat IS NOT NULL THEN o.lat ELSE z.lat END', 'CASE WHEN o.lat IS NOT NULL THEN o.lon ELSE z.lon END')} <= o.radius * 8, TRUE)""", zips=_ZIPS, offer=_OFFER))
 def _(v):
-    s = v.searches().select("search_id", (F.col("radius") * 8).alias("radius"), F.col("lat").alias("centre_lat"), F.col("lon").alias("centre_lon"), (F.col("search_id") % 25).alias("g"))
-    offered = s.join(v.leads().withColumn("g", F.col("seq") % 25), "g")
-    return radius.leads_in_radius(offered, _zips(v)).select("search_id", "permit_id")
+    s = v.searches().select("search_id", (F.col("radius") * 8).alias("radius"), "lat", "lon")
+    offered = v.table("lineitem").select(F.col("l_suppkey").alias("search_id"), F.col("l_orderkey").alias("seq")).distinct()
+    return radius.leads_in_radius(offered, s, v.leads().select("seq", "permit_id", "zip", "lat", "lon"), _zips(v), "seq").select("search_id", "permit_id")
 
 
 _SRC = "SELECT DISTINCT city, state, lat, lon, town_id FROM towns WHERE town_id % 5 = 0"
@@ -95,13 +95,14 @@ def _(v):
     return radius.nearby_lead_sources(v.searches().select("search_id", "lat", "lon", "radius"), _sources(v)).select("search_id", "city")
 
 
-_B3 = f"""SELECT s.search_id, l.permit_id, t.town_id AS source_ord FROM searches s JOIN src t ON {V.sql_distance('s.lat', 's.lon', 't.lat', 't.lon')} <= s.radius + 25
+_B3 = f"""SELECT s.search_id, l.permit_id, t.town_id AS source_ord,
+    row_number() OVER (PARTITION BY s.search_id ORDER BY CASE CASE WHEN l.contractor_trade = '' THEN 'open' ELSE l.lead_type END WHEN 'open' THEN 0 WHEN 'builder' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END, l.issued_date DESC, l.seq, t.town_id) AS rank FROM searches s JOIN src t ON {V.sql_distance('s.lat', 's.lon', 't.lat', 't.lon')} <= s.radius + 25
     JOIN leads l ON l.city = t.city AND l.state = t.state LEFT JOIN zips z ON z.zip = l.zip WHERE coalesce({V.sql_distance('s.lat', 's.lon', 'CASE WHEN l.lat IS NOT NULL THEN l.lat ELSE z.lat END', 'CASE WHEN l.lat IS NOT NULL THEN l.lon ELSE z.lon END')} <= s.radius, TRUE)"""
 
 
 @register("b3_residential_leads", V.sql("towns searches leads", _B3, zips=_ZIPS, src=_SRC))
 def _(v):
-    return discovery.residential_leads(v.searches(), L.with_lead_type(v.leads()), _sources(v), _zips(v)).select("search_id", "permit_id", "source_ord")
+    return discovery.residential_leads(v.searches(), L.with_lead_type(v.leads()), _sources(v), _zips(v)).select("search_id", "permit_id", "source_ord", "rank")
 
 
 @register("u5_multi_source_leads", V.sql("leads", "SELECT source_ord, count(*) AS n FROM (SELECT 0 AS source_ord FROM leads UNION ALL SELECT 1 FROM leads) GROUP BY 1"))
@@ -307,9 +308,9 @@ def _suppressed(v):
     return v.table("orders").where(k % 10 == 0).select(F.concat(F.lit("BUYER"), k.cast("string"), F.lit("@x.gov ")).alias("email"))
 
 
-@register("j26_suppress_recipients", V.sql("", "SELECT campaign, email, CAST(ord AS INTEGER) AS ord FROM (SELECT *, row_number() OVER (PARTITION BY campaign ORDER BY seq, email) AS ord FROM queue) WHERE ord <= 200", mail=_MAIL, queue=_QUEUE))
+@register("j26_suppress_recipients", V.sql("", "SELECT campaign, email, ord, CAST(ceil(ord / 200.0) AS BIGINT) AS batch FROM (SELECT *, row_number() OVER (PARTITION BY campaign ORDER BY seq, email) AS ord FROM queue)", mail=_MAIL, queue=_QUEUE))
 def _(v):
-    return ledger.clean_recipients(_mail(v), _suppressed(v)).select("campaign", "email", "ord")
+    return ledger.clean_recipients(_mail(v), _suppressed(v)).select("campaign", "email", "ord", "batch")
 
 
 @register("j26_recipients_report", V.sql("", "SELECT q.campaign, a.asked, a.asked - q.n AS suppressed, least(q.n, 200) AS queued, greatest(q.n - 200, 0) AS over_limit FROM (SELECT campaign, count(*) AS n FROM queue GROUP BY 1) q JOIN (SELECT campaign, count(DISTINCT email) AS asked FROM mail WHERE contains(email, '@') GROUP BY 1) a USING (campaign)", mail=_MAIL, queue=_QUEUE))

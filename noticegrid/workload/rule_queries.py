@@ -184,9 +184,17 @@ def _(v):
     return rank_all(v.bids().select("bid_id", "seq", "title", "town_state"), ["town_state"], [score, F.floor(F.col("seq") / 65536)], [score, F.col("seq")]).select("bid_id", "rank")
 
 
-@register("w5_enrich_budget", V.sql("bids", "SELECT search_id, bid_id FROM (SELECT bid_id % 40 AS search_id, bid_id, row_number() OVER (PARTITION BY bid_id % 40 ORDER BY CASE WHEN deadline = '' THEN 0 ELSE 1 END, seq) AS rn FROM bids WHERE email = '' AND phone = '') WHERE rn <= 14"))
+_TODO = "SELECT bid_id % 40 AS search_id, bid_id, row_number() OVER (PARTITION BY bid_id % 40 ORDER BY CASE WHEN deadline = '' THEN 0 ELSE 1 END, seq) AS read_order FROM bids WHERE email = '' AND phone = ''"
+
+
+@register("w5_enrich_budget", V.sql("bids", f"SELECT search_id, bid_id FROM ({_TODO}) WHERE read_order <= 14"))
+def _(v):
+    return bid_ops.enrich_budget(v.bids().withColumn("search_id", F.col("bid_id") % 40), 14).select("search_id", "bid_id")
+
+
+@register("w5_read_order", V.sql("bids", _TODO))
 def _(v):
-    return bid_ops.enrich_budget(v.bids().withColumn("search_id", F.col("bid_id") % 40)).select("search_id", "bid_id")
+    return bid_ops.enrich_budget(v.bids().withColumn("search_id", F.col("bid_id") % 40)).select("search_id", "bid_id", "read_order")
 
 
 @register("p4_federal_to_bids", V.sql("bids", """SELECT lpad(CAST(bid_id AS VARCHAR), 9, 'a') AS notice, CASE WHEN title = '' THEN 'Untitled Opportunity' ELSE title END AS title, 'Federal · Solicitation' || CASE WHEN bid_id % 2 = 0 THEN ' · Dept of Roads' ELSE '' END AS scope,
@@ -205,7 +213,7 @@ def _(v):
     return bid_ops.federal_to_bids(fed, V.as_of()).select(F.col("noticeId").alias("notice"), "title", "scope", "status", "deadline", "contact", "url", "city", "default_state")
 
 
-_NOTICE_SQL = "SELECT bid_id, left(title, 200) AS title, town AS city, town_state AS state, bid_id % 3 = 0 AS approved FROM bids WHERE title <> '' AND bid_id % 8 <> 7"
+_NOTICE_SQL = "SELECT bid_id, title, town AS city, town_state AS state, bid_id % 3 = 0 AS approved FROM bids WHERE title <> '' AND bid_id % 8 <> 7"
 
 
 def _notices(v):
@@ -244,5 +252,5 @@ def _(v):
     scans = v.table("events").select(F.col("ts").alias("at"), F.concat(F.lit("a"), F.col("user_id").cast("string")).alias("location"), F.lit(25).alias("radius"),
                                      F.col("event_id").alias("kept"), F.lit(0).alias("raw_local"), F.lit(0).alias("anchor_towns"),
                                      F.create_map(F.lit("kept"), F.lit(1)).alias("funnel"), F.col("event_id").alias("scan_id"))
-    return bid_ops.rolling_history(scans).select("location", F.col("kept").alias("event_id"), "recency")
+    return bid_ops.rolling_history(scans, 25).select("location", F.col("kept").alias("event_id"), "recency")
 

@@ -9,6 +9,7 @@ from noticegrid.operators import bids as bid_ops
 from noticegrid.operators import placing, radius
 from noticegrid.operators.common import tally
 from noticegrid.plans import alerts, scan
+from noticegrid.session import stage as base_stage
 from noticegrid.workload import views as V
 from noticegrid.workload.registry import register
 
@@ -24,10 +25,11 @@ def _(v):
     return near.select("search_id", "city", "state", F.round("distance_mi", 6).alias("distance_mi"))
 
 
-@register("c7_haversine", V.sql("gazetteer searches", f"SELECT s.search_id, t.city, round({_DIST}, 6) AS distance_mi FROM searches s JOIN gazetteer t ON s.state = t.state"))
+@register("c7_haversine", V.sql("towns searches", f"SELECT s.search_id, t.city, l_orderkey AS hit, round({_DIST}, 6) AS distance_mi FROM lineitem JOIN searches s ON s.search_id = l_suppkey JOIN towns t ON t.town_id = l_partkey"))
 def _(v):
-    s = v.searches().select("search_id", "state", F.col("lat").alias("slat"), F.col("lon").alias("slon"))
-    return s.join(v.gazetteer(), "state").select("search_id", "city", F.round(geo.haversine_mi("slat", "slon", "lat", "lon"), 6).alias("distance_mi"))
+    s = v.searches().select("search_id", F.col("lat").alias("slat"), F.col("lon").alias("slon"))
+    hits = v.table("lineitem").select(F.col("l_suppkey").alias("search_id"), F.col("l_partkey").alias("town_id"), F.col("l_orderkey").alias("hit"))
+    return hits.join(s, "search_id").join(v.towns(), "town_id").select("search_id", "city", "hit", F.round(geo.haversine_mi("slat", "slon", "lat", "lon"), 6).alias("distance_mi"))
 
 
 @register("j2_towns_in_reach", V.sql("gazetteer searches portals", "SELECT search_id, city, state, round(d, 6) AS distance_mi FROM near "
@@ -81,27 +83,28 @@ def _(v):
 
 
 @register("c8_sample_points", V.sql("searches", """SELECT search_id, ring, idx, round(bearing, 6) AS bearing, round(distance, 6) AS distance,
-    round(degrees(asin(sin(radians(lat)) * cos(distance / 3958.8) + cos(radians(lat)) * sin(distance / 3958.8) * cos(radians(bearing)))), 6) AS lat
-    FROM (SELECT search_id, lat, ring, idx, (idx * 360.0 / per) + ring * 180.0 / per AS bearing, CAST(radius AS DOUBLE) * CASE WHEN radius < 80 THEN 0.7 WHEN ring = 0 THEN 0.5 ELSE 0.85 END AS distance
+    round(degrees(asin(sin(radians(lat)) * cos(distance / 3958.8) + cos(radians(lat)) * sin(distance / 3958.8) * cos(radians(bearing)))), 6) AS lat,
+    round(lon + degrees(atan2(sin(radians(bearing)) * sin(distance / 3958.8) * cos(radians(lat)), cos(distance / 3958.8) - sin(radians(lat)) * (sin(radians(lat)) * cos(distance / 3958.8) + cos(radians(lat)) * sin(distance / 3958.8) * cos(radians(bearing))))), 6) AS lon
+    FROM (SELECT search_id, lat, lon, ring, idx, (idx * 360.0 / per) + ring * 180.0 / per AS bearing, CAST(radius AS DOUBLE) * CASE WHEN radius < 80 THEN 0.7 WHEN ring = 0 THEN 0.5 ELSE 0.85 END AS distance
       FROM (SELECT *, CASE WHEN radius < 80 THEN 1 ELSE 2 END AS rings, CASE radius WHEN 50 THEN 2 WHEN 75 THEN 4 ELSE 3 END AS per FROM searches WHERE radius >= 40) s,
       (VALUES (0), (1)) r(ring), (VALUES (0), (1), (2), (3), (4), (5)) i(idx) WHERE ring < rings AND idx < per)"""))
 def _(v):
     p = radius.sample_points(v.searches())
-    return p.select("search_id", "ring", "idx", *[F.round(c, 6).alias(c) for c in ("bearing", "distance", "lat")])
+    return p.select("search_id", "ring", "idx", *[F.round(c, 6).alias(c) for c in ("bearing", "distance", "lat", "lon")])
 
 
 @register("j14_prune_hits_by_area", V.sql("gazetteer searches crawl", f"""SELECT h.search_id, h.url FROM (SELECT search_id, url, regexp_extract(url, '//(www\\.)?([^/:?#]+)', 2) AS host
-      FROM (SELECT s.search_id, t.url FROM searches s JOIN hits t ON s.search_id % 10 = t.page_id % 10)) h JOIN searches s ON s.search_id = h.search_id
+      FROM hits) h JOIN searches s ON s.search_id = h.search_id
       LEFT JOIN idx t ON t.host = h.host WHERE t.lat IS NULL OR {_DIST} <= s.radius""",
-          hits="SELECT page_id, url FROM pages UNION ALL SELECT row_ord, bid_url FROM crawl WHERE bid_url <> ''",
+          hits="SELECT l_suppkey AS search_id, url FROM lineitem JOIN pages ON page_id = l_partkey // 8 UNION ALL SELECT l_suppkey, bid_url FROM lineitem JOIN crawl ON row_ord = l_partkey WHERE bid_url <> ''",
           idx="SELECT regexp_replace(domain, '^www\\.', '') AS host, g.lat, g.lon FROM crawl c JOIN gazetteer g ON lower(g.city) = lower(c.city) AND g.state = c.state"))
 def _(v):
     from noticegrid.operators import directory
-    hits = v.table("pages").select(F.col("page_id").alias("row_ord"), "url").unionByName(
-        v.crawl().where("bid_url <> ''").select("row_ord", F.col("bid_url").alias("url")))
+    lines = v.table("lineitem").select(F.col("l_suppkey").alias("search_id"), F.col("l_partkey").alias("row_ord"), F.floor(F.col("l_partkey") / 8).alias("page_id"))
+    hits = lines.join(v.table("pages").select("page_id", "url"), "page_id").select("search_id", "url").unionByName(
+        lines.join(v.crawl().where("bid_url <> ''"), "row_ord").select("search_id", F.col("bid_url").alias("url")))
     s = v.searches().select("search_id", "lat", "lon", "radius")
-    pairs = s.select("search_id", (F.col("search_id") % 10).alias("g")).join(hits.withColumn("g", F.col("row_ord") % 10), "g")
-    return radius.prune_hits_by_area(pairs.select("search_id", "url"), s, directory.domain_index(v.crawl()), v.gazetteer()).select("search_id", "url")
+    return radius.prune_hits_by_area(hits, s, directory.domain_index(v.crawl()), v.gazetteer()).select("search_id", "url")
 
 
 # ---- placing ------------------------------------------------------------------------
@@ -216,7 +219,7 @@ def _(v):
 
 
 @register("b1_scan_enriched", V.sql(_SCAN_VIEWS, f"""SELECT search_id, label, bid_id, score + CASE WHEN enriched AND score > -100 THEN 3 WHEN enriched THEN 3 ELSE 0 END AS score, enriched FROM (
-    SELECT k.*, coalesce(rn <= 14 AND bid_id % 2 = 0, FALSE) AND email = '' AND phone = '' AS enriched FROM kept k LEFT JOIN (SELECT search_id, bid_id, row_number() OVER (PARTITION BY search_id ORDER BY CASE WHEN trim(deadline) = '' THEN 0 ELSE 1 END, seq) AS rn
+    SELECT k.*, coalesce(bid_id % 2 = 0, FALSE) AND email = '' AND phone = '' AS enriched FROM kept k LEFT JOIN (SELECT search_id, bid_id, row_number() OVER (PARTITION BY search_id ORDER BY CASE WHEN trim(deadline) = '' THEN 0 ELSE 1 END, seq) AS rn
       FROM kept WHERE email = '' AND phone = '') t USING (search_id, bid_id))""", **_SCAN))
 def _(v):
     # posting pages exist for every second bid and hold only a phone number
@@ -281,9 +284,9 @@ _ALERT = dict(_SCAN, cur=_CURRENT, seen="SELECT search_id, sig FROM cur WHERE bi
 
 def _alerts(v):
     p = prepared(v)
-    rows = scan.attach(scan.scan(centres(v), p), p, ["title", "deadline", "url"])
+    rows = base_stage(scan.scan(centres(v), p), "matches")
     seen = alerts.current_signatures(rows).where("bid_id % 4 = 0").select("search_id", "sig")
-    return alerts.alerts(rows, seen)
+    return alerts.alerts(rows, p, seen)
 
 
 @register("j19_new_for_subscriber", V.sql(_SCAN_VIEWS, "SELECT search_id, label, bid_id, sig FROM fresh", **_ALERT))
@@ -304,5 +307,22 @@ def _(v):
 
 
 @register("w13_seen_cap", V.sql(_SCAN_VIEWS, "SELECT search_id, sig, ord FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY label DESC, rank DESC, bid_id DESC) AS ord FROM cur) WHERE ord <= 300", **_ALERT))
+def _(v):
+    return alerts.seen_after(_alerts(v)["current"], 300)
+
+
+@register("w13_seen_after", V.sql(_SCAN_VIEWS, "SELECT DISTINCT search_id, sig FROM cur", **_ALERT))
 def _(v):
     return _alerts(v)["seen"]
+
+
+_PLAN = "SELECT k.*, substr(sha256(label || '|' || title || '|' || deadline || '|' || url), 1, 16) AS sig FROM kept k"
+_PLANNED = dict(_SCAN, cur=_PLAN, fresh="SELECT * FROM cur WHERE bid_id % 3 <> 0")
+
+
+@register("b4_alerts_upcoming", V.sql(_SCAN_VIEWS, "SELECT search_id, label, bid_id, sig FROM fresh", **_PLANNED))
+def _(v):
+    rows, p = scan.upcoming(centres(v), v.bids(), v.gazetteer(), v.registry(), V.as_of())
+    rows = base_stage(rows, "planned")
+    seen = alerts.current_signatures(rows, open_only=False).where("bid_id % 3 = 0").select("search_id", "sig")
+    return alerts.alerts(rows, p, seen, kind="upcoming")["new"].select("search_id", "label", "bid_id", "sig")

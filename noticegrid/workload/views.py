@@ -82,13 +82,6 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, name: str) -> DataFrame:
-        """The table over at least as many tasks as there are cores: a one-file table is one split,
-        and the text rules that follow cost far more than moving its rows. Larger inputs stay as read.
-        """
-        df, cores = self.table(name), self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
     def towns(self) -> DataFrame:
         k = F.col("c_custkey")
         return self.table("customer").select(
@@ -120,7 +113,7 @@ class Views:
 
     def bids(self) -> DataFrame:
         k = F.col("o_orderkey")
-        joined = self.spread("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(
+        joined = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(
             self.table("part").select("p_partkey", "p_name", "p_type"), F.col("o_custkey") == F.col("p_partkey"))
         joined = joined.withColumns({"_name": town_name(F.col("c_custkey")), "_state": pick(STATES, F.col("c_nationkey")),
                                      "_due": F.add_months(F.date_trunc("quarter", "o_orderdate"), 96)})
@@ -204,12 +197,13 @@ class Views:
         link = F.concat(F.lit('<a href="bids.aspx?bidID='), key, F.lit('">'))
         post = F.concat(
             F.lit("<div><span>"), link, title, F.lit("</a></span><br><span><b>Bid No.</b> 0"), key,
-            F.lit("</span><p>Summary of the work &amp; more ... ["), link, F.lit("Read on</a>]</p><span>Status:</span><br><span>Closes:</span> <span>"),
+            # every fortieth posting says at length what it is about before it states status and date
+            F.lit("</span><p>Summary of the work &amp; more "), F.when(k % 40 == 0, F.repeat(F.lit("as laid out in the plans, "), 400)).otherwise(F.lit("")), F.lit("... ["), link, F.lit("Read on</a>]</p><span>Status:</span><br><span>Closes:</span> <span>"),
             status, F.lit("</span><br><span>"),
             F.when(k % 6 != 0, F.date_format(F.add_months("o_orderdate", 96), "M/d/yyyy")).otherwise(F.lit("TBA")), F.lit("</span></div>\n"))
         page = F.floor(k / 8)
         body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), post.alias("p")))), lambda x: x["p"]), "")
-        return self.spread("orders").groupBy(page.alias("page_id")).agg(body.alias("_b")).select(
+        return self.table("orders").groupBy(page.alias("page_id")).agg(body.alias("_b")).select(
             "page_id", F.concat(F.lit("https://t"), F.col("page_id").cast("string"), F.lit(".gov/Bids.aspx")).alias("url"),
             F.concat(F.lit("<html><body><h1>Bid Postings</h1>"), F.col("_b"), F.lit("</body></html>")).alias("html"))
 
@@ -231,7 +225,7 @@ class Views:
             part(9, 4, F.lit("<p>Addendum 1 issued.</p>")),
             part(4, 0, F.concat(F.lit('<a href="/DocumentCenter/View/'), key, F.lit('">plans</a><a href="plan.pdf">p</a><a href="plan.pdf">p</a>'))),
             F.lit("</html>"))
-        return self.spread("orders").select(k.alias("bid_id"), F.concat(F.lit("https://d.gov/bids/"), key).alias("url"), html.alias("html"))
+        return self.table("orders").select(k.alias("bid_id"), F.concat(F.lit("https://d.gov/bids/"), key).alias("url"), html.alias("html"))
 
     def leads(self) -> DataFrame:
         """Permits as leads; the trade follows the order priority."""

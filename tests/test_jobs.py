@@ -132,10 +132,10 @@ def test_scan_funnel_adds_up_and_alerts(spark):
     out = {r.bid_id: r for r in rows_out.collect() if r.search_id == 1}
     assert 102 in out and 103 not in out and out[101].label == "Aurora" and out[101].rank == 1
     wide = scan.attach(rows_out, prepared, ["title", "deadline", "url"])
-    first = alerts.alerts(wide, spark.createDataFrame([], "search_id int, sig string"))
+    first = alerts.alerts(rows_out, prepared, spark.createDataFrame([], "search_id int, sig string"))
     opened = wide.where("is_open").count()
     assert first["new"].count() == opened == first["seen"].count()
-    assert alerts.alerts(wide, first["seen"])["new"].count() == 0
+    assert alerts.alerts(rows_out, prepared, first["seen"])["new"].count() == 0
     text = {r.search_id: r for r in first["digest"].collect()}[2]
     assert text.n_new == 1 and text.body == "- Curb job 100 — Bentonville (due 2026-09-01)\n  https://x.gov/100"
 
@@ -148,11 +148,11 @@ def test_enrichment_fills_only_blanks_and_keeps_the_budget(spark):
                           F.lit("").alias("bid_number"), F.lit("").alias("prebid"), F.lit(True).alias("addenda"), F.array(F.lit("d")).alias("documents"))
     searches = spark.createDataFrame([(1, 37.2, -93.3, "MO", 60)], "search_id int, lat double, lon double, state string, radius int")
     prepared = scan.prepare(bids, gaz, reg, NOW(), details=details)
-    out = {r.bid_id: r for r in scan.attach(scan.scan(searches, prepared), prepared, ["email", "deadline", "value"]).collect()}
+    out = {r.bid_id: r for r in scan.attach(scan.scan(searches, prepared, enrich_limit=14), prepared, ["email", "deadline", "value"]).collect()}
     read = [i for i, r in out.items() if r.enriched]
     assert sorted(read) == list(range(14)) and all(out[i].status == "Closed" and out[i].email == "x@y.gov" for i in read)
     assert out[15].status == "Open" and out[15].email == "" and out[50].email == "a@b.c" and not out[50].enriched
-    everything = scan.scan(searches, prepared, enrich_limit=None)
+    everything = scan.scan(searches, prepared)
     assert everything.where("enriched").count() == 20
     rich = {r.bid_id: r for r in bid_ops.enrich_from_details(bids, details).collect()}
     assert rich[50].email == "a@b.c" and rich[50].deadline == "2026-09-01" and rich[3].deadline == "7/1/2026" and rich[3].addenda
