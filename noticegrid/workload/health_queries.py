@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from noticegrid.functions import keys
-from noticegrid.operators import health
+from noticegrid.operators import health, radius
 from noticegrid.session import checkpoint_root
 from noticegrid.streaming import jobs
 from noticegrid.workload import views as V
@@ -24,14 +24,30 @@ def root(v, name):
     return f"{checkpoint_root(v.spark)}/run-{name}-{uuid.uuid4().hex}"
 
 
-def stream_log(v):
-    """The fetch log as a file stream over the events table."""
-    events = v.spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(v.folder)
+BATCHES = 6
+
+
+def in_batches(df, path, schema, key):
+    """A table as a stream of shuffled files, one a micro-batch."""
+    df.repartition(BATCHES, F.xxhash64(key)).write.parquet(path)
+    return df.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def stream_log(v, base):
+    """The fetch log as a stream over the events table, in shuffled batches."""
+    events = in_batches(v.table("events"), f"{base}/in", EVENTS, "event_id")
     kind = F.col("event_type") == "error"
     return events.select(F.col("user_id").alias("portal"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), (~kind).alias("ok"),
                          F.when(kind, F.when(F.col("event_id") % 3 == 0, F.lit(429)).otherwise(F.lit(500))).otherwise(F.lit(200)).alias("status"), "event_type")
 
 
+def state_of(v, make, name):
+    """Run a stream over the log and return the state it ends with."""
+    base = root(v, name)
+    jobs.start(make(stream_log(v, base)), name, base).awaitTermination()
+    return jobs.current(v.spark, name, base)
+
+
 @register("t3_portal_health", V.sql("fetch_log", "SELECT portal, fail_count, fail_count < 5 AS trusted FROM streak", streak=_STREAK))
 def _(v):
     return health.portal_health(v.fetch_log()).select("portal", "fail_count", "trusted")
@@ -39,8 +55,8 @@ def _(v):
 
 @register("t3_portal_health_stream", V.sql("fetch_log", "SELECT portal, fail_count, strftime(last_ok, '%Y-%m-%d %H:%M:%S') AS last_ok FROM streak", streak=_STREAK))
 def _(v):
-    state = jobs.stream_streaks(stream_log(v), "portal", "portal_health", root(v, "t3")).latest()
-    return state.select("portal", "fail_count", F.date_format("last_ok", "yyyy-MM-dd HH:mm:ss").alias("last_ok"))
+    state = state_of(v, lambda log: jobs.streaks_stream(log, "portal", late="60 days"), "t3")
+    return jobs.streaks(state, "portal").select("portal", "fail_count", F.date_format("last_ok", "yyyy-MM-dd HH:mm:ss").alias("last_ok"))
 
 
 _T4 = "SELECT portal, ts, event_id AS seq, event_id % 11 = 0 AS ok FROM (SELECT user_id % 20 AS portal, ts, event_id FROM events)"
@@ -63,8 +79,8 @@ def _(v):
 
 @register("t5_provider_cooldown_stream", V.sql("fetch_log", f"SELECT portal, down_until FROM ({_T5.format(NOW)})"))
 def _(v):
-    out = jobs.run_aggregate(jobs.cooldown_stream(stream_log(v), "portal"), "portal", "cooldown", root(v, "t5"))
-    return out.select("portal", F.date_format("down_until", "yyyy-MM-dd HH:mm:ss").alias("down_until"))
+    state = state_of(v, lambda log: jobs.cooldown_stream(log, "portal"), "t5").toDF("portal", "last")
+    return jobs.cooldown(state, "portal").select("portal", F.date_format("down_until", "yyyy-MM-dd HH:mm:ss").alias("down_until"))
 
 
 _T6 = "SELECT portal, count(*) FILTER (WHERE ok) AS ok_n, count(*) FILTER (WHERE NOT ok) AS failed_n, coalesce(arg_max(status, ts) FILTER (WHERE NOT ok), 0) AS last_status FROM fetch_log GROUP BY portal"
@@ -77,7 +93,8 @@ def _(v):
 
 @register("t6_provider_health_stream", V.sql("fetch_log", _T6))
 def _(v):
-    return jobs.run_aggregate(jobs.health_stream(stream_log(v), "portal"), "portal", "health", root(v, "t6"))
+    state = state_of(v, lambda log: jobs.health_stream(log, "portal"), "t6").toDF("portal", "ok_n", "n", "last")
+    return jobs.health(state, "portal")
 
 
 @register("t7_daily_rate_limit", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS rn FROM events) WHERE rn <= 10")
@@ -88,7 +105,8 @@ def _(v):
 
 @register("t7_daily_rate_limit_stream", "SELECT user_id AS portal, CAST(ts AS DATE) AS day, least(count(*), 10) AS accepted, greatest(count(*) - 10, 0) AS refused FROM events GROUP BY 1, 2")
 def _(v):
-    return jobs.run_aggregate(jobs.rate_limit_stream(stream_log(v), "portal"), "portal day", "rate", root(v, "t7"))
+    state = state_of(v, lambda log: jobs.rate_limit_stream(log, "portal", late="60 days"), "t7").toDF("portal", "window", "n")
+    return jobs.rate_limit(state, "portal")
 
 
 @register("t8_miss_retry", f"SELECT event_id FROM events WHERE event_type IN ('view', 'click') AND (event_type = 'view' OR ts <= {NOW} - INTERVAL 24 HOUR)")
@@ -123,9 +141,14 @@ def _(v):
     return health.first_seen_clock(seen, store)
 
 
-@register("t2_first_seen_stream", V.sql("", "SELECT * FROM clock", sightings=_SIG, clock=_CLOCK))
+@register("t2_first_seen_stream", V.sql("", "SELECT sig, CASE WHEN sig LIKE '%-view' THEN least(first_seen, DATE '2023-12-01') ELSE first_seen END AS first_seen FROM clock", sightings=_SIG, clock=_CLOCK))
 def _(v):
-    return jobs.run_aggregate(jobs.first_seen_stream(sightings(stream_log(v))), "sig", "clock", root(v, "t2"))
+    base = root(v, "t2")
+    stored = sightings(v.fetch_log()).select("sig", F.when(F.col("sig").endswith("-view"), F.lit("2023-12-01")).otherwise(F.lit("bad date")).alias("seen_date"),
+                                             F.lit("2024-01-01").cast("timestamp").alias("seen")).distinct()
+    store = in_batches(stored, f"{base}/store", "sig string, seen_date string, seen timestamp", "sig")
+    jobs.start(jobs.first_seen_stream(sightings(stream_log(v, base)), store, late="60 days"), "t2", base).awaitTermination()
+    return jobs.first_seen(jobs.current(v.spark, "t2", base))
 
 
 @register("w14_evict_oldest", "SELECT sig FROM (SELECT 's' || event_id AS sig, row_number() OVER (ORDER BY CAST(ts AS DATE) DESC, 's' || event_id) AS rn FROM events) WHERE rn <= 5000")
@@ -150,16 +173,33 @@ def signed(df):
                                  ).withColumn("sig", keys.bid_signature("label", "title", "deadline", "url"))
 
 
-@register("t1_stream_new_matches", V.sql("", "SELECT * FROM t1", t1=_T1))
+_T1_RUNS = f"""SELECT s.search_id, substr(sha256(b.town || '|' || b.title || '|' || b.deadline || '|' || b.url), 1, 16) AS sig, count(*) AS n
+    FROM bids b JOIN towns t ON t.city = b.town AND t.state = b.town_state JOIN searches s ON {V.sql_distance('s.lat', 's.lon', 't.lat', 't.lon')} <= s.radius GROUP BY ALL"""
+
+
+@register("t1_stream_new_matches", V.sql("bids towns searches", "SELECT search_id, sig FROM t1", t1=_T1_RUNS))
 def _(v):
-    _, out = jobs.stream_new_matches(stream_log(v), signed, "t1", root(v, "t1"))
-    return v.spark.read.parquet(out).select("search_id", "sig").distinct()
+    """Bids of known towns in shuffled runs, met with all saved searches by radius; a bid comes in one run, so each match is new once."""
+    base = root(v, "t1")
+    bids = v.bids().select("bid_id", "title", "deadline", "url", "town", "town_state")
+    stream = in_batches(bids, f"{base}/in", "bid_id bigint, title string, deadline string, url string, town string, town_state string", "bid_id")
+    towns, centres = v.towns(), v.searches().select("search_id", "lat", "lon", "radius")
+
+    def match(batch):
+        placed = batch.join(towns.select(F.col("city").alias("town"), F.col("state").alias("town_state"), "lat", "lon"), ["town", "town_state"])
+        spots = radius.within_radius(centres, placed.select("town", "town_state", "lat", "lon").distinct())
+        met = placed.drop("lat", "lon").join(spots, ["town", "town_state"])
+        return met.select("search_id", keys.bid_signature("town", "title", "deadline", "url").alias("sig"))
+    jobs.matches_of_runs(stream, match, "t1-match", f"{base}/matches", base).awaitTermination()
+    matches = v.spark.readStream.schema("search_id bigint, sig string, run bigint").parquet(f"{base}/matches")
+    jobs.start(jobs.new_matches_stream(matches), "t1-new", base, mode="append", path=f"{base}/new").awaitTermination()
+    return v.spark.read.schema("search_id bigint, run bigint, sig string").parquet(f"{base}/new").select("search_id", "sig")
 
 
 @register("t1_never_again", V.sql("", "SELECT * FROM t1", t1=_T1))
 def _(v):
     base = root(v, "t1b")
-    matches = jobs.never_again(signed(stream_log(v)), late="60 days").select("search_id", "sig")
+    matches = jobs.never_again(signed(stream_log(v, base)), late="60 days").select("search_id", "sig")
     (matches.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check")
      .trigger(availableNow=True).start().awaitTermination())
     return v.spark.read.schema("search_id bigint, sig string").parquet(f"{base}/out")

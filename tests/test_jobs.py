@@ -158,33 +158,59 @@ def test_enrichment_fills_only_blanks_and_keeps_the_budget(spark):
     assert rich[50].email == "a@b.c" and rich[50].deadline == "2026-09-01" and rich[3].deadline == "7/1/2026" and rich[3].addenda
 
 
-def test_streak_stream_over_many_batches_equals_batch(spark, tmp_path):
+def test_streak_stream_over_shuffled_batches_equals_batch(spark, tmp_path):
     rnd = random.Random(3)
-    rows = [(rnd.choice([1, 1, 1, 2, 3]), f"2026-01-01 00:{i // 60:02d}:{i % 60:02d}", i, rnd.random() < 0.2) for i in range(300)]
+    rows = [(rnd.choice([1, 1, 1, 2, 3]), f"2026-01-{1 + i // 60:02d} 00:{i % 60:02d}:00", i, rnd.random() < 0.2) for i in range(300)]
     df = spark.createDataFrame(rows, "portal long, t string, seq long, ok boolean").select("portal", F.to_timestamp("t").alias("ts"), "seq", "ok")
-    for part in range(5):
-        df.where((F.col("seq") >= part * 60) & (F.col("seq") < part * 60 + 60)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    df.repartition(6, F.xxhash64("seq")).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    state = jobs.stream_streaks(stream, "portal", "h", str(tmp_path)).latest()
-    want = health.portal_health(df)
-    got = {r.portal: (r.fail_count, r.last_ok) for r in state.collect()}
-    assert got == {r.portal: (r.fail_count, r.last_ok) for r in want.collect()}
+    jobs.start(jobs.streaks_stream(stream, "portal"), "h", str(tmp_path)).awaitTermination()
+    got = {r.portal: (r.fail_count, r.last_ok) for r in jobs.streaks(jobs.current(spark, "h", str(tmp_path)), "portal").collect()}
+    assert got == {r.portal: (r.fail_count, r.last_ok) for r in health.portal_health(df).collect()}
+
+
+def test_late_results_do_not_turn_a_streak_back():
+    import numpy as np
+    at = lambda *x: np.array(x, np.int64)
+    flag = lambda *x: np.array(x, bool)
+    held = jobs.streaks_after(None, at(100), at(1), flag(True), 0)
+    held = jobs.streaks_after(held, at(10, 20), at(2, 3), flag(True, False), 0)
+    assert held[0] == 100 and held[3] + len(held[4]) == 0
+    held = jobs.streaks_after(held, at(110, 130), at(4, 5), flag(False, False), 0)
+    held = jobs.streaks_after(held, at(120), at(6), flag(True), 0)  # a success between two failures comes last
+    assert held[0] == 120 and held[4] == [130]
+    held = jobs.streaks_after(held, at(140), at(7), flag(False), 135)
+    assert held[3] == 1 and held[4] == [140]  # 130 is settled: no success before it can come any more
+
+
+def test_first_seen_clock_restarts_bad_dates_and_forgets(spark, tmp_path):
+    store = spark.createDataFrame([("a", "2025-12-01"), ("b", "soon")], "sig string, seen_date string").withColumn("seen", F.lit("2026-01-01").cast("timestamp"))
+    store.coalesce(1).write.parquet(f"{tmp_path}/store")
+    days = [("a", "2026-01-02"), ("b", "2026-01-03"), ("old", "2026-01-01")]
+    later = [("b", "2026-05-01"), ("c", "2026-05-02")]
+    for part in (days, later, [("c", "2026-05-03")]):
+        seen = spark.createDataFrame(part, "sig string, t string").select("sig", F.col("t").cast("timestamp").alias("seen"))
+        seen.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        clock = jobs.first_seen_stream(spark.readStream.schema("sig string, seen timestamp").parquet(f"{tmp_path}/in"),
+                                       spark.readStream.schema("sig string, seen_date string, seen timestamp").parquet(f"{tmp_path}/store"), late="1 day")
+        jobs.start(clock, "c", str(tmp_path)).awaitTermination()
+        if part is days:
+            got = {r.sig: str(r.first_seen) for r in jobs.first_seen(jobs.current(spark, "c", str(tmp_path))).collect()}
+            assert got == {"a": "2025-12-01", "b": "2026-01-03", "old": "2026-01-01"}
 
 
 def test_seen_store_is_replaced_so_a_returning_bid_alerts_again(spark, tmp_path):
-    def batch(i, sigs):
-        (spark.createDataFrame([(1, s, "L", i) for s in sigs], "search_id long, sig string, label string, n int")
-         .coalesce(1).write.mode("append").parquet(f"{tmp_path}/in"))
-    cols = lambda d: d.select("search_id", "sig", "label", F.lit(1).alias("rank"), F.lit(1).alias("bid_id"))
-    schema = "search_id long, sig string, label string, n int"
     counts = []
     for i, sigs in enumerate((["a", "b"], ["b"], ["a", "b"])):
-        batch(i, sigs)
-        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        store, out = jobs.stream_new_matches(stream, cols, "m", str(tmp_path))
-        counts.append(spark.read.parquet(out).count())
+        rows = [(1, s) for s in sigs] + ([(2, "z")] if i != 1 else [])
+        spark.createDataFrame(rows, "search_id long, sig string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        bids = spark.readStream.schema("search_id long, sig string").parquet(f"{tmp_path}/in")
+        jobs.matches_of_runs(bids, lambda b: b, "m", f"{tmp_path}/matches", str(tmp_path)).awaitTermination()
+        matches = spark.readStream.schema("search_id long, sig string, run long").parquet(f"{tmp_path}/matches")
+        jobs.start(jobs.new_matches_stream(matches), "n", str(tmp_path), mode="append", path=f"{tmp_path}/new").awaitTermination()
+        counts.append(spark.read.parquet(f"{tmp_path}/new").where("search_id = 1").count())
     assert counts == [2, 2, 3]  # 'a' vanished in the second run and is new again in the third
-    assert {r.sig for r in store.latest().collect()} == {"a", "b"}
+    assert spark.read.parquet(f"{tmp_path}/new").where("search_id = 2").count() == 1  # its store outlived a run without matches
 
 
 def test_top_k_prunes_before_the_shuffle_and_lookups_do_not_cross_join(spark):
