@@ -18,32 +18,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticegrid.llm.base import fresh, stage, words_of
+from noticegrid.llm.base import SPACE, fresh, stage
 
 DEPTH = 3
 LIMIT_DOCUMENTS = 10
 LIMIT_SHARE = 0.002
 LEAST_CONSTANT_PERCENT = 50
 FIELD = "<*>"
+BLANKS = " \t\n\x0b\x0c\r"
+BROADCAST_ROWS = 100_000
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def tokens_of(line: Column) -> Column:
-    return F.transform(words_of(line), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+def masked(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
 
 
 def leaf_of(tokens: Column) -> Column:
-    return F.xxhash64(F.size(tokens), F.concat_ws("\n", F.slice(tokens, 1, DEPTH)))
+    return F.xxhash64(F.size(tokens), F.concat_ws("\n", masked(F.slice(tokens, 1, DEPTH))))
 
 
 def parsed(texts: DataFrame) -> DataFrame:
-    """key, place, leaf and tokens of every line that has a token (texts: key, text, one row per text)."""
+    """key, place, leaf and tokens of every line that has a token (texts: key, text)."""
     lines = texts.select("key", F.posexplode(lines_of(F.col("text"))).alias("place", "line"))
-    return lines.select("key", "place", tokens_of(F.col("line")).alias("tokens")).filter(F.size("tokens") > 0) \
-        .withColumn("leaf", leaf_of(F.col("tokens")))
+    return lines.select("key", "place", F.btrim("line", F.lit(BLANKS)).alias("line")).filter("line <> ''") \
+        .select("key", "place", F.split("line", SPACE).alias("tokens")).withColumn("leaf", leaf_of(F.col("tokens")))
 
 
 def held_by(rows: DataFrame, *what: str) -> DataFrame:
@@ -51,6 +53,12 @@ def held_by(rows: DataFrame, *what: str) -> DataFrame:
     return rows.groupBy(*what, "key").agg(F.lit(1).alias("one")).groupBy(*what).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+def looked_up(table: DataFrame, name: str) -> DataFrame:
+    """The table written, and marked to be sent to all tasks if it has no more rows than BROADCAST_ROWS; else it is shuffled."""
+    written = stage(table, name)
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def dropped_lines(docs: DataFrame, limit_documents: int = LIMIT_DOCUMENTS, limit_share: float = LIMIT_SHARE,
                   least_constant_percent: int = LEAST_CONSTANT_PERCENT) -> tuple[DataFrame, Column]:
     """(key, places): the lines to drop from the text with that key; and the key of a text."""
@@ -58,21 +66,23 @@ def dropped_lines(docs: DataFrame, limit_documents: int = LIMIT_DOCUMENTS, limit
     texts = docs.filter(F.length("text") > 0).select(key.alias("key"), "text")
     n_texts = texts.agg(F.countDistinct("key")).first()[0]
     limit = max(limit_documents, limit_share * n_texts)
-    leaves = held_by(parsed(texts).select("leaf", F.xxhash64("key").alias("key")), "leaf").filter(F.col("n_docs") > limit).select("leaf")
-    # Repeated texts would only repeat the same lines.
-    lines = stage(parsed(texts).join(leaves, "leaf").dropDuplicates(["key", "place"]), "line-parsed")
+    narrow = parsed(docs.filter(F.length("text") > 0).select(F.xxhash64("text").alias("key"), "text"))
+    leaves = held_by(narrow.select("leaf", "key"), "leaf").filter(F.col("n_docs") > limit).select("leaf")
+    lines = parsed(texts).join(looked_up(leaves, "line-leaves"), "leaf").withColumn("tokens", masked(F.col("tokens")))
+    lines = stage(lines, "line-parsed")
     words = lines.select("leaf", "key", F.posexplode("tokens").alias("at", "token")).filter(F.col("token") != FIELD)
     constant = held_by(words, "leaf", "at", "token").filter(F.col("n_docs") > limit) \
         .groupBy("leaf").agg(F.collect_set(F.struct("at", "token")).alias("constant"))
     known = lambda t, i: F.array_contains("constant", F.struct(i.alias("at"), t.alias("token")))
-    blanked = lines.join(constant, "leaf").withColumn(
+    blanked = lines.join(looked_up(constant, "line-constant"), "leaf").withColumn(
         "fields", F.transform("tokens", lambda t, i: F.when(known(t, i), t).otherwise(F.lit(FIELD)))) \
         .withColumn("n_constant", F.size(F.filter("fields", lambda t: t != FIELD))) \
         .filter(100 * F.col("n_constant") >= least_constant_percent * F.size("tokens")) \
         .select("key", "place", "leaf", F.concat_ws(" ", "fields").alias("template"))
     blanked = stage(blanked, "line-templates")
     recurring = held_by(blanked, "leaf", "template").filter(F.col("n_docs") > limit).select("leaf", "template")
-    return blanked.join(recurring, ["leaf", "template"]).groupBy("key").agg(F.collect_set("place").alias("places")), key
+    gone = blanked.join(looked_up(recurring, "line-recurring"), ["leaf", "template"])
+    return gone.groupBy("key").agg(F.collect_set("place").alias("places")), key
 
 
 def without_lines(docs: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_dropped", **options) -> DataFrame:
