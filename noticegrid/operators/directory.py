@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticegrid import vocab
 from noticegrid.functions import places, urls
 from noticegrid.functions.text import col, filled, grams, slug, text
-from noticegrid.operators.common import first_per_key, insert_missing, ranked_rows, subtract_keys, tally
+from noticegrid.operators.common import first_per_key, insert_missing, rank_all, ranked_rows, subtract_keys, tally
 
 HEALTH = ["source", "added", "last_ok", "last_checked", "fail_count"]
 
@@ -181,7 +181,8 @@ def found_rate(crawl: DataFrame, *keys: str) -> DataFrame:
 
 
 def status_tally(rows: DataFrame) -> DataFrame:
-    return tally(rows, "status").orderBy(F.desc("n"), "status")
+    """Rows per status with its place by count; a table of a few statuses."""
+    return tally(rows, "status").withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "status")))
 
 
 def refreshed_registry(raw: DataFrame) -> DataFrame:
@@ -193,9 +194,10 @@ def refreshed_registry(raw: DataFrame) -> DataFrame:
 
 
 def registry_order(registry: DataFrame, limit: int | None = None) -> DataFrame:
-    """Cities, counties, then districts; a limit takes the head of that order."""
-    ordered = registry.orderBy(places.type_rank("type"), "domain")
-    return ordered.limit(limit) if limit else ordered
+    """Cities, counties, then districts, with the place of each; a limit takes the head of that order."""
+    kind = places.type_rank("type")
+    ranked = rank_all(registry, [], [kind, F.substring("domain", 1, 2)], [kind, F.col("domain")], "place")
+    return ranked.where(F.col("place") <= limit) if limit else ranked
 
 
 def recheck_misses(crawl: DataFrame, rechecked: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticegrid.functions import dates, keys, leads, money, relevance
@@ -74,7 +74,7 @@ def lead_status_tiles(rows: DataFrame) -> DataFrame:
 
 
 def feed_sort(rows: DataFrame, mode: str, as_of: Column, saved: DataFrame | None = None) -> DataFrame:
-    """Feed order as a range-partitioned sort: best match, deadline, or value with user edits."""
+    """Each user's feed with its order as ``place``: by best match, deadline, or value with user edits."""
     if mode == "Deadline":
         keyed = rows.withColumn("sort_key", F.coalesce(dates.days_until("deadline", as_of), F.lit(9999)).cast("double"))
     elif mode == "Est. Value":
@@ -82,16 +82,20 @@ def feed_sort(rows: DataFrame, mode: str, as_of: Column, saved: DataFrame | None
         keyed = edited.withColumn("sort_key", -money.parse_value("value"))
     else:
         keyed = rows.withColumn("sort_key", F.col("rank").cast("double"))
-    return keyed.orderBy("user_id", "sort_key", "rank")
+    return placed(keyed, "sort_key", "rank")
+
+
+def placed(rows: DataFrame, *order: str | Column) -> DataFrame:
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
 
 
 def open_first(rows: DataFrame) -> DataFrame:
     section = F.when(relevance.is_exactly_open("status"), F.lit("open")).otherwise(F.lit("other"))
-    return rows.withColumn("section", section).orderBy("user_id", "section", "rank")
+    return placed(rows.withColumn("section", section), "section", "rank")
 
 
 def leads_newest(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("user_id", F.desc(text("issued_date")), "seq")
+    return placed(rows, F.desc(text("issued_date")), "seq")
 
 
 def saved_overrides(rows: DataFrame, saved: DataFrame, fields: list[str]) -> DataFrame:

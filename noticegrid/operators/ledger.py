@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticegrid import vocab
@@ -21,10 +21,11 @@ def plan_for(amount: Column | str) -> Column:
 
 
 def entitlements(events: DataFrame) -> DataFrame:
-    """Current plan per customer, in one partial aggregation over the event history.
+    """Current plan per customer.
 
-    A checkout sets plan and identity, later payments renew it, an end revokes the key that
-    was current then; a renewal after an end issues a valid key again.
+    A checkout sets plan and identity, later payments renew it. A key belongs to an e-mail: an end
+    revokes the key that the customer's e-mail holds at that moment, whichever customer it was issued to; a renewal
+    after an end issues a valid key again.
     """
     at = F.struct("ts", "seq")
     is_done, is_paid, is_end = F.col("type") == COMPLETED, F.col("type") == PAID, F.col("type").isin(*ENDED)
@@ -32,15 +33,19 @@ def entitlements(events: DataFrame) -> DataFrame:
         F.max_by(F.struct(F.lower(text("email")).alias("email"), text("device").alias("device"), plan_for("amount_total").alias("plan")),
                  F.when(is_done, at)).alias("_p"),
         F.min(F.when(is_done, at)).alias("_first"), F.max(F.when(is_done, at)).alias("_done"),
-        F.max(F.when(is_paid, at)).alias("_paid"), F.max(F.when(is_end, at)).alias("_end")).where("_first is not null")
-    after = lambda c: F.when(F.col(c) > F.col("_first"), F.col(c))
-    issued = F.greatest(F.col("_done"), after("_paid"))
-    rows = per.select("customer", "_p.*", issued.alias("_issued"), after("_end").alias("_end"))
+        F.max(F.when(is_paid, at)).alias("_paid")).where("_first is not null")
+    issued = F.greatest(F.col("_done"), F.when(F.col("_paid") > F.col("_first"), F.col("_paid")))
+    rows = per.select("customer", "_p.*", "_first", issued.alias("_issued"))
+    moves = (events.where(is_done | is_paid | is_end).select("customer", at.alias("_at"), is_end.alias("_end"))
+             .join(rows.select("customer", "email", "_first"), "customer").where(F.col("_at") >= F.col("_first")))
+    before = Window.partitionBy("email").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.last(F.when(~F.col("_end"), F.struct("customer", F.col("_at").alias("_issued"))), ignorenulls=True).over(before)
+    ended = (moves.withColumn("_held", held).where(F.col("_end") & F.col("_held").isNotNull())
+             .select("_held.*").distinct().withColumn("_over", F.lit(True)))
     term = F.when(F.col("plan") == "annual", F.lit(360)).otherwise(F.lit(30))
-    return rows.select(
+    return rows.join(ended, ["customer", "_issued"], "left").select(
         "customer", "email", "device", "plan", F.col("_issued.ts").alias("issued_at"),
-        F.date_add(F.col("_issued.ts").cast("date"), term).alias("expires"),
-        F.coalesce(F.col("_end") > F.col("_issued"), F.lit(False)).alias("revoked"))
+        F.date_add(F.col("_issued.ts").cast("date"), term).alias("expires"), F.coalesce("_over", F.lit(False)).alias("revoked"))
 
 
 def current_by_identity(plans: DataFrame, identity: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from noticegrid import vocab
 from noticegrid.functions import dates, posting, urls
 from noticegrid.functions.relevance import declares_closed, looks_awarded, looks_relevant
-from noticegrid.functions.text import clean, count_terms, grams, has_any, html_to_text, slug, text, unescape, visible
+from noticegrid.functions.text import clean, count_terms, grams, has_any, html_to_text, slug, strip, text, unescape, visible
 from noticegrid.operators.common import first_per_key, ranked_rows, top_k
 
 # fixed values: markup of links and listings
@@ -17,7 +17,7 @@ POSTING_LINK = r'(?is)<a[^>]+href="([^"]*Bids\.aspx\?bidID=\d+[^"]*)"[^>]*>(.*?)
 POSTING_START = r'(?i)(?=<a[^>]+href="[^"]*Bids\.aspx\?bidID=\d)'
 READ_ON = r"(?i)^read ?on\b"
 FEED_LINK = r'(?i)href="([^"]*(?:RSSFeed\.aspx|rss\.aspx)[^"]*)"[^>]*>([^<]*)'
-FEED_SCHEMA = ("struct<channel:struct<item:array<struct<title:string,link:string,description:string>>>>")
+FEED_ITEM = r"(?is)<(?:\w+:)?item(?:\s[^>]*)?>(.*?)</(?:\w+:)?item\s*>"
 EXTRACTED = ("array<struct<title:string,scope:string,status:string,deadline:string,contact:string,email:string,"
              "phone:string,value:string,url:string,city:string>>")
 
@@ -130,16 +130,26 @@ def page_outcomes(pages: DataFrame) -> DataFrame:
 
 
 def feed_items(feeds: DataFrame) -> DataFrame:
-    """Items of RSS documents; a malformed document gives none."""
-    parsed = feeds.select("feed_id", F.from_xml("xml", FEED_SCHEMA, {"mode": "PERMISSIVE"}).alias("_x"))
-    items = parsed.select("feed_id", F.posexplode("_x.channel.item").alias("pos", "_i"))
-    read = items.select("feed_id", "pos", visible("_i.title").alias("title"), F.trim(text("_i.link")).alias("url"),
-                        visible("_i.description").alias("scope")).where("title <> ''")
+    """Items of feed documents at any depth (inside a channel, or beside it as in RSS 1.0); a malformed document gives none.
+
+    A document is parsed as a whole to know that it is well formed; its items are then read one by one.
+    """
+    sound = F.from_xml("xml", "_ok string, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    good = feeds.where(F.isnull(sound["_corrupt"]))
+    items = good.select("feed_id", F.posexplode(F.regexp_extract_all(text("xml"), F.lit(FEED_ITEM), F.lit(1))).alias("pos", "_i"))
+    field = lambda name: _markup(F.regexp_extract("_i", rf"(?is)<(?:\w+:)?{name}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{name}\s*>", 1))
+    read = items.select("feed_id", "pos", visible(field("title")).alias("title"), strip(field("link")).alias("url"),
+                        visible(field("description")).alias("scope")).where("title <> ''")
     closes = dates.close_date("scope")
     return read.select("*", F.when(closes != "", closes).otherwise(dates.close_date("title")).alias("deadline"),
                        dates.status_near("scope").alias("status"), F.lit("civicplus-rss").alias("source"))
 
 
+def _markup(c: Column) -> Column:
+    """Character data of an element: CDATA as it stands, entities read."""
+    return F.when(c.contains("<![CDATA["), F.regexp_replace(c, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")).otherwise(unescape(c))
+
+
 def bid_feed_link(pages: DataFrame) -> DataFrame:
     """The first feed link of a page that is about bids, made absolute; in-row."""
     links = F.transform(_matches("html", FEED_LINK, ("href", "label")), lambda a: F.struct(

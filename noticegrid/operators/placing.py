@@ -147,8 +147,10 @@ def resolve_locations(searches: DataFrame, gazetteer: DataFrame, zips: DataFrame
         places.place_key(F.trim(F.regexp_extract(t, full, 1)), F.when(
             F.length(F.trim(F.regexp_extract(t, full, 2))) > 2,
             places.state_code(F.regexp_extract(t, full, 2), territories=False))).alias("_k2"))
-    points = gazetteer.select(places.place_key("city", "state").alias("_k"), F.struct("lat", "lon", "city", "state").alias("_p"))
-    by_zip = zips.select("zip", F.struct("lat", "lon", "city", "state").alias("_z"))
+    point = F.min(F.struct("lat", "lon", "city", "state"))  # one point per name and per ZIP, or a search would multiply
+    points = gazetteer.groupBy(places.place_key("city", "state").alias("_k")).agg(point.alias("_p"))
+    by_zip = zips.where("zip <> ''").groupBy("zip").agg(point.alias("_z"))
+    asked = asked.withColumn("zip", F.nullif(F.col("zip"), F.lit("")))
     joined = (asked.join(by_zip, "zip", "left")
               .join(points.withColumnsRenamed({"_k": "_k1", "_p": "_p1"}), "_k1", "left")
               .join(points.withColumnsRenamed({"_k": "_k2", "_p": "_p2"}), "_k2", "left"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from noticegrid import vocab
 from noticegrid.operators import directory, feed
 from noticegrid.operators.common import subtract_keys, upsert
+from noticegrid.session import stage
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -29,15 +32,16 @@ def export_leads_csv(rows: DataFrame, path: str) -> None:
 
 
 def export_tables(tables: dict[str, DataFrame], path: str) -> DataFrame:
-    """Write each table as JSON; rows (table, rows, error) say what became of each one."""
+    """Write each table as JSON; rows (table, rows, error) say what became of each one. Rows are counted as they are written."""
     spark = next(iter(tables.values())).sparkSession
     report = []
     for name, df in tables.items():
         try:
-            df.write.mode("errorifexists").json(f"{path}/{name}")
-            report.append((name, spark.read.schema(df.schema).json(f"{path}/{name}").count(), ""))
-        except Exception as error:  # one broken table must not cost the others
-            report.append((name, 0, type(error).__name__))
+            counted = Observation(f"rows of {name}")
+            df.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").json(f"{path}/{name}")
+            report.append((name, counted.get["n"], ""))
+        except (PySparkException, Py4JJavaError) as error:  # one table that Spark can not read must not cost the others
+            report.append((name, 0, f"{type(error).__name__}: {str(error).splitlines()[0][:200]}"))
     return spark.createDataFrame(report, "table string, rows long, error string")
 
 
@@ -48,7 +52,7 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 def refresh_registry(raw: DataFrame, path: str, min_rows: int = vocab.REGISTRY_MIN_ROWS) -> int:
     """Write the registry unless it looks cut short; returns the number of rows."""
-    rows = directory.refreshed_registry(raw)
+    rows = stage(directory.refreshed_registry(raw), "registry")
     n = rows.count()
     if n < min_rows:
         raise ValueError(f"refusing to write: only {n} rows, expected at least {min_rows}")

@@ -270,9 +270,9 @@ def _(v):
     return D.promote_portals(twice, prior, F.lit("2026-08-01")).select("domain", "city", "source", "checked_date", "platform")
 
 
-@register("w17_registry_order", V.sql("registry", "SELECT domain, type FROM registry ORDER BY CASE type WHEN 'City' THEN 0 WHEN 'County' THEN 1 WHEN 'Special district' THEN 2 ELSE 3 END, domain LIMIT 100"))
+@register("w17_registry_order", V.sql("registry", "SELECT domain, type, row_number() OVER (ORDER BY CASE type WHEN 'City' THEN 0 WHEN 'County' THEN 1 WHEN 'Special district' THEN 2 ELSE 3 END, domain) AS place FROM registry"))
 def _(v):
-    return D.registry_order(v.registry(), 100).select("domain", "type")
+    return D.registry_order(v.registry()).select("domain", "type", "place")
 
 
 @register("j23_upsert", V.sql("bids", "SELECT bid_id, CASE WHEN bid_id % 3 = 0 THEN 'new' ELSE title END AS title FROM bids"))

@@ -222,7 +222,7 @@ def _(v):
     return discovery.verify_candidates(_candidates(v).drop("row_ord"), _snapshot(v)).select("domain", "status", "owns")
 
 
-@register("a14_status_tally", V.sql("", "SELECT status, count(*) AS n FROM verified GROUP BY status", site=_SITE, verified=_VERIFIED))
+@register("a14_status_tally", V.sql("", "SELECT status, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, status) AS place FROM verified GROUP BY status", site=_SITE, verified=_VERIFIED))
 def _(v):
     from noticegrid.operators import directory
     return directory.status_tally(discovery.verify_candidates(_candidates(v).drop("row_ord"), _snapshot(v)))

@@ -60,9 +60,9 @@ def _(v):
     return rank_all(rows.select("permit_id", "state", "priority", "issued_date", "seq"), ["state"], [F.col("priority"), newest], [F.col("priority"), newest, F.col("seq")]).select("permit_id", "rank")
 
 
-@register("w9_leads_newest", V.sql("leads", "SELECT permit_id, issued_date FROM leads"))
+@register("w9_leads_newest", V.sql("leads", "SELECT permit_id, issued_date, row_number() OVER (PARTITION BY state ORDER BY issued_date DESC, seq) AS place FROM leads"))
 def _(v):
-    return feed.leads_newest(v.leads().withColumn("user_id", F.col("state"))).select("permit_id", "issued_date")
+    return feed.leads_newest(v.leads().withColumn("user_id", F.col("state"))).select("permit_id", "issued_date", "place")
 
 
 _ZIPS = "SELECT lpad(CAST(town_id % 100000 AS VARCHAR), 5, '0') AS zip, min(lat) AS lat, min(lon) AS lon FROM towns WHERE town_id % 4 <> 0 GROUP BY 1"
@@ -105,11 +105,11 @@ def _(v):
     return discovery.residential_leads(v.searches(), L.with_lead_type(v.leads()), _sources(v), _zips(v)).select("search_id", "permit_id", "source_ord", "rank")
 
 
-@register("u5_multi_source_leads", V.sql("leads", "SELECT source_ord, count(*) AS n FROM (SELECT 0 AS source_ord FROM leads UNION ALL SELECT 1 FROM leads) GROUP BY 1"))
+@register("u5_multi_source_leads", V.sql("leads", "SELECT 0 AS source_ord, permit_id, contractor_name FROM leads UNION ALL SELECT 1, permit_id, NULL FROM leads"))
 def _(v):
     from noticegrid.operators.bids import normalize_opportunities
     both = normalize_opportunities([("austin", v.leads()), ("cambridge", v.leads().drop("contractor_name"))])
-    return both.groupBy(F.col("source_priority").alias("source_ord")).agg(F.count(F.lit(1)).alias("n"))
+    return both.select(F.col("source_priority").alias("source_ord"), "permit_id", "contractor_name")
 
 
 def user_leads(v):
@@ -173,21 +173,21 @@ def _(v):
     return feed.upcoming_filter(user_bids(v), "Kace").select("bid_id")
 
 
-@register("w7_feed_sort_deadline", V.sql("bids", "SELECT bid_id, coalesce(CASE WHEN contains(deadline, 'ue') AND NOT contains(deadline, ', ') THEN NULL ELSE date_diff('day', DATE '2006-08-01', due_date) END, 9999) AS sort_key FROM bids"))
+@register("w7_feed_sort_deadline", V.sql("bids", f"SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sort_key, bid_id) AS place FROM (SELECT bid_id, {_U} AS user_id, coalesce(CASE WHEN contains(deadline, 'ue') AND NOT contains(deadline, ', ') THEN NULL ELSE date_diff('day', DATE '2006-08-01', due_date) END, 9999) AS sort_key FROM bids)"))
 def _(v):
-    return feed.feed_sort(user_bids(v), "Deadline", V.as_of()).select("bid_id", "sort_key")
+    return feed.feed_sort(user_bids(v), "Deadline", V.as_of()).select("bid_id", "user_id", "sort_key", "place")
 
 
-@register("w7_feed_sort_value", V.sql("bids", f"SELECT bid_id, CASE WHEN bid_id % 10 = 0 THEN -5000 ELSE -coalesce({_AMT}, -1) END AS sort_key FROM bids"))
+@register("w7_feed_sort_value", V.sql("bids", f"SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sort_key, bid_id) AS place FROM (SELECT bid_id, {_U} AS user_id, CASE WHEN bid_id % 10 = 0 THEN -5000 ELSE -coalesce({_AMT}, -1) END AS sort_key FROM bids)"))
 def _(v):
     rows = feed.with_bid_key(user_bids(v)).withColumn("bid_key", F.concat("bid_key", F.col("bid_id").cast("string")))
     edits = rows.where("bid_id % 10 = 0").select("user_id", "bid_key", F.lit("$5k").alias("value"))
-    return feed.feed_sort(rows, "Est. Value", V.as_of(), edits).select("bid_id", "sort_key")
+    return feed.feed_sort(rows, "Est. Value", V.as_of(), edits).select("bid_id", "user_id", "sort_key", "place")
 
 
-@register("w8_open_first", V.sql("bids", "SELECT bid_id, CASE WHEN lower(status) = 'open' THEN 'open' ELSE 'other' END AS section FROM bids"))
+@register("w8_open_first", V.sql("bids", f"SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY section, bid_id) AS place FROM (SELECT bid_id, {_U} AS user_id, CASE WHEN lower(status) = 'open' THEN 'open' ELSE 'other' END AS section FROM bids)"))
 def _(v):
-    return feed.open_first(user_bids(v)).select("bid_id", "section")
+    return feed.open_first(user_bids(v)).select("bid_id", "user_id", "section", "place")
 
 
 @register("j20_merge_saved", V.sql("bids", "SELECT bid_id, bid_id % 3 <> 0 AS pushed FROM bids"))
@@ -222,11 +222,14 @@ def billing(v):
 
 
 _BILL = """SELECT ts, event_id AS seq, event_type, 'cus' || user_id AS customer, 'user' || (user_id % 40) || '@x.com' AS email, 'd' || (user_id % 60) AS device, CASE WHEN CAST(trunc(value * 1000) AS BIGINT) >= 10000 THEN 'annual' ELSE 'monthly' END AS plan, user_id FROM events"""
-_PLAN = """SELECT d.customer, d.email, d.device, d.plan, i.at AS issued_at, CAST(CAST(i.at AS DATE) + CASE WHEN d.plan = 'annual' THEN 360 ELSE 30 END AS DATE) AS expires, coalesce(e.at > i.at, FALSE) AS revoked FROM
+_KNOWN = "SELECT customer, min(row(ts, seq)) AS f, arg_max(email, row(ts, seq)) AS email FROM bill WHERE event_type = 'signup' GROUP BY 1"
+_ISSUED = "SELECT b.customer, s.email, row(b.ts, b.seq) AS moment FROM bill b JOIN known s ON s.customer = b.customer AND row(b.ts, b.seq) >= s.f WHERE event_type IN ('signup', 'purchase')"
+_ENDED = """SELECT DISTINCT arg_max(i.customer, i.moment) AS customer, max(i.moment) AS moment FROM (SELECT s.email, row(b.ts, b.seq) AS moment FROM bill b JOIN known s ON s.customer = b.customer AND row(b.ts, b.seq) >= s.f WHERE event_type = 'error') e
+    JOIN issued i ON i.email = e.email AND i.moment < e.moment GROUP BY e.email, e.moment"""
+_PLAN = """SELECT d.customer, d.email, d.device, d.plan, i.ts AS issued_at, CAST(CAST(i.ts AS DATE) + CASE WHEN d.plan = 'annual' THEN 360 ELSE 30 END AS DATE) AS expires, e.customer IS NOT NULL AS revoked FROM
     (SELECT * FROM bill WHERE event_type = 'signup' QUALIFY row_number() OVER (PARTITION BY customer ORDER BY ts DESC, seq DESC) = 1) d
-    JOIN (SELECT b.customer, max(b.ts) AS at FROM bill b JOIN (SELECT customer, min(ts) AS f FROM bill WHERE event_type = 'signup' GROUP BY 1) s ON s.customer = b.customer AND b.ts >= s.f WHERE event_type IN ('signup', 'purchase') GROUP BY 1) i USING (customer)
-    LEFT JOIN (SELECT customer, max(ts) AS at FROM bill WHERE event_type = 'error' GROUP BY 1) e USING (customer)"""
-_PL = dict(bill=_BILL, plans=_PLAN)
+    JOIN (SELECT customer, max(moment) AS moment, max(moment)[1] AS ts FROM issued GROUP BY 1) i USING (customer) LEFT JOIN ended e ON e.customer = i.customer AND e.moment = i.moment"""
+_PL = dict(bill=_BILL, known=_KNOWN, issued=_ISSUED, ended=_ENDED, plans=_PLAN)
 
 
 @register("a17_entitlements", V.sql("", "SELECT customer, email, device, plan, expires, revoked FROM plans", **_PL))

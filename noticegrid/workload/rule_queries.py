@@ -228,11 +228,11 @@ def _(v):
     return _notices(v).select("bid_id", "title", "city", "state", "approved")
 
 
-@register("p5_normalize_opportunities", V.sql("bids", f"""SELECT source, source_priority, count(*) AS n, sum(bid_id) AS ids FROM (
-    SELECT 'portals' AS source, 0 AS source_priority, bid_id FROM bids UNION ALL SELECT 'agency_posted', 1, bid_id FROM ({_NOTICE_SQL}) WHERE approved AND bid_id % 20 <> 8) GROUP BY ALL"""))
+@register("p5_normalize_opportunities", V.sql("bids", f"""SELECT 'portals' AS source, 0 AS source_priority, bid_id, title, city, NULL AS agency FROM bids UNION ALL
+    SELECT 'agency_posted', 1, n.bid_id, n.title, n.city, b.town FROM ({_NOTICE_SQL}) n JOIN bids b USING (bid_id) WHERE n.approved AND n.bid_id % 20 <> 8"""))
 def _(v):
     rows = bid_ops.normalize_opportunities([("portals", v.bids()), ("agency_posted", bid_ops.approved_notices(_notices(v)))])
-    return rows.groupBy("source", "source_priority").agg(F.count(F.lit(1)).alias("n"), F.sum("bid_id").alias("ids"))
+    return rows.select("source", "source_priority", "bid_id", "title", "city", "agency")
 
 
 @register("u1_union_sources", V.sql("bids", f"SELECT bid_id, source FROM (SELECT bid_id, 'portals' AS source FROM bids UNION ALL SELECT bid_id, 'agency_posted' FROM ({_NOTICE_SQL}))"))
