@@ -101,20 +101,20 @@ def saved(v):
     return v.bids().drop("city").withColumnRenamed("town", "city").withColumn("pipeline", V.pick(["submitted", "won", "lost", "passed", "", ""], k))
 
 
-@register("s11_export_bids_csv", V.sql("bids", """SELECT town AS "City", title AS "Title", status AS "Status", value AS "Est. Value", deadline AS "Deadline", url AS "Link" FROM bids"""))
+@register("s11_export_bids_csv", V.sql("bids", """SELECT town AS "City", title AS "Title", status AS "Status", scope AS "Scope", value AS "Est. Value", deadline AS "Deadline", contact AS "Contact", email AS "Email", phone AS "Phone", url AS "Link" FROM bids"""))
 def _(v):
     path = fresh(v, "bids")
     sinks.export_bids_csv(v.bids().drop("city").withColumnRenamed("town", "city"), path)
     back = v.spark.read.option("header", True).option("escape", '"').csv(path)
-    return back.select(*[F.coalesce(f"`{c}`", F.lit("")).alias(c) for c in ("City", "Title", "Status", "Est. Value", "Deadline", "Link")])
+    return back.select(*[F.coalesce(f"`{c}`", F.lit("")).alias(c) for c in back.columns])
 
 
-@register("s12_export_saved_csv", V.sql("bids", """SELECT town AS "City", title AS "Title", pipeline AS "Pipeline Status" FROM sv WHERE pipeline = 'won'""", sv=_SAVED))
+@register("s12_export_saved_csv", V.sql("bids", """SELECT town AS "City", title AS "Title", scope AS "Scope", value AS "Est. Value", deadline AS "Deadline", contact AS "Contact", email AS "Email", phone AS "Phone", url AS "Source URL", pipeline AS "Pipeline Status" FROM sv WHERE pipeline = 'won'""", sv=_SAVED))
 def _(v):
     path = fresh(v, "saved")
     sinks.export_saved_csv(saved(v), path, "won")
     back = v.spark.read.option("header", True).option("escape", '"').csv(path)
-    return back.select(*[F.coalesce(f"`{c}`", F.lit("")).alias(c) for c in ("City", "Title", "Pipeline Status")])
+    return back.select(*[F.coalesce(f"`{c}`", F.lit("")).alias(c) for c in back.columns])
 
 
 @register("f17_pipeline_filter", V.sql("bids", "SELECT bid_id FROM sv WHERE pipeline = ''", sv=_SAVED))
@@ -122,12 +122,13 @@ def _(v):
     return feed.pipeline_filter(saved(v), "none").select("bid_id")
 
 
-@register("s13_export_leads_csv", V.sql("leads", """SELECT city AS "City", address AS "Address", issued_date AS "Issued Date", contractor_name AS "Builder/Contact", outreach AS "Status" FROM leads"""))
+@register("s13_export_leads_csv", V.sql("leads", """SELECT city AS "City", address AS "Address", permit_type AS "Permit Type", description AS "Description", issued_date AS "Issued Date", contractor_name AS "Builder/Contact",
+    contractor_trade AS "Trade", '' AS "Phone", '' AS "Permit Record", outreach AS "Status" FROM leads"""))
 def _(v):
     path = fresh(v, "leads")
     sinks.export_leads_csv(v.leads(), path)
     back = v.spark.read.option("header", True).option("escape", '"').csv(path)
-    return back.select(*[F.coalesce(f"`{c}`", F.lit("")).alias(c) for c in ("City", "Address", "Issued Date", "Builder/Contact", "Status")])
+    return back.select(*[F.coalesce(f"`{c}`", F.lit("")).alias(c) for c in back.columns if c != "Lead Type"])
 
 
 @register("s14_export_tables", V.sql("bids leads", "SELECT 'saved_bids' AS \"table\", count(*) AS rows, '' AS error FROM bids UNION ALL SELECT 'leads', count(*), '' FROM leads UNION ALL SELECT 'events', count(*), '' FROM events"))

@@ -74,8 +74,8 @@ _rule("p10_clean_city_label", V.sql("bids", "SELECT bid_id, town AS label FROM b
       label=lambda: places.clean_city_label(F.concat("town", F.lit(", "), F.when(F.col("bid_id") % 2 == 0, F.col("town_state")).otherwise(
           F.initcap(F.try_element_at(F.create_map(*[F.lit(x) for kv in vocab.STATE_NAMES.items() for x in kv]), F.col("town_state"))))), "town_state"))
 _rule("p11_entity_type", V.sql("bids", "SELECT bid_id, CASE WHEN city LIKE '% County' THEN 'County' ELSE 'City' END AS kind FROM bids"), kind=lambda: places.entity_type("city"))
-_rule("f10_name_classes", V.sql("bids", "SELECT bid_id, city LIKE '% County' AS authority, city LIKE '% County' AS county, FALSE AS non_place FROM bids"),
-      authority=lambda: places.looks_like_authority("city"), county=lambda: places.county_shaped("city"), non_place=lambda: places.is_non_place("city"))
+_rule("f10_name_classes", V.sql("bids", "SELECT bid_id, city LIKE '% County' AS authority, city LIKE '% County' AS county, bid_id % 4 = 0 AS non_place FROM bids"),
+      authority=lambda: places.looks_like_authority("city"), county=lambda: places.county_shaped("city"), non_place=lambda: places.is_non_place(F.expr("CASE bid_id % 4 WHEN 0 THEN city || ' Township' ELSE city END")))
 _rule("c19_resolve_url", V.sql("bids", "SELECT bid_id, CASE bid_id % 4 WHEN 0 THEN url WHEN 1 THEN 'https://page.gov/list' WHEN 2 THEN 'https://page.gov/b/' || bid_id ELSE 'https://page.gov/list' END AS link FROM bids"),
       link=lambda: urls.resolve_url(F.expr("CASE bid_id % 4 WHEN 0 THEN url WHEN 1 THEN '' WHEN 2 THEN '/b/' || bid_id ELSE 'https://made.up/' || bid_id END"),
                                     F.lit("https://page.gov/list"), F.concat(F.lit("Printed: "), F.col("url"))))
