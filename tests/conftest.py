@@ -9,10 +9,11 @@ from noticegrid import session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = session.build("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-        "spark.driver.memory": "12g"})
+        "spark.driver.memory": "12g", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))})
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    session.drop_staged(s)
     s.stop()
