@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from noticegrid import vocab
 from noticegrid.functions import dates, keys, places, posting, relevance
-from noticegrid.functions.text import filled, first_filled, text, visible
+from noticegrid.functions.text import filled, first_filled, strip, text, visible
 from noticegrid.operators.common import first_per_key, ranked_rows, top_k
 
 BID_FIELDS = ["title", "scope", "status", "deadline", "contact", "email", "phone", "value", "url", "city"]
@@ -93,7 +93,7 @@ def with_details(rows: DataFrame, details: DataFrame, only: Column | None = None
     documents = own("documents").cast("array<string>")
     fields["documents"] = F.coalesce(F.when(F.size(documents) > 0, documents), F.when(may, F.col("_d_documents")),
                                      F.array().cast("array<string>"))
-    return joined.select(*rows.columns, *[v.alias(f"e_{c}") for c, v in fields.items()])
+    return joined.select(*rows.columns, *[v.alias(f"e_{c}") for c, v in fields.items()], F.col("_read").isNotNull().alias("was_read"))
 
 
 def enrich_from_details(rows: DataFrame, details: DataFrame, only: Column | None = None) -> DataFrame:
@@ -116,6 +116,15 @@ def details_from_pages(pages: DataFrame) -> DataFrame:
         posting.detail_documents("html", "url").alias("documents"))
 
 
+def intake_reasons(rows: DataFrame) -> DataFrame:
+    """What becomes of raw rows before they are placed, per source: malformed, off the trade, posted by an agency, or taken."""
+    malformed = (strip("title") == "") & (strip("url") == "")
+    posted = text("source") == "agency_posted"
+    reason = (F.when(malformed, F.lit("malformed")).when(~posted & ~relevance.looks_relevant("title", "scope"), F.lit("filtered_not_niche"))
+              .when(posted, F.lit("agency_posted")).otherwise(F.lit("taken")))
+    return rows.groupBy("source", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def status_breakdown(rows: DataFrame, *by: str) -> DataFrame:
     label = first_filled(F.trim(text("status")), F.lit("(none)"))
     return rows.groupBy(*by, label.alias("status")).agg(F.count(F.lit(1)).alias("n"))

@@ -97,6 +97,13 @@ def prune_hits_by_area(hits: DataFrame, searches: DataFrame, domain_towns: DataF
             .drop("_lat", "_lon", "_clat", "_clon", "radius"))
 
 
+def area_reasons(hits: DataFrame, kept: DataFrame) -> DataFrame:
+    """Per search: hits in all, and hits on a known domain outside its area."""
+    both = hits.groupBy("search_id").agg(F.count(F.lit(1)).alias("hits")).join(
+        kept.groupBy("search_id").agg(F.count(F.lit(1)).alias("_kept")), "search_id", "left")
+    return both.select("search_id", "hits", (F.col("hits") - F.coalesce("_kept", F.lit(0))).alias("search_hit_out_of_area"))
+
+
 def nearby_lead_sources(searches: DataFrame, sources: DataFrame,
                         margin_mi: float = vocab.LEAD_MARGIN_MI) -> DataFrame:
     return within_radius(searches, sources, reach=F.col("radius").cast("double") + margin_mi)

@@ -99,12 +99,27 @@ def _(v):
           hits="SELECT l_suppkey AS search_id, url FROM lineitem JOIN pages ON page_id = l_partkey // 8 UNION ALL SELECT l_suppkey, bid_url FROM lineitem JOIN crawl ON row_ord = l_partkey WHERE bid_url <> ''",
           idx="SELECT regexp_replace(domain, '^www\\.', '') AS host, g.lat, g.lon FROM crawl c JOIN gazetteer g ON lower(g.city) = lower(c.city) AND g.state = c.state"))
 def _(v):
+    return _pruned(v)[1].select("search_id", "url")
+
+
+def _pruned(v):
+    """Hits on pages and on directory pages, and those left inside each search's area."""
     from noticegrid.operators import directory
     lines = v.table("lineitem").select(F.col("l_suppkey").alias("search_id"), F.col("l_partkey").alias("row_ord"), F.floor(F.col("l_partkey") / 8).alias("page_id"))
     hits = lines.join(v.table("pages").select("page_id", "url"), "page_id").select("search_id", "url").unionByName(
         lines.join(v.crawl().where("bid_url <> ''"), "row_ord").select("search_id", F.col("bid_url").alias("url")))
     s = v.searches().select("search_id", "lat", "lon", "radius")
-    return radius.prune_hits_by_area(hits, s, directory.domain_index(v.crawl()), v.gazetteer()).select("search_id", "url")
+    return hits, radius.prune_hits_by_area(hits, s, directory.domain_index(v.crawl()), v.gazetteer())
+
+
+@register("a2_area_reasons", V.sql("gazetteer searches crawl", f"""SELECT search_id, count(*) AS hits, count(*) - any_value(coalesce(k, 0)) AS search_hit_out_of_area FROM hits
+    LEFT JOIN (SELECT search_id, count(*) AS k FROM (SELECT h.search_id, h.url FROM (SELECT search_id, url, regexp_extract(url, '//(www\\.)?([^/:?#]+)', 2) AS host
+      FROM hits) h JOIN searches s ON s.search_id = h.search_id
+      LEFT JOIN idx t ON t.host = h.host WHERE t.lat IS NULL OR {_DIST} <= s.radius) GROUP BY 1) USING (search_id) GROUP BY search_id""",
+          hits="SELECT l_suppkey AS search_id, url FROM lineitem JOIN pages ON page_id = l_partkey // 8 UNION ALL SELECT l_suppkey, bid_url FROM lineitem JOIN crawl ON row_ord = l_partkey WHERE bid_url <> ''",
+          idx="SELECT regexp_replace(domain, '^www\\.', '') AS host, g.lat, g.lon FROM crawl c JOIN gazetteer g ON lower(g.city) = lower(c.city) AND g.state = c.state"))
+def _(v):
+    return radius.area_reasons(*_pruned(v))
 
 
 # ---- placing ------------------------------------------------------------------------
@@ -218,20 +233,41 @@ def _(v):
     return rows.select("search_id", "label", "bid_id", F.round("distance_mi", 6).alias("distance_mi"), "status", "score", "rank")
 
 
+def half_the_pages(v):
+    """Posting pages for every second bid, with only a phone number on them."""
+    blank = [F.lit("").alias(c) for c in bid_ops.DETAIL_FIELDS if c != "phone"]
+    return v.bids().where("bid_id % 2 = 0").select("url", F.lit("(417) 864-1976").alias("phone"), *blank,
+                                                   F.lit(False).alias("addenda"), F.array().cast("array<string>").alias("documents"))
+
+
 @register("b1_scan_enriched", V.sql(_SCAN_VIEWS, f"""SELECT search_id, label, bid_id, score + CASE WHEN enriched AND score > -100 THEN 3 WHEN enriched THEN 3 ELSE 0 END AS score, enriched FROM (
     SELECT k.*, coalesce(bid_id % 2 = 0, FALSE) AND email = '' AND phone = '' AS enriched FROM kept k LEFT JOIN (SELECT search_id, bid_id, row_number() OVER (PARTITION BY search_id ORDER BY CASE WHEN trim(deadline) = '' THEN 0 ELSE 1 END, seq) AS rn
       FROM kept WHERE email = '' AND phone = '') t USING (search_id, bid_id))""", **_SCAN))
 def _(v):
-    # posting pages exist for every second bid and hold only a phone number
-    blank = [F.lit("").alias(c) for c in bid_ops.DETAIL_FIELDS if c != "phone"]
-    pages = v.bids().where("bid_id % 2 = 0").select("url", F.lit("(417) 864-1976").alias("phone"), *blank,
-                                                   F.lit(False).alias("addenda"), F.array().cast("array<string>").alias("documents"))
-    p = prepared(v, details=pages)
+    p = prepared(v, details=half_the_pages(v))
     rows = scan.scan(centres(v), p)
     wide = scan.attach(rows, p, ["phone"])
     return wide.select("search_id", "label", "bid_id", "score", (F.col("enriched") & (F.col("phone") == "(417) 864-1976")).alias("enriched"))
 
 
+@register("a2_contact_reasons", V.sql(_SCAN_VIEWS, """SELECT search_id, reason, count(*) AS n FROM (
+    SELECT search_id, CASE WHEN email <> '' OR phone <> '' OR bid_id % 2 = 0 THEN 'contacts_found' ELSE 'contacts_missing' END AS reason FROM kept
+    UNION ALL SELECT search_id, unnest(CASE WHEN bid_id % 2 = 0 THEN ['postings_read', 'postings_enriched'] ELSE ['postings_unreachable'] END) FROM kept WHERE email = '' AND phone = '') GROUP BY ALL""", **_SCAN))
+def _(v):
+    p = prepared(v, details=half_the_pages(v))
+    return scan.contact_reasons(scan.scan(centres(v), p, ranked=False), p)
+
+
+@register("a2_intake_reasons", V.sql("bids", """SELECT source, reason, count(*) AS n FROM (SELECT 'portals' AS source, CASE WHEN bid_id % 9 = 0 THEN 'malformed' WHEN contains(lower(title), 'janitorial') THEN 'filtered_not_niche' ELSE 'taken' END AS reason
+    FROM bids WHERE contains(lower(title), 'janitorial') OR contains(lower(title), 'sidewalk') UNION ALL SELECT 'agency_posted', 'agency_posted' FROM bids WHERE contains(lower(title), 'janitorial')) GROUP BY ALL"""))
+def _(v):
+    b = v.bids().withColumn("scope", F.lit(""))
+    plain = b.where("contains(lower(title), 'janitorial') or contains(lower(title), 'sidewalk')").withColumn("source", F.lit("portals"))
+    blank = lambda c: F.when(F.col("bid_id") % 9 == 0, F.lit(" ")).otherwise(F.col(c))
+    posted = b.where("contains(lower(title), 'janitorial')").withColumn("source", F.lit("agency_posted"))
+    return bid_ops.intake_reasons(plain.withColumns({"title": blank("title"), "url": blank("url")}).unionByName(posted))
+
+
 @register("b1_scan_funnel", V.sql(_SCAN_VIEWS, f"""SELECT search_id, reason, n FROM (
     SELECT s.search_id, 'out_of_radius' AS reason, (SELECT count(*) FROM scored) - count(h.bid_id) AS n FROM searches s LEFT JOIN hit h USING (search_id) GROUP BY s.search_id
     UNION ALL SELECT search_id, 'aged_out_undated', count(*) FROM hit WHERE aged_out GROUP BY search_id
