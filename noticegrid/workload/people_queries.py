@@ -105,6 +105,33 @@ def _(v):
     return discovery.residential_leads(v.searches(), L.with_lead_type(v.leads()), _sources(v), _zips(v)).select("search_id", "permit_id", "source_ord", "rank")
 
 
+_NEARBY = "SELECT s_suppkey AS search_id, CASE WHEN s_suppkey % 2 = 0 THEN 30.2672 + (s_suppkey % 7) / 10.0 ELSE 42.3736 END AS lat, CASE WHEN s_suppkey % 2 = 0 THEN -97.7431 ELSE -71.1097 + (s_suppkey % 5) / 2.0 END AS lon, 25 AS radius FROM supplier"
+_PERMIT = """SELECT 0 AS source_ord, 'P' || o_orderkey AS permit_id, o_orderdate AS d, CASE WHEN o_orderkey % 4 = 0 THEN 30.2 + (o_orderkey % 90) / 100.0 END AS lat, CASE WHEN o_orderkey % 4 = 0 THEN -97.7 END AS lon, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS prio
+    FROM orders WHERE o_orderkey % 2 = 0 AND o_orderdate >= DATE '2001-07-20' - INTERVAL 45 DAY
+    UNION ALL SELECT 1, 'C' || o_orderkey, o_orderdate, 42.3, -71.1, 0 FROM orders WHERE o_orderkey % 5 = 0 AND o_orderdate >= DATE '2001-07-20' - INTERVAL 270 DAY"""
+
+
+@register("b3_leads_from_permits", V.sql("", f"""SELECT s.search_id, p.permit_id, p.source_ord, row_number() OVER (PARTITION BY s.search_id ORDER BY prio, d DESC, permit_id, source_ord) AS rank
+    FROM nearby s JOIN permit p ON CASE p.source_ord WHEN 0 THEN {V.sql_distance('s.lat', 's.lon', '30.2672', '-97.7431')} ELSE {V.sql_distance('s.lat', 's.lon', '42.3736', '-71.1097')} END <= s.radius + 25
+    WHERE coalesce({V.sql_distance('s.lat', 's.lon', 'p.lat', 'p.lon')} <= s.radius, TRUE)""", nearby=_NEARBY, permit=_PERMIT))
+def _(v):
+    k, key = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00.000")
+    orders, at = v.table("orders"), lambda c: F.when(k % 4 == 0, c.cast("string")).otherwise(F.lit(""))
+    austin = orders.select(F.concat(F.lit("P"), key).alias("permit_number"), F.lit("1 Main").alias("permit_location"),
+                           F.when(k % 2 == 0, F.lit("Driveway / Sidewalks")).otherwise(F.lit("Plumbing")).alias("permit_type_desc"), day.alias("issue_date"),
+                           F.when(k % 3 == 0, F.lit("")).otherwise(F.lit("Sam Poe")).alias("contractor_company_name"), F.when(k % 3 == 0, F.lit("")).otherwise(F.lit("General Contractor")).alias("contractor_trade"),
+                           at(F.lit(30.2) + (k % 90) / 100.0).alias("latitude"), at(F.lit(-97.7)).alias("longitude"))
+    cambridge = orders.where("o_orderkey % 5 = 0").select(F.concat(F.lit("C"), key).alias("id"), F.lit("1 Elm").alias("full_address"), F.lit("42.3").alias("latitude"), F.lit("-71.1").alias("longitude"),
+                                                          F.lit("x").alias("status"), day.alias("applicant_submit_date"), F.lit("12").alias("driveway_width"),
+                                                          F.lit(None).cast("string").alias("permit_type"), F.lit("").alias("applicant_name"))
+    s = F.col("s_suppkey")
+    searches = v.table("supplier").select(s.alias("search_id"), F.when(s % 2 == 0, F.lit(30.2672) + (s % 7) / 10.0).otherwise(F.lit(42.3736)).alias("lat"),
+                                          F.when(s % 2 == 0, F.lit(-97.7431)).otherwise(F.lit(-71.1097) + (s % 5) / 2.0).alias("lon"), F.lit(25).alias("radius"))
+    rows = discovery.leads_for_searches(searches, {"austin": austin, "cambridge": cambridge}, _zips(v), F.lit("2001-07-20").cast("timestamp"))
+    return rows.select("search_id", "permit_id", "source_ord", "rank")
+
+
 @register("u5_multi_source_leads", V.sql("leads", "SELECT 0 AS source_ord, permit_id, contractor_name FROM leads UNION ALL SELECT 1, permit_id, NULL FROM leads"))
 def _(v):
     from noticegrid.operators.bids import normalize_opportunities
