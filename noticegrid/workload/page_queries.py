@@ -244,12 +244,12 @@ def _(v):
 
 
 # ---- page budgets -------------------------------------------------------------------
-_HITS = "SELECT l_suppkey AS search_id, l_orderkey * 8 + l_linenumber AS seq, p.url, lower(regexp_extract(p.url, '//([^/:?#]+)', 1)) AS host FROM lineitem l JOIN pages p ON p.page_id = l.l_partkey // 8"
+_HITS = "SELECT l_suppkey AS search_id, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS seq, p.url, lower(regexp_extract(p.url, '//([^/:?#]+)', 1)) AS host FROM lineitem l JOIN pages p ON p.page_id = l.l_partkey // 8"
 
 
 def _hits(v):
     """Every line item is one hit of a search on a page."""
-    hits = v.table("lineitem").select(F.col("l_suppkey").alias("search_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.floor(F.col("l_partkey") / 8).alias("page_id"))
+    hits = v.table("lineitem").select(F.col("l_suppkey").alias("search_id"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("seq"), F.floor(F.col("l_partkey") / 8).alias("page_id"))
     return hits.join(v.table("pages").select("page_id", "url"), "page_id").drop("page_id")
 
 
