@@ -137,9 +137,13 @@ def packed(items: DataFrame, salt: int, partitions: int, capacity: int) -> DataF
         return group.drop(columns="part").assign(
             sequence_id=(salt << 56) + (part << 28) + bins, offset=offsets, whole=free[bins] == 0,
             certified=len(free) == lower_bound(lengths, capacity))
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(partitions)))
-    return dealt.groupBy("part").applyInPandas(
-        pack, f"{PIECES}, key long, sequence_id long, offset long, whole boolean, certified boolean")
+    # As text: pandas would make numbers beside a null into floats.
+    dealt = items.withColumn("doc_id", F.col("doc_id").cast("string")) \
+        .withColumn("part", F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(partitions)))
+    schema = PIECES.replace("doc_id long", "doc_id string")
+    done = dealt.groupBy("part").applyInPandas(
+        pack, f"{schema}, key long, sequence_id long, offset long, whole boolean, certified boolean")
+    return done.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack(docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID,

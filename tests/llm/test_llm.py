@@ -447,6 +447,23 @@ def test_ranges_are_merged():
     assert (a.tolist(), b.tolist()) == ([0, 5, 20], [3, 9, 22])
 
 
+def test_rows_without_any_value(spark, net):
+    """Null ids, texts, languages and sources: a row each, and no crash; very large ids stay exact."""
+    big = 2 ** 60 + 1
+    df = spark.createDataFrame([(None, None, None, None), (None, "a few words", None, "a"), (big, "a few words", "en", None), (2, None, "en", "a")],
+                               "doc_id long, text string, lang string, source string")
+    ids = [None, None, big, 2]
+    key = lambda rows: sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows)
+    want = sorted((i is None, i or 0) for i in ids)
+    parser = language_id.Parser(language_id.training_texts(df, F.lit(True)))
+    model = quality_gam.learn(df.select("doc_id", "text"), df.select("doc_id", F.lit(1).alias("quality")), F.lit(True))
+    results = [mixing.mix(df), suffix_dedup.without_repeats(df), quality_rules.judge(df), near_dedup.link(df), line_dedup.without_lines(df),
+               packing.pack(df, *queries.tokenizer_files()), pii.find(df, net), quality_gam.scored(df.select("doc_id", "text"), model),
+               language_id.identify(df, parser, "doc_id")]
+    for result in results:
+        assert key(result.collect()) == want
+
+
 FOLDER = "/root/testdata/sf0.001"
 
 
