@@ -9,8 +9,9 @@ miss probability. Survivors are verified on their full sets.
 No group is ever expanded into pairs within itself. First every class meets the smallest member of each of its
 bands; verified links give components. Then only bands that still hold several components are looked at again, and only
 pairs between different components are compared, inside the tasks, in blocks of bounded size: a large band is
-cut into blocks, and each pair of blocks is a task of its own. What survives is verified too, so no link between components is lost beyond
-the miss probabilities of bands and pruning (0.5 in a million each at the threshold, with the defaults).
+cut into blocks, and each pair of blocks is a task of its own. A task joins components as it finds links and gives out only the links that
+joined them; these are verified on the full sets as well. So no link between components is lost beyond the miss probabilities of
+bands and pruning (about one in a million each at the threshold, with the defaults).
 
 Tables between steps are written to the shared folder. Hot keys (a set with thousands of copies, a component with
 a third of all classes) are counted by partial aggregation and joined where Spark can split them.
@@ -37,7 +38,7 @@ PERCENT = 85
 BANDS, ROWS = 25, 5
 BATCH_HASHES = 25
 MISS = 1e-6
-BLOCK_CLASSES = 2048
+BLOCK_CLASSES = 1024
 
 _rng = np.random.default_rng(11)
 _MIX = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,17 +103,22 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
 
 
 def with_signatures(texts: DataFrame, width: int) -> DataFrame:
-    """rep, text and signature."""
+    """rep, text, signature, and the set as sorted 32-bit hashes, each with its number of different shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, begin = flat(batch["text"])
             for i, j in length_slices(begin):
-                value, doc = shingles(raw[begin[i]:begin[j]], begin[i:j + 1] - begin[i], width)
+                value, doc = distinct(*shingles(raw[begin[i]:begin[j]], begin[i:j + 1] - begin[i], width))
                 count = np.bincount(doc, minlength=j - i)
-                rows = signatures(value, np.cumsum(count) - count)  # each of these texts has a shingle
+                at = np.cumsum(count) - count  # each of these texts has a shingle
+                rows = signatures(value, at)
+                short = (value >> np.uint64(32)).astype(np.uint32)
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part["rep"], part["text"], pa.array([r.tobytes() for r in rows], pa.binary())], ["rep", "text", "signature"])
-    return texts.mapInArrow(run, "rep long, text string, signature binary")
+                yield pa.RecordBatch.from_arrays(
+                    [part["rep"], part["text"], pa.array([r.tobytes() for r in rows], pa.binary()),
+                     pa.array([np.sort(short[a:a + n]).tobytes() for a, n in zip(at, count, strict=True)], pa.binary())],
+                    ["rep", "text", "signature", "shingles"])
+    return texts.mapInArrow(run, "rep long, text string, signature binary, shingles binary")
 
 
 def least_agreements(percent: int, miss: float = MISS) -> list[tuple[int, int]]:
@@ -154,29 +160,78 @@ def pruned(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
 
 
+class Block:
+    """Rows of one task as arrays, with the component of each, which links found on the way may lower."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.rep, self.component = rows["rep"].to_numpy(), rows["component"].to_numpy().copy()
+        self.signature = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), -1)
+        sets = [np.frombuffer(x, np.uint32) for x in rows["shingles"]]
+        self.size = np.array([len(x) for x in sets])
+        self.at = np.cumsum(self.size) - self.size
+        self.shingles = np.concatenate(sets) if sets else np.zeros(0, np.uint32)
+
+    def shared(self, row: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """How many hashes of `row` (sorted) each of the other rows has."""
+        size = self.size[others]
+        begin = np.cumsum(size) - size
+        all_ = self.shingles[np.repeat(self.at[others] - begin, size) + np.arange(size.sum())]
+        place = np.minimum(np.searchsorted(row, all_), len(row) - 1)
+        return np.add.reduceat(row[place] == all_, begin, dtype=np.int64)
+
+    def merge(self, low: int, high: int) -> None:
+        self.component[self.component == high] = low
+
+
 def across(blocks: DataFrame, percent: int) -> DataFrame:
-    """(x, y) between components, from rows (band, one, two, rep, component, signature, first): one task's rows share (band, one, two).
+    """(x, y): links between components that may reach the threshold; no more of them than it takes to join the components.
 
-    Rows of block `one` have first = true, those of block `two` are the others; inside one block all rows are the first.
+    Rows: band, no (the band's number), one, two, rep, component, signature, shingles, first. A task's rows share band, one and two; those of block
+    `one` have first = true, inside one block all have. A pair is looked at in the first band it shares. What the
+    posterior does not prune is counted on the 32-bit sets; two shingles of slack allow for their collisions.
     """
     bounds = least_agreements(percent)
 
+    def open_pairs(own: Block, x: int, other: Block, y: np.ndarray, no: int) -> np.ndarray:
+        same, done = np.zeros(len(y), np.int64), 0
+        for n, m in bounds:
+            equal = other.signature[y, done:n] == own.signature[x, done:n]
+            same = same + equal.sum(axis=1)
+            keep = same >= m
+            earlier = min(no - done // ROWS, (n - done) // ROWS)
+            if earlier > 0:
+                keep &= ~equal[:, :earlier * ROWS].reshape(len(y), earlier, ROWS).all(axis=2).any(axis=1)
+            y, same, done = y[keep], same[keep], n
+            if not len(y):
+                break
+        return y
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        own = group[group["first"]] if group["one"].iloc[0] != group["two"].iloc[0] else group
-        other = group[~group["first"]] if group["one"].iloc[0] != group["two"].iloc[0] else group
-        table = lambda g: np.frombuffer(b"".join(g["signature"]), np.uint32).reshape(len(g), -1)
-        left, right, found = table(own), table(other), []
-        rx, ry = own["rep"].to_numpy(), other["rep"].to_numpy()
-        cx, cy = own["component"].to_numpy(), other["component"].to_numpy()
-        for at in range(0, len(own), 64):
-            x, y = np.nonzero(cx[at:at + 64, None] != cy[None, :])
-            x = x + at
-            if own is other:
-                x, y = x[rx[x] < ry[y]], y[rx[x] < ry[y]]
-            kept = survivors(left, right, x, y, bounds)
-            found.append(np.stack([np.minimum(rx[x[kept]], ry[y[kept]]), np.maximum(rx[x[kept]], ry[y[kept]])]))
-        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"x": both[0], "y": both[1]})
+        group = group.sort_values("rep")
+        inside, no = group["one"].iloc[0] == group["two"].iloc[0], int(group["no"].iloc[0])
+        own = Block(group if inside else group[group["first"]])
+        other = own if inside else Block(group[~group["first"]])
+        found: list[tuple[int, int]] = []
+        for x in range(len(own.rep)):
+            y = np.flatnonzero(other.component != own.component[x])
+            y = open_pairs(own, x, other, y[y > x] if inside else y, no)
+            if not len(y):
+                continue
+            row = own.shingles[own.at[x]:own.at[x] + own.size[x]]
+            shared = other.shared(row, y)
+            total = own.size[x] + other.size[y]
+            near = 100 * (shared + 2) >= percent * (total - shared - 2)
+            sure = 100 * (shared - 2) >= percent * (total - shared + 2)
+            for k in np.flatnonzero(near):
+                low, high = sorted((int(own.component[x]), int(other.component[y[k]])))
+                if low != high:
+                    a, b = int(own.rep[x]), int(other.rep[y[k]])
+                    found.append((min(a, b), max(a, b)))
+                    if sure[k]:
+                        own.merge(low, high)
+                        if not inside:
+                            other.merge(low, high)
+        return pd.DataFrame(found, columns=["x", "y"], dtype=np.int64)
     return blocks.groupBy("band", "one", "two").applyInPandas(run, "x long, y long")
 
 
@@ -203,14 +258,12 @@ def components(links: DataFrame) -> DataFrame:
     edges = stage(links.union(links.select("y", "x")).toDF("x", "y").distinct(), "near-edges")
     labels = stage(edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("rep"), F.least("x", "m").alias("component")), "near-labels")
     while True:
-        near = stage(edges.join(labels.withColumnRenamed("rep", "x"), "x").groupBy("y").agg(F.min("component").alias("near"))
-                     .withColumnRenamed("y", "rep"), "near-next")
-        lower = stage(labels.join(near, "rep").select("rep", F.col("component").alias("was"), F.least("component", "near").alias("via")), "near-lower")
+        near = edges.join(labels.withColumnRenamed("rep", "x"), "x").groupBy("y").agg(F.min("component").alias("near")).withColumnRenamed("y", "rep")
+        lower = labels.join(near, "rep").select("rep", F.col("component").alias("was"), F.least("component", "near").alias("via"))
         new = stage(lower.join(labels.toDF("via", "far"), "via")
                     .select("rep", "was", F.least("via", "far").alias("component")), "near-labels")
-        changed = not new.filter("was <> component").isEmpty()
         labels = new.select("rep", "component")
-        if not changed:
+        if new.filter("was <> component").isEmpty():
             return labels
 
 
@@ -220,7 +273,7 @@ def link(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE_WORDS) ->
     sets = sketch.filter("n_shingles > 0 and doc_id is not null")
     classes = stage(sets.groupBy("k1", "k2").agg(F.min("doc_id").cast("long").alias("rep")), "near-classes")
     # One row of each class: that of its representative (repeated rows of it are dropped).
-    spoken = sets.join(classes, ["k1", "k2"]).filter("doc_id = rep").select("rep", F.explode("bands").alias("band")).distinct()
+    spoken = sets.join(classes, ["k1", "k2"]).filter("doc_id = rep").select("rep", F.posexplode("bands").alias("no", "band")).distinct()
     spoken = stage(spoken, "near-bands")
     pivots = stage(spoken.groupBy("band").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-pivots")
     bands = stage(spoken.join(pivots, "band"), "near-candidates")
@@ -233,15 +286,15 @@ def link(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE_WORDS) ->
     links = stage(verified(stage(pruned(stars, percent), "near-pairs"), members, percent, width), "near-links")
     label = components(links)
 
-    labelled = stage(bands.join(label, "rep", "left").select("band", "n", "rep", F.coalesce("component", "rep").alias("component")), "near-labelled")
+    labelled = stage(bands.join(label, "rep", "left").select("band", "no", "n", "rep", F.coalesce("component", "rep").alias("component")), "near-labelled")
     mixed = labelled.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band")
     mixed = stage(mixed, "near-mixed")
     cut = F.ceil(F.col("n") / BLOCK_CLASSES).cast("int")
     blocks = labelled.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("rep"), cut).cast("int")) \
         .withColumn("with", F.explode(F.sequence(F.lit(0), cut - 1))) \
-        .select("band", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "rep", "component",
+        .select("band", "no", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "rep", "component",
                 (F.col("block") <= F.col("with")).alias("first"))
-    more = across(blocks.join(signature, "rep"), percent).distinct()
+    more = across(blocks.join(members.select("rep", "signature", "shingles"), "rep"), percent).distinct()
     found = stage(verified(stage(more, "near-more"), members, percent, width), "near-links")
     if not found.isEmpty():
         label = components(links.union(found))
