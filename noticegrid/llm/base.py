@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from noticegrid.session import stage
 
-__all__ = ["SPACE", "WORD", "flat", "fresh", "length_slices", "merged", "read", "stage", "words_of"]
+__all__ = ["SPACE", "WORD", "flat", "fresh", "hashed_share", "length_slices", "merged", "read", "stage", "words_of"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -36,6 +36,11 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def hashed_share(key: Column, wanted: float, total: int) -> Column:
+    """True for about `wanted` of `total` rows, told by the hash of their key; for all where there are no more than that."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 31)) < F.lit(int((1 << 31) * min(1.0, wanted / max(1, total))))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, in order; none for a null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

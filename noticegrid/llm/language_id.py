@@ -22,18 +22,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticegrid.llm.base import hashed_share
+
 LETTERS = 40_000
 LONGEST = 8_000
 DOCUMENTS = 400
+OVERSAMPLE = 4
 PIECE = 256
 AT_ONCE = 4096
 GAP, UNKNOWN = 0, 1
 
 
 def training_texts(docs: DataFrame, usable: Column, documents: int = DOCUMENTS, longest: int = LONGEST) -> dict[str, list[str]]:
-    """Per language, texts in order of a hash of their id; at most `documents` of at most `longest` characters."""
+    """Per language, texts in order of a hash of their id; at most `documents` of at most `longest` characters.
+
+    Of a language with many documents only a share chosen by that hash is ranked, about OVERSAMPLE times what is wanted.
+    """
+    named = docs.filter(usable & F.col("lang").isNotNull())
+    counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    if not counts:
+        return {}
+    share = F.coalesce(*[F.when(F.col("lang") == lang, hashed_share(F.col("doc_id"), OVERSAMPLE * documents, n)) for lang, n in sorted(counts.items())])
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = docs.filter(usable & F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= longest)) \
+    rows = named.filter(share & (F.length("text") > 0) & (F.length("text") <= longest)) \
         .select("lang", "doc_id", "text").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= documents) \
         .orderBy("lang", "rank").toLocalIterator()
     out: dict[str, list[str]] = {}
