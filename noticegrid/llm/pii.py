@@ -24,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticegrid.llm.base import hashed_share
+
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, HALF, MARGIN = 64, 32, 32
 AT_ONCE = 1024
 SAMPLE_TEXTS, SAMPLE_CHARS = 300, 8_000
+OVERSAMPLE = 50
 HIDDEN, STEPS, BATCH, RATE, SEED = 16, 260, 48, 0.02, 7
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -338,8 +341,12 @@ def written(spans: dict[str, list[Span]]) -> str:
 
 
 def sample_texts(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> list[str]:
-    """A bounded sample to train on: texts of at most `chars` characters, the first by a hash, half of them with a digit."""
-    short = docs.filter((F.length("text") > 0) & (F.length("text") <= chars)).select("text", F.xxhash64("doc_id", "text").alias("h"))
+    """A bounded sample to train on: texts of at most `chars` characters, the first by a hash, half of them with a digit.
+
+    Of many documents only a share chosen by their hash is looked at, large enough for texts with a digit to be one in fifty.
+    """
+    near = hashed_share(F.col("doc_id"), OVERSAMPLE * texts, docs.count())
+    short = docs.filter(near & (F.length("text") > 0) & (F.length("text") <= chars)).select("text", F.xxhash64("doc_id", "text").alias("h"))
     pick = lambda rows: [r["text"] for r in rows.orderBy("h", "text").limit(texts // 2).collect()]
     return pick(short) + pick(short.filter(F.col("text").rlike("[0-9]")))
 
