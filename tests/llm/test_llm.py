@@ -240,6 +240,13 @@ def test_recurring_templates_go(docs, empty):
     assert line_dedup.without_lines(empty, "_a", "_b").count() == 0
 
 
+def test_pipeline_limit_does_not_grow_with_the_table(spark):
+    text = F.concat_ws("\n", F.md5(F.concat(F.lit("a"), "doc_id")), F.when(F.col("doc_id") % 500 == 7, "the same footer line here"), F.md5(F.concat(F.lit("b"), "doc_id")))
+    df = spark.range(9000).withColumnRenamed("id", "doc_id").withColumn("text", text).withColumn("source", F.lit("a"))
+    got = corpus_pipeline.line_templates(spark, df, FOLDER)
+    assert got.count() == 9000 and got.filter(F.col("text").contains("footer")).count() == 0  # 18 documents of 9,000 had it
+
+
 # 6: packing
 
 def test_pieces_round_trip(docs, rows):
