@@ -26,9 +26,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without recurring lines, and without the documents that had nothing else. The limit does not grow with the table."""
+    """Without recurring lines, and without the documents that had nothing else. The limit does not grow with the table.
+
+    A group of near copies counts as one document: which of them stays is for the next stage.
+    """
+    copies = near_dedup.copied_texts(docs, percent=NEAR_PERCENT, width=NEAR_WORDS)
     lines, dropped = fresh(docs, "n_lines"), fresh(docs, "n_dropped")
-    cut = line_dedup.without_lines(docs, lines, dropped, limit_share=0.0)
+    cut = line_dedup.without_lines(docs, lines, dropped, limit_share=0.0, copies=copies)
     return cut.filter((F.col(dropped) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 

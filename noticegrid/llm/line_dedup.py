@@ -5,7 +5,8 @@ In a leaf, a token that enough documents have at a place is constant there; anyt
 field too. The line with its fields blanked is its template. A template with enough constant tokens that stands in
 more documents than the limit is recurring, and its lines are dropped from every document.
 
-Documents with the same text count once: a page copied whole is for near-duplicate removal, not boilerplate. The
+Documents with the same text count once: a page copied whole is for near-duplicate removal, not boilerplate. So do the
+near copies of a text, where their classes are given; without them each changed copy is a document of its own. The
 limit is a share of the documents, so leaves, constants and templates above it are at most (lines or tokens of a document) / share,
 however many documents there are. Only DataFrame functions. Lines in rare leaves go no further than the first count.
 
@@ -15,6 +16,8 @@ An empty table gives no rows. Further columns are kept as they are, but for n_ch
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +45,11 @@ def leaf_of(tokens: Column) -> Column:
 
 
 def parsed(texts: DataFrame) -> DataFrame:
-    """key, place, leaf and tokens of every line that has a token (texts: key, text)."""
-    lines = texts.select("key", F.posexplode(lines_of(F.col("text"))).alias("place", "line"))
-    return lines.select("key", "place", F.btrim("line", F.lit(BLANKS)).alias("line")).filter("line <> ''") \
-        .select("key", "place", F.split("line", SPACE).alias("tokens")).withColumn("leaf", leaf_of(F.col("tokens")))
+    """The keys, place, leaf and tokens of every line that has a token (texts: keys, text)."""
+    keys = [c for c in texts.columns if c != "text"]
+    lines = texts.select(*keys, F.posexplode(lines_of(F.col("text"))).alias("place", "line"))
+    return lines.select(*keys, "place", F.btrim("line", F.lit(BLANKS)).alias("line")).filter("line <> ''") \
+        .select(*keys, "place", F.split("line", SPACE).alias("tokens")).withColumn("leaf", leaf_of(F.col("tokens")))
 
 
 def held_by(rows: DataFrame, *what: str) -> DataFrame:
@@ -59,28 +63,47 @@ def looked_up(table: DataFrame, name: str) -> DataFrame:
     return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
 
 
+def classed(copies: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What puts the class of a text into `key` of rows with its `id`; a text without a class is one of its own.
+
+    Beyond BROADCAST_ROWS the rows are shuffled by text, after equal ones are one, so that a text with many copies is no hot key.
+    """
+    table = stage(copies, "line-copies")
+    few = table.count() <= BROADCAST_ROWS
+
+    def with_class(rows: DataFrame) -> DataFrame:
+        rows = rows.join(F.broadcast(table), "id", "left") if few else rows.distinct().join(table, "id", "left")
+        return rows.withColumn("key", F.coalesce("class", "id"))
+    return with_class
+
+
 def dropped_lines(docs: DataFrame, limit_documents: int = LIMIT_DOCUMENTS, limit_share: float = LIMIT_SHARE,
-                  least_constant_percent: int = LEAST_CONSTANT_PERCENT) -> tuple[DataFrame, Column]:
-    """(key, places): the lines to drop from the text with that key; and the key of a text."""
+                  least_constant_percent: int = LEAST_CONSTANT_PERCENT, copies: DataFrame | None = None) -> tuple[DataFrame, Column]:
+    """(key, places): the lines to drop from the text with that key; and the key of a text.
+
+    copies (id, class): the texts, by their xxhash64, that count as one.
+    """
     key = F.md5(F.col("text"))
-    texts = docs.filter(F.length("text") > 0).select(key.alias("key"), "text")
+    by = "key" if copies is None else "id"
+    with_class = (lambda rows: rows) if copies is None else classed(copies)
+    texts = docs.filter(F.length("text") > 0).select(key.alias("key"), *([] if copies is None else [F.xxhash64("text").alias("id")]), "text")
     n_texts = texts.agg(F.countDistinct("key")).first()[0]
     limit = max(limit_documents, limit_share * n_texts)
-    narrow = parsed(docs.filter(F.length("text") > 0).select(F.xxhash64("text").alias("key"), "text"))
-    leaves = held_by(narrow.select("leaf", "key"), "leaf").filter(F.col("n_docs") > limit).select("leaf")
+    narrow = parsed(docs.filter(F.length("text") > 0).select(F.xxhash64("text").alias(by), "text"))
+    leaves = held_by(with_class(narrow.select("leaf", by)), "leaf").filter(F.col("n_docs") > limit).select("leaf")
     lines = parsed(texts).join(looked_up(leaves, "line-leaves"), "leaf").withColumn("tokens", masked(F.col("tokens")))
     lines = stage(lines, "line-parsed")
-    words = lines.select("leaf", "key", F.posexplode("tokens").alias("at", "token")).filter(F.col("token") != FIELD)
-    constant = held_by(words, "leaf", "at", "token").filter(F.col("n_docs") > limit) \
+    words = lines.select("leaf", by, F.posexplode("tokens").alias("at", "token")).filter(F.col("token") != FIELD)
+    constant = held_by(with_class(words), "leaf", "at", "token").filter(F.col("n_docs") > limit) \
         .groupBy("leaf").agg(F.collect_set(F.struct("at", "token")).alias("constant"))
     known = lambda t, i: F.array_contains("constant", F.struct(i.alias("at"), t.alias("token")))
     blanked = lines.join(looked_up(constant, "line-constant"), "leaf").withColumn(
         "fields", F.transform("tokens", lambda t, i: F.when(known(t, i), t).otherwise(F.lit(FIELD)))) \
         .withColumn("n_constant", F.size(F.filter("fields", lambda t: t != FIELD))) \
         .filter(100 * F.col("n_constant") >= least_constant_percent * F.size("tokens")) \
-        .select("key", "place", "leaf", F.concat_ws(" ", "fields").alias("template"))
+        .select("key", *({by} - {"key"}), "place", "leaf", F.concat_ws(" ", "fields").alias("template"))
     blanked = stage(blanked, "line-templates")
-    recurring = held_by(blanked, "leaf", "template").filter(F.col("n_docs") > limit).select("leaf", "template")
+    recurring = held_by(with_class(blanked.select("leaf", "template", by)), "leaf", "template").filter(F.col("n_docs") > limit).select("leaf", "template")
     gone = blanked.join(looked_up(recurring, "line-recurring"), ["leaf", "template"])
     return gone.groupBy("key").agg(F.collect_set("place").alias("places")), key
 

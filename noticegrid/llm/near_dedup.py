@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticegrid.llm.base import LOWER, flat, hashed_words, length_slices, scrambled, stage
+from noticegrid.llm.base import LOWER, flat, fresh, hashed_words, length_slices, scrambled, stage
 
 SHINGLE_WORDS = 3
 PERCENT = 85
@@ -75,8 +75,8 @@ def distinct(value: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return value[new], doc[new]
 
 
-def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, the key of the set, and the keys of its bands (none for an empty set)."""
+def sketched(docs: DataFrame, width: int, *carried: str) -> DataFrame:
+    """doc_id, the carried columns, n_shingles, the key of the set, and the keys of its bands (none for an empty set)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, begin = flat(batch["text"])
@@ -96,10 +96,11 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
                     for row, b in zip(full, hashed.view(np.int64), strict=True):
                         bands[row] = b
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(i, j - i), pa.array(count), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)),
-                     pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "k1", "k2", "bands"])
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, k1 long, k2 long, bands array<long>")
+                    [*(batch[c].slice(i, j - i) for c in own), pa.array(count), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)),
+                     pa.array(bands, pa.list_(pa.int64()))], [*own, "n_shingles", "k1", "k2", "bands"])
+    own = ("doc_id", *carried)
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
+    return docs.select(*own, "text").mapInArrow(run, f"{kinds}, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
 def with_signatures(texts: DataFrame, width: int) -> DataFrame:
@@ -267,9 +268,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document."""
-    sketch = stage(sketched(docs, width), "near-sketch")
+def link(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE_WORDS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the carried columns, n_shingles, component_id, kept for every document."""
+    sketch = stage(sketched(docs, width, *carried), "near-sketch")
     sets = sketch.filter("n_shingles > 0 and doc_id is not null")
     classes = stage(sets.groupBy("k1", "k2").agg(F.min("doc_id").cast("long").alias("rep")), "near-classes")
     # One row of each class: that of its representative (repeated rows of it are dropped).
@@ -301,11 +302,23 @@ def link(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE_WORDS) ->
 
     named = stage(classes.join(label, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component")), "near-named")
     own = F.col("doc_id").cast("long")
-    alone = sketch.filter("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", own.alias("component_id"))
-    return sets.join(named, ["k1", "k2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id")).union(alone) \
+    alone = sketch.filter("not (n_shingles > 0 and doc_id is not null)").select("doc_id", *carried, "n_shingles", own.alias("component_id"))
+    return sets.join(named, ["k1", "k2"]).select("doc_id", *carried, "n_shingles", F.col("component").alias("component_id")).union(alone) \
         .withColumn("kept", F.coalesce(own == F.col("component_id"), F.lit(True)))
 
 
+def copied_texts(docs: DataFrame, **options) -> DataFrame:
+    """(id, class) of the different texts that are near copies of one another; `id` is the xxhash64 of the text.
+
+    A row per text, and none for a text without a near copy. A text of several components is in the smallest of them.
+    """
+    own = fresh(docs, "_id")
+    named = link(docs.withColumn(own, F.xxhash64("text")), carried=(own,), **options).filter("component_id is not null")
+    texts = stage(named.groupBy(F.col(own).alias("id")).agg(F.min("component_id").alias("class")), "near-texts")
+    several = texts.groupBy("class").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("class")
+    return texts.join(several, "class").select("id", "class")
+
+
 def without_near_copies(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay: the smallest id of each component, once; rows without an id."""
     gone = link(docs, **options).filter("not kept").select("doc_id").distinct()

@@ -247,6 +247,33 @@ def test_pipeline_limit_does_not_grow_with_the_table(spark):
     assert got.count() == 9000 and got.filter(F.col("text").contains("footer")).count() == 0  # 18 documents of 9,000 had it
 
 
+def group_of_near_copies():
+    """60 near copies; a line that 12 other documents have, and one that 8 others and all the copies have."""
+    rng = random.Random(21)
+    whole = [prose(rng, 12) for _ in range(30)] + ["a line of eight others and the group"]
+    out = []
+    for i in range(60):
+        lines = list(whole)
+        lines[i % 30] += f" changed {i}" if i else ""
+        out.append((i, "\n".join(lines), "a"))
+    for i in range(60, 80):
+        shared = "a footer of twelve other documents" if i < 72 else "a line of eight others and the group"
+        out.append((i, f"{prose(rng, 40)}\n{shared}\n{prose(rng, 30)}", "b"))
+    return out
+
+
+@pytest.mark.parametrize("few", [line_dedup.BROADCAST_ROWS, 0])
+def test_one_whole_document_of_a_large_group_of_near_copies_stays(spark, monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", few)
+    rows_ = group_of_near_copies()
+    df = spark.createDataFrame([*rows_, rows_[0], (None, rows_[3][1], "a")], "doc_id long, text string, source string").repartition(3)
+    cut = base.stage(corpus_pipeline.line_templates(spark, df, FOLDER), "test-cut")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_copies(spark, cut, FOLDER).filter("doc_id is not null").collect()}
+    want = {i: "\n".join(x for x in t.split("\n") if "footer" not in x) for i, t, _ in [rows_[0], *rows_[60:]]}
+    assert got == want
+    assert cut.filter("doc_id is null").first()["text"] == rows_[3][1]
+
+
 # 6: packing
 
 def test_pieces_round_trip(docs, rows):
