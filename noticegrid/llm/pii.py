@@ -6,8 +6,8 @@ them (and numbers that are none of them). A text is cut into windows that overla
 Viterbi; a character's tag is taken from the window it lies most centrally in, and runs of tags over
 the whole text become spans, checked against the loosest shape of their kind. Spans that touch no base span are added.
 
-A span of any kind holds a digit or an @, so only windows with one of these in reach of a window's half are decoded: the
-others can not give a span. Texts are processed whole, in one pass without a shuffle.
+A span of any kind holds a digit or an @, so only windows with one of these in reach of a window's half are decoded. Every
+character within 48 of one is decoded; an added span that reaches further from its only one may be cut short. Texts are processed whole, in one pass without a shuffle.
 
 A null text is an empty text; both have no spans. Very long texts give more windows, decoded a bounded number at a time. Repeated
 rows get the same spans each. An empty table gives no rows; columns other than doc_id and text are not looked at.
