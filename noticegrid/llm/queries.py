@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticegrid.llm import language_id, line_dedup, mixing, near_dedup, packing, pii, quality_gam, quality_rules, suffix_dedup, topk
+from noticegrid.llm import (
+    alignment,
+    conversations,
+    language_id,
+    line_dedup,
+    mixing,
+    near_dedup,
+    packing,
+    pii,
+    quality_gam,
+    quality_rules,
+    suffix_dedup,
+    topk,
+    windows,
+)
 from noticegrid.llm.base import read
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -70,8 +84,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, parser, "doc_id").select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_diagonal_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pieces = map(public_tokenizers.path, ("byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
+    return alignment.align(read(spark, sf_dir, "documents"), ranks, pieces)
+
+
+def op12_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.pack(read(spark, sf_dir, "documents"), *tokenizer_files())
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(read(spark, sf_dir, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op2_suffix_dedup, op3_quality_rules, op4_minhash_bayes, op5_line_templates, op6_best_fit_packing, op7_pii_lstm_crf, op8_maxscore_topk, op9_quality_gam, op10_language_id)}
+    op1_mix_sources, op2_suffix_dedup, op3_quality_rules, op4_minhash_bayes, op5_line_templates, op6_best_fit_packing, op7_pii_lstm_crf, op8_maxscore_topk, op9_quality_gam, op10_language_id, op11_diagonal_alignment,
+    op12_differencing_packing, op13_conversation_repair)}
 
 ORACLE = {
     # The words taken are the overlap of a document's stretch of its source's axis with the words that are due.
