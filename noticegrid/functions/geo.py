@@ -1,17 +1,21 @@
-"""Distances on the sphere and the grid cells that cover a circle."""
+"""Distances on the sphere, and a grid of several levels with the cells that cover a circle."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticegrid import vocab
 from noticegrid.functions.text import col
 
-# Below the true 69.09 miles per degree, so a box made with it always covers the circle.
-MILES_PER_DEGREE = 69.0
+# Cells of level n are 2^n degrees high and about as wide in miles: nearer to a pole they span 2, 4, 8 ... times as many degrees.
+FINEST, COARSEST = -10, 6
+# Widens every covering a little, so that rounding never leaves out a point on the circle's edge.
+EDGE = 1e-7
+# A cell whose corner is this near to the circle counts as one on its edge.
+EDGE_MILES = 1e-6
 
 
 def haversine_mi(lat1, lon1, lat2, lon2) -> Column:
@@ -32,34 +36,67 @@ def destination_point(lat, lon, bearing_deg, distance_mi) -> Column:
     return F.struct(F.degrees(lat2).alias("lat"), F.degrees(lon2).alias("lon"))
 
 
-def cell(c, size: float) -> Column:
-    return F.floor(col(c) / F.lit(size)).cast("int")
+def grid_level(radius) -> Column:
+    """The level whose cells are between a quarter and a half of the radius."""
+    degrees = F.degrees(F.greatest(col(radius).cast("double"), F.lit(1e-9)) / vocab.EARTH_RADIUS_MI)
+    return F.greatest(F.lit(FINEST), F.least(F.lit(COARSEST), F.floor(F.log2(degrees)) - 1)).cast("int")
 
 
-def covering_cells(lat, lon, radius, size: float) -> Column:
-    """Array of (cell_lat, cell_lon) whose union covers the circle, across ±180 too.
+def _row_span(level: Column, row: Column) -> Column:
+    """Degrees of longitude of the cells in a row of a level: a power of two that divides the circle as wide as the row's lower edge allows."""
+    size = F.pow(F.lit(2.0), level)
+    lower = F.least(F.abs(row * size), F.abs((row + 1) * size))
+    narrow = F.greatest(F.cos(F.radians(F.least(lower, F.lit(90.0)))), F.lit(2.0 ** -12))
+    return size * F.pow(F.lit(2.0), F.floor(-F.log2(narrow)))
 
-    Near a pole the longitude range is the whole circle.
+
+def _cell_key(level: Column, row: Column, column: Column) -> Column:
+    """One number for a cell: level, row, and the column counted from -180."""
+    return ((level.cast("long") - FINEST) * F.lit(1 << 48) + (row.cast("long") + (1 << 20)) * F.lit(1 << 24) + column.cast("long")).cast("long")
+
+
+def cell_of(lat, lon, level) -> Column:
+    """The cell of a level that holds a point; longitudes may run beyond ±180."""
+    level = col(level)
+    row = F.floor(col(lat) / F.pow(F.lit(2.0), level))
+    return _cell_key(level, row, F.floor(F.pmod(col(lon) + 180.0, F.lit(360.0)) / _row_span(level, row)))
+
+
+def with_cells(circles: DataFrame, level: Column, inside: bool = False) -> DataFrame:
+    """Circles (_clat, _clon, _reach) once for each cell (_cell) of a level that they may touch, across ±180 and the poles too.
+
+    Of each row of cells those are taken that the circle's widest part inside the row spans. With ``inside`` also _inside: whether
+    all of the cell lies in the circle. The point of a cell farthest from anywhere is a corner of it.
     """
-    lat, lon, radius = col(lat), col(lon), col(radius).cast("double")
-    dlat = radius / MILES_PER_DEGREE
-    top = F.least(F.abs(lat) + dlat, F.lit(90.0))
-    dlon = F.when(top >= 89.0, F.lit(180.0)).otherwise(
-        F.least(F.lit(180.0), radius / (MILES_PER_DEGREE * F.cos(F.radians(top)))))
-    n_lon = int(math.ceil(360.0 / size))
-    west = int(math.floor(-180.0 / size))
-    rows = F.sequence(cell(lat - dlat, size), cell(lat + dlat, size))
-    columns = F.array_distinct(F.transform(
-        F.sequence(cell(lon - dlon, size), cell(lon + dlon, size)),
-        lambda x: (F.pmod(x - F.lit(west), F.lit(n_lon)) + F.lit(west)).cast("int")))
-    return F.flatten(F.transform(
-        rows, lambda r: F.transform(columns, lambda c: F.struct(r.alias("cell_lat"), c.alias("cell_lon")))))
-
-
-def wrapped_lon_cell(lon, size: float) -> Column:
-    n_lon = int(math.ceil(360.0 / size))
-    west = int(math.floor(-180.0 / size))
-    return (F.pmod(cell(lon, size) - F.lit(west), F.lit(n_lon)) + F.lit(west)).cast("int")
+    lat, lon = F.col("_clat"), F.col("_clon")
+    row, size, span, half = (F.col(c) for c in ("_row", "_size", "_span", "_half"))
+    arc = F.least(F.col("_reach") / vocab.EARTH_RADIUS_MI, F.lit(math.pi))
+    out = circles.withColumn("_level", level).withColumns({"_size": F.pow(F.lit(2.0), F.col("_level")), "_arc": arc})
+    reach = F.degrees("_arc") + EDGE
+    out = out.withColumn("_row", F.explode(F.sequence(
+        F.floor(F.greatest(lat - reach, F.lit(-90.0)) / size), F.floor(F.least(lat + reach, F.lit(90.0)) / size))))
+    # Meridians touch the circle at this latitude; north or south of it the circle narrows.
+    widest = F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sin(F.radians(lat)) / F.greatest(F.cos("_arc"), F.lit(1e-12))))))
+    out = out.withColumns({"_span": _row_span(F.col("_level"), row),
+                           "_at": F.radians(F.greatest(row * size, F.least((row + 1) * size, widest)))})
+    flat = F.cos(F.radians(lat)) * F.cos("_at")
+    out = out.withColumns({"_flat": flat, "_ratio": F.try_divide(F.cos("_arc") - F.sin(F.radians(lat)) * F.sin("_at"), flat)})
+    whole = (F.col("_flat") < 1e-9) | (F.col("_ratio") <= -1.0) | (F.col("_arc") >= math.pi / 2)
+    wide = F.degrees(F.acos(F.least(F.col("_ratio"), F.lit(1.0)))) + EDGE / F.greatest(F.cos("_at"), F.lit(1e-9))
+    out = out.withColumn("_half", F.when(whole, F.lit(180.0)).otherwise(F.least(F.lit(180.0), wide)))
+    # Columns are counted from -180; the last may be narrower than the others.
+    out = out.withColumns({"_last": F.ceil(F.lit(360.0) / span) - 1, "_west": F.pmod(lon + 180.0 - half, F.lit(360.0))})
+    last, west, east = F.col("_last"), F.col("_west"), F.col("_west") + 2 * half
+    at, zero = (lambda x: F.least(last, F.floor(x / span))), F.lit(0).cast("long")
+    columns = F.when(half >= 180.0, F.sequence(zero, last)).when(east < 360.0, F.sequence(at(west), at(east))).otherwise(
+        F.array_distinct(F.concat(F.sequence(at(west), last), F.sequence(zero, at(east - 360.0)))))
+    out = out.withColumn("_column", F.explode(columns)).withColumn("_cell", _cell_key(F.col("_level"), row, F.col("_column")))
+    if inside:
+        south, north = F.greatest(row * size, F.lit(-90.0)), F.least((row + 1) * size, F.lit(90.0))
+        sides = (F.col("_column") * span - 180.0, F.least((F.col("_column") + 1) * span, F.lit(360.0)) - 180.0)
+        farthest = F.greatest(*[haversine_mi(lat, lon, y, x) for y in (south, north) for x in sides])
+        out = out.withColumn("_inside", (span <= 90.0) & (farthest < F.col("_reach") - EDGE_MILES))
+    return out.drop("_level", "_size", "_arc", "_row", "_span", "_at", "_flat", "_ratio", "_half", "_last", "_west", "_column")
 
 
 def ring_points(lat, lon, radius) -> Column:

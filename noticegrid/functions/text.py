@@ -118,14 +118,3 @@ def count_terms(c: Column | str, terms: Iterable[str]) -> Column:
 def capitalise(c: Column | str) -> Column:
     c = col(c)
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2))))
-
-
-def grams(c: Column | str, n: int) -> Column:
-    """Distinct n-character pieces of a string, as an array."""
-    c = col(c)
-    return F.when(
-        F.length(c) >= n,
-        F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.length(c) - (n - 1)),
-            lambda i: F.substr(c, i, F.lit(n)))),
-    ).otherwise(F.array().cast("array<string>"))

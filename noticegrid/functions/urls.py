@@ -121,10 +121,6 @@ def candidate_urls(domain: Column | str, paths=vocab.CANDIDATE_PATHS) -> Column:
     return F.when(host != "", all_paths)
 
 
-def civicplus_urls(domain: Column | str) -> Column:
-    return candidate_urls(domain, vocab.CIVICPLUS_PATHS)
-
-
 def owns_domain(place: Column | str, domain: Column | str, homepage: Column | str) -> Column:
     """How a domain is tied to a town: by name, by its homepage, or not at all."""
     by_name = (slug(place) != "") & F.contains(slug(domain), slug(place))

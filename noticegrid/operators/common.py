@@ -7,6 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticegrid.session import stage
+
+# Rows of one key that a task sorts by itself.
+ROWS_PER_SORT = 1_000_000
+# Keys that are sent to every task at once.
+HOT_KEYS = 10_000
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
           name: str | None = None) -> DataFrame:
     """First k rows per key.
@@ -20,11 +28,43 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
     return out if name else out.drop(rank)
 
 
-def ranked_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None, name: str) -> DataFrame:
-    """Every row with its rank per key, or the first k rows where a limit is asked for."""
+def ranked_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None, name: str,
+                rows_per_sort: int = ROWS_PER_SORT) -> DataFrame:
+    """Every row with its rank per key, or the first k rows where a limit is asked for.
+
+    Without a limit the rows are written once and counted per key. Keys of up to ``rows_per_sort`` rows are sorted in a
+    task each; beyond that, keys are cut into slices (``ranked_by_slices``). The ranks are the same.
+    """
     if k is not None:
         return top_k(df, keys, order, k, name)
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    rows = stage(df, "ranked")
+    most = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > rows_per_sort:
+        return ranked_by_slices(rows, keys, order, name)
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+
+
+def ranked_by_slices(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, slices: int | None = None) -> DataFrame:
+    """Exact row number per key where one key may hold most rows.
+
+    Spark samples the rows for splitters and deals them by range of (keys, order), so a key with many rows is many slices and
+    they follow each other in its order. Slices are counted, the counts give each its offset, and only slices are sorted.
+    ``rows`` are read twice: a written table.
+    """
+    keys, order = list(keys), [*order, F.xxhash64(*rows.columns)]
+    by = [*[F.asc_nulls_first(k) for k in keys], *order]
+    dealt = rows.repartitionByRange(slices, *by) if slices else rows.repartitionByRange(*by)
+    sliced = stage(dealt.withColumn("_slice", F.spark_partition_id()), "slices")
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+    own = [f"_k{i}" for i in range(len(keys))]
+    same = F.col("_slice") == F.col("_s")
+    for k, o in zip(keys, own, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(o))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))
+    return (sliced.withColumn("_inside", inside).join(offsets.toDF(*own, "_s", "_offset"), same)
+            .withColumn(name, (F.col("_offset") + F.col("_inside")).cast("long")).drop("_slice", "_inside", "_s", "_offset", *own))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -52,16 +92,24 @@ def rank_all(df: DataFrame, keys: Sequence[str], coarse: Sequence[Column],
 def split_hot_join(left: DataFrame, right: DataFrame, on: Sequence[str], rows_per_task: int = 20_000) -> DataFrame:
     """Inner join in which no task gets more than about ``rows_per_task`` rows of either side of one key.
 
-    Both sides of a key are cut into slices by their counts, and every slice of one meets every slice of the
-    other, so a key with many rows on both sides is as many tasks as its pairs need.
+    Keys are counted first, with partial counts. Where none is hot the join is a plain one. Else both sides of a hot key are
+    cut into slices by their counts, and every slice of one meets every slice of the other, so such a key is as many tasks as
+    its pairs need; all other keys are one slice. Hot keys are few (rows / rows_per_task), and sent to all tasks up to
+    HOT_KEYS of them. Both sides are read twice: tables, or narrow steps on tables.
     """
     on = list(on)
-    count = lambda df, name: df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / rows_per_task).cast("int").alias(name))
-    slices = count(left, "_left").join(count(right, "_right"), on)
-    own = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.col(n).cast("long")).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cut_left = left.join(slices, on).withColumn("_l", own(left, "_left")).withColumn("_r", every("_right")).drop("_left", "_right")
-    cut_right = right.join(slices, on).withColumn("_r", own(right, "_right")).withColumn("_l", every("_left")).drop("_left", "_right")
+    count = lambda df, name: df.groupBy(*on).agg(F.count(F.lit(1)).alias(name))
+    cut = lambda name: F.ceil(F.col(name) / rows_per_task).cast("int").alias(name)
+    counts = count(left, "_left").join(count(right, "_right"), on)
+    hot = stage(counts.where(F.greatest("_left", "_right") > rows_per_task).select(*on, cut("_left"), cut("_right")), "hot-keys")
+    n_hot = hot.count()
+    if not n_hot:
+        return left.join(right, on)
+    slices = F.broadcast(hot) if n_hot <= HOT_KEYS else hot
+    own = lambda df, n: F.coalesce(F.pmod(F.xxhash64(*df.columns), F.col(n).cast("long")).cast("int"), F.lit(0))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    cut_left = left.join(slices, on, "left").withColumn("_l", own(left, "_left")).withColumn("_r", every("_right")).drop("_left", "_right")
+    cut_right = right.join(slices, on, "left").withColumn("_r", own(right, "_right")).withColumn("_l", every("_left")).drop("_left", "_right")
     return cut_left.join(cut_right, [*on, "_l", "_r"]).drop("_l", "_r")
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from noticegrid import vocab
 from noticegrid.functions import places, urls
-from noticegrid.functions.text import col, filled, grams, slug, text
+from noticegrid.functions.text import col, filled, slug, text
 from noticegrid.operators.common import first_per_key, insert_missing, rank_all, ranked_rows, subtract_keys, tally
+from noticegrid.operators.containment import containing
 
 HEALTH = ["source", "added", "last_ok", "last_checked", "fail_count"]
 
@@ -89,17 +90,11 @@ def known_domains(wanted: DataFrame, registry: DataFrame, k: int | None = None)
 def states_for_org(names: DataFrame, registry: DataFrame, min_len: int = vocab.MIN_ORG_MATCH) -> DataFrame:
     """(name, state) for every registered body whose organisation or domain contains the name.
 
-    Containment becomes an equality join on one gram: a text that contains the name also
-    contains the name's own gram. Names are distinct, so the work grows with the vocabulary.
+    Names are distinct, so the work grows with the vocabulary; each asks under its rarest gram.
     """
-    start = F.when(F.col("_want").startswith("countyof") & (F.length("_want") >= 8 + min_len), F.lit(9)).otherwise(F.lit(1))
-    asked = (names.select("name").distinct().withColumn("_want", slug("name"))
-             .where(F.length("_want") >= min_len)
-             .withColumn("_gram", F.substr("_want", start, F.lit(min_len))))
+    asked = names.select("name").distinct().withColumn("_want", slug("name"))
     bodies = registry.select(F.concat(slug("org"), F.lit("|"), slug("domain")).alias("_blob"), "state").distinct()
-    spread = bodies.withColumn("_gram", F.explode(grams("_blob", min_len)))
-    return (asked.join(spread, "_gram").where(F.contains("_blob", F.col("_want")))
-            .select("name", "state").distinct())
+    return containing(asked, bodies, "_want", "_blob", size=min_len, shorter=False).select("name", "state").distinct()
 
 
 def known_in_state(wanted: DataFrame, registry: DataFrame) -> DataFrame:
@@ -200,11 +195,15 @@ def registry_order(registry: DataFrame, limit: int | None = None) -> DataFrame:
     return ranked.where(F.col("place") <= limit) if limit else ranked
 
 
+def newly_found(crawl: DataFrame, rechecked: DataFrame) -> DataFrame:
+    """Rows of domains that a recheck found and the crawl had missed."""
+    hits = rechecked.where(F.col("status") == "found").select(*crawl.columns)
+    return hits.join(crawl.where(F.col("status") != "found").select("domain").distinct(), "domain", "left_semi")
+
+
 def recheck_misses(crawl: DataFrame, rechecked: DataFrame) -> DataFrame:
     """Crawl rows with newly found domains rewritten in place; everything else as it was."""
-    hits = rechecked.where(F.col("status") == "found").select(*crawl.columns)
-    missed = crawl.where(F.col("status") != "found").select("domain")
-    hits = hits.join(missed.distinct(), "domain", "left_semi")
+    hits = newly_found(crawl, rechecked)
     return subtract_keys(crawl, hits, ["domain"]).unionByName(hits)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noticegrid.functions import dates, keys, leads, money, relevance
 from noticegrid.functions.text import blob, filled, first_filled, text
-from noticegrid.operators.common import first_per_key, insert_missing, subtract_keys, tally
+from noticegrid.operators.common import insert_missing, subtract_keys, tally
 
 
 def feed_filter(rows: DataFrame, *, city=None, keyword=None, trade=None) -> DataFrame:
@@ -157,12 +157,3 @@ def map_points(centres: DataFrame, towns: DataFrame, bid_counts: DataFrame) -> D
     middle = centres.select("search_id", "lat", "lon", quiet(F.concat(F.lit("Search center: "), "label")).alias("label"),
                             F.lit("#f5b400").alias("color"), F.lit(9).alias("radius"))
     return middle.unionByName(spots)
-
-
-def best_leads_order(rows: DataFrame) -> DataFrame:
-    """Most promising type first, newest inside it."""
-    return rows.orderBy(leads.lead_priority("lead_type"), F.desc("issued_date"), "seq")
-
-
-def first_seen_rows(rows: DataFrame, key: list[str]) -> DataFrame:
-    return first_per_key(rows, key, [F.col("seq")])

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from noticegrid import vocab
 from noticegrid.functions import dates, posting, urls
 from noticegrid.functions.relevance import declares_closed, looks_awarded, looks_relevant
-from noticegrid.functions.text import clean, count_terms, grams, has_any, html_to_text, slug, strip, text, unescape, visible
+from noticegrid.functions.text import clean, count_terms, has_any, html_to_text, slug, strip, text, unescape, visible
 from noticegrid.operators.common import first_per_key, ranked_rows, top_k
+from noticegrid.operators.containment import containing
 
 # fixed values: markup of links and listings
 ANCHOR = r'(?is)<a[^>]+href="([^"#][^"]*)"[^>]*>(.*?)</a>'
@@ -56,19 +57,13 @@ def link_candidates(pages: DataFrame, k: int | None = None, hints=vocab.LINK_HIN
 def link_for_title(pages: DataFrame, titles: DataFrame, min_len: int = vocab.MIN_TITLE_MATCH) -> DataFrame:
     """Per (page, title): the link whose label contains the title or the reverse, tightest first.
 
-    Containment of a text of at least min_len characters is found through an equality join on
-    its first min_len characters against the pieces of the other text.
+    Both texts have at least min_len characters; either way the shorter one asks under its rarest gram of that length.
     """
-    wants = titles.select("page_id", "title", slug("title").alias("_want")).where(F.length("_want") >= min_len)
+    wants = titles.select("page_id", "title", slug("title").alias("_want")).where(F.length("_want") >= min_len).distinct()
     labels = (anchors(pages).withColumn("_label", slug("label"))
               .where((F.col("_label") != "") & ~has_any(F.lower("href"), vocab.LINK_NOISE)))
-    head = lambda c: F.substring(c, 1, min_len)
-    by_label = wants.withColumn("_g", head("_want")).join(
-        labels.withColumn("_g", F.explode(grams("_label", min_len))), ["page_id", "_g"]).where(
-        F.contains("_label", F.col("_want")))
-    by_title = wants.withColumn("_g", F.explode(grams("_want", min_len))).join(
-        labels.where(F.length("_label") >= min_len).withColumn("_g", head("_label")), ["page_id", "_g"]).where(
-        F.contains("_want", F.col("_label")))
+    by_label = containing(wants, labels, "_want", "_label", ["page_id"], min_len, shorter=False)
+    by_title = containing(labels.distinct(), wants, "_label", "_want", ["page_id"], min_len, shorter=False)
     found = by_label.unionByName(by_title)
     best = first_per_key(found, ["page_id", "title"], [F.length("_label"), F.col("pos")])
     return best.select("page_id", "title", urls.url_join("url", unescape("href")).alias("link"))
@@ -196,14 +191,17 @@ def is_bid_page(html: Column | str, strict: bool = False) -> Column:
     return ~has_any(low, vocab.NOT_A_BID_PAGE) & has_any(low, markers)
 
 
+PROBE_PATHS = (*vocab.CANDIDATE_PATHS, *[p for p in vocab.CIVICPLUS_PATHS if p not in vocab.CANDIDATE_PATHS])
+
+
 def site_candidates(sites: DataFrame, homepages: DataFrame) -> DataFrame:
-    """(domain, rank, url, guessed) to look at per site: guessed paths, then homepage links."""
-    guessed = sites.select("domain", F.explode(urls.candidate_urls("domain")).alias("_c")).select(
+    """(domain, rank, url, guessed) to look at per site: guessed paths, then the listing endpoints of the common platform, then homepage links."""
+    guessed = sites.select("domain", F.explode(urls.candidate_urls("domain", PROBE_PATHS)).alias("_c")).select(
         "domain", F.col("_c.rank").alias("rank"), F.col("_c.url").alias("url"), F.lit(True).alias("guessed"))
     home = homepages.select("page_id", "url", "html", urls.host_of("url").alias("domain"))
     linked = link_candidates(home).join(home.select("page_id", "domain"), "page_id").join(
         sites.select("domain"), "domain", "left_semi").select(
-        "domain", (F.col("rank") + len(vocab.CANDIDATE_PATHS)).alias("rank"), F.col("link").alias("url"), F.lit(False).alias("guessed"))
+        "domain", (F.col("rank") + len(PROBE_PATHS)).alias("rank"), F.col("link").alias("url"), F.lit(False).alias("guessed"))
     return guessed.unionByName(linked)
 
 
@@ -243,6 +241,12 @@ def prioritize_pages(hits: DataFrame, budget: int | None = None,
 
 
 # ---- site contacts ------------------------------------------------------------------
+def contact_pages(sites: DataFrame) -> DataFrame:
+    """(site, path_rank, url) of the pages that may name a contact, in reading order."""
+    tries = sites.select("site", F.explode(urls.candidate_urls("site", vocab.CONTACT_PATHS)).alias("_c"))
+    return tries.select("site", F.col("_c.rank").alias("path_rank"), F.col("_c.url").alias("url"))
+
+
 def contacts_per_site(site_pages: DataFrame) -> DataFrame:
     """Company, addresses and phone per site from its contact pages, read in path order until
     both an address and a phone number are known. Rows: site, path_rank, html (null: not read).
@@ -283,11 +287,15 @@ def prospects(seeds: DataFrame, site_pages: DataFrame) -> DataFrame:
                        F.when(F.col("_agg"), F.lit("aggregator")).otherwise(F.coalesce("status", F.lit("unreachable"))).alias("status"))
 
 
-def recall(kept: DataFrame, expected: list[str]) -> DataFrame:
-    """Which expected title fragments are among the kept titles, in one aggregation."""
-    title = F.lower(text("title"))
-    found = kept.agg(*[F.coalesce(F.bool_or(F.contains(title, F.lit(e.lower()))), F.lit(False)).alias(f"e{i}")
-                       for i, e in enumerate(expected)])
-    rows = F.array(*[F.struct(F.lit(e).alias("expected"), F.col(f"e{i}").alias("found")) for i, e in enumerate(expected)])
-    hits = sum((F.col(f"e{i}").cast("int") for i in range(len(expected))), F.lit(0))
-    return found.select(F.inline(rows), (hits / len(expected)).alias("recall"))
+def recall(kept: DataFrame, expected: DataFrame) -> DataFrame:
+    """Which expected title fragments (column ``expected``) are among the kept titles, and the share of them.
+
+    Both sides are distinct before they meet. A blank fragment is found where there is any title.
+    """
+    titles = kept.select(F.lower(text("title")).alias("_title")).distinct()
+    wants = expected.select("expected").distinct().withColumn("_want", F.lower(text("expected")))
+    hits = containing(wants, titles, "_want", "_title").select("expected").distinct().withColumn("_hit", F.lit(True))
+    blank = (F.lower(text("expected")) == "") & titles.agg(F.count(F.lit(1)) > 0).scalar()
+    rows = expected.select("expected").join(hits.withColumnRenamed("expected", "_e"), F.col("expected").eqNullSafe(F.col("_e")), "left").select(
+        "expected", (F.coalesce("_hit", F.lit(False)) | blank).alias("found"))
+    return rows.withColumn("recall", rows.agg(F.avg(F.col("found").cast("int"))).scalar())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,42 +11,73 @@ from noticegrid import vocab
 from noticegrid.functions import geo
 from noticegrid.functions.places import place_key
 from noticegrid.operators.common import first_per_key, keep_keys, ranked_rows, split_hot_join, subtract_keys
-
-CELL_DEGREES = 1.0
+from noticegrid.session import stage
 
 
-def within_radius(searches: DataFrame, points: DataFrame, *, reach: Column | None = None,
-                  cell_degrees: float = CELL_DEGREES, rows_per_task: int = 20_000) -> DataFrame:
+def within_radius(searches: DataFrame, points: DataFrame, *, reach: Column | None = None, rows_per_task: int = 20_000) -> DataFrame:
     """Every (search, point) pair not farther apart than the search's radius.
 
-    A search is listed under each grid cell its circle may touch, a point under its own, so
-    the join is an equality on the cell with the exact distance as a residual condition.
-    Each pair meets in exactly one cell. ``reach`` replaces the radius.
+    The grid has several levels. A search is listed under the cells its circle may touch, on the level
+    that suits its radius; a point is listed under its cell of each level some search uses. So the join is an equality
+    on the cell with the exact distance as a residual condition, and what meets a search lies within half a
+    radius of its circle, whatever the radius. Each pair meets in exactly one cell. ``reach`` replaces the radius.
     """
-    reach = F.col("radius").cast("double") if reach is None else reach
-    centres = (searches.withColumnsRenamed({"lat": "_clat", "lon": "_clon", "city": "centre_city", "state": "centre_state"})
-               .withColumn("_reach", reach).where("_clat is not null and _clon is not null"))
-    celled = (centres.withColumn("_cell", F.explode(
-        geo.covering_cells("_clat", "_clon", "_reach", cell_degrees)))
-        .select("*", "_cell.*").drop("_cell"))
-    placed = (points.where("lat is not null and lon is not null")
-              .withColumn("cell_lat", geo.cell("lat", cell_degrees))
-              .withColumn("cell_lon", geo.wrapped_lon_cell("lon", cell_degrees)))
-    pairs = split_hot_join(placed, celled, ["cell_lat", "cell_lon"], rows_per_task)
+    celled, placed = by_cell(searches, points, reach)
+    pairs = split_hot_join(placed, celled, ["_cell"], rows_per_task)
     return (pairs.withColumn("distance_mi", geo.haversine_mi("_clat", "_clon", "lat", "lon"))
             .where(F.col("distance_mi") <= F.col("_reach"))
-            .drop("cell_lat", "cell_lon", "_clat", "_clon", "_reach"))
+            .drop("_cell", "_clat", "_clon", "_reach"))
+
+
+def _centres(searches: DataFrame, reach: Column) -> DataFrame:
+    return (searches.withColumnsRenamed({"lat": "_clat", "lon": "_clon", "city": "centre_city", "state": "centre_state"})
+            .withColumn("_reach", reach).where("_clat is not null and _clon is not null and _reach >= 0"))
+
+
+def _under_cells(points: DataFrame, centres: DataFrame, level: Column) -> DataFrame:
+    """The points under their cell of each level some centre uses."""
+    levels = centres.agg(F.collect_set(level).alias("_levels")).scalar()
+    return (points.where("lat is not null and lon is not null").withColumn("_levels", levels)
+            .withColumn("_level", F.explode("_levels")).withColumn("_cell", geo.cell_of("lat", "lon", "_level"))
+            .drop("_levels", "_level"))
+
+
+def by_cell(searches: DataFrame, points: DataFrame, reach: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The searches under the cells their circles may touch, and the points under their cells of the levels in use."""
+    centres = _centres(searches, F.col("radius").cast("double") if reach is None else reach)
+    level = geo.grid_level("_reach")
+    return geo.with_cells(centres, level), _under_cells(points, centres, level)
+
+
+def counts_within(searches: DataFrame, points: DataFrame, keys: Sequence[str], finer: int = 2, rows_per_task: int = 20_000) -> DataFrame:
+    """How many points lie in each search's circle (keys, n), without a row for every pair; no row where there are none.
+
+    Points are counted per cell of a finer level. Cells wholly inside a circle bring their count; only
+    in the cells on its edge are points met one by one. The searches' keys are distinct.
+    """
+    centres = _centres(searches.select(*keys, "lat", "lon", "radius"), F.col("radius").cast("double")).drop("radius")
+    level = F.greatest(geo.grid_level("_reach") - finer, F.lit(geo.FINEST)).cast("int")
+    cells = geo.with_cells(centres, level, inside=True)
+    placed = _under_cells(points.select("lat", "lon"), centres, level)
+    per_cell = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"))
+    whole = cells.where("_inside").select(*keys, "_cell").join(per_cell, "_cell").select(*keys, "n")
+    edge = split_hot_join(placed, cells.where("not _inside").drop("_inside"), ["_cell"], rows_per_task)
+    near = edge.where(geo.haversine_mi("_clat", "_clon", "lat", "lon") <= F.col("_reach")).select(*keys, F.lit(1).cast("long").alias("n"))
+    return whole.unionByName(near).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def trusted(portals: DataFrame, max_fail: int = vocab.MAX_FAIL) -> DataFrame:
     return portals.where(F.coalesce(F.col("fail_count"), F.lit(0)) < max_fail)
 
 
+def trusted_towns(gazetteer: DataFrame, portals: DataFrame) -> DataFrame:
+    return keep_keys(gazetteer.withColumn("city_key", place_key("city", "state")), trusted(portals), ["city_key"])
+
+
 def towns_in_reach(searches: DataFrame, gazetteer: DataFrame, portals: DataFrame,
                    exclude: DataFrame | None = None) -> DataFrame:
     """Towns with a trusted page inside each search's radius, minus (search, town) already covered."""
-    keyed = gazetteer.withColumn("city_key", place_key("city", "state"))
-    near = within_radius(searches, keep_keys(keyed, trusted(portals), ["city_key"]))
+    near = within_radius(searches, trusted_towns(gazetteer, portals))
     return subtract_keys(near, exclude, ["search_id", "city_key"]) if exclude is not None else near
 
 
@@ -53,24 +86,35 @@ def nearest_k(near: DataFrame, k: int | None = None) -> DataFrame:
     return ranked_rows(near, ["search_id"], [F.round("distance_mi", 6), F.col("city"), F.col("state")], k, "rank")
 
 
+def nearest_first(searches: DataFrame, points: DataFrame, k: int, steps: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The first k places per search by distance, and how many there are in all (search_id, n).
+
+    Circles of an eighth, a quarter and half the radius are counted along; a search meets the points of the smallest that holds k only.
+    """
+    rings = searches.select("search_id", "lat", "lon", F.posexplode(F.array(*[F.col("radius") / 2.0 ** i for i in range(steps)])).alias("step", "radius"))
+    counts = stage(counts_within(rings, points, ["search_id", "step"]), "ring-counts")
+    enough = counts.where(F.col("n") >= k).groupBy("search_id").agg(F.max("step").alias("_step"))
+    small = searches.join(enough, "search_id", "left").withColumn("radius", F.col("radius") / F.pow(F.lit(2.0), F.coalesce("_step", F.lit(0)))).drop("_step")
+    return nearest_k(within_radius(small, points), k), counts.where("step = 0").select("search_id", "n")
+
+
 def coverage(searches: DataFrame, gazetteer: DataFrame, portals: DataFrame) -> DataFrame:
     """Trusted towns per search (radius held to 5..250) with the eight nearest names."""
     held = searches.withColumn("radius", F.greatest(F.lit(5.0), F.least(F.col("radius").cast("double"), F.lit(250.0))))
-    near = nearest_k(towns_in_reach(held, gazetteer, portals))
+    first, counts = nearest_first(held, trusted_towns(gazetteer, portals), 8)
     label = F.struct("rank", F.concat_ws(", ", "city", "state").alias("label"))
-    per = near.groupBy("search_id").agg(F.count(F.lit(1)).alias("agencies"), F.collect_list(F.when(F.col("rank") <= 8, label)).alias("_l"))
-    return held.select("search_id", F.col("radius").cast("int").alias("radius")).join(per, "search_id", "left").select(
-        "search_id", "radius", F.coalesce("agencies", F.lit(0)).alias("agencies"),
-        F.array_join(F.transform(F.array_sort("_l"), lambda x: x["label"]), "; ").alias("nearest"))
+    names = first.groupBy("search_id").agg(F.array_sort(F.collect_list(label)).alias("_l"))
+    return held.select("search_id", F.col("radius").cast("int").alias("radius")).join(counts, "search_id", "left").join(names, "search_id", "left").select(
+        "search_id", "radius", F.coalesce("n", F.lit(0)).alias("agencies"), F.array_join(F.transform("_l", lambda x: x["label"]), "; ").alias("nearest"))
 
 
 def metro_reach(metros: DataFrame, gazetteer: DataFrame, portals: DataFrame,
                 near_mi: int = 50, far_mi: int = 125) -> DataFrame:
-    """Agencies within a short and a long radius of each metro, from one join, with its tier."""
-    pairs = towns_in_reach(metros.withColumn("radius", F.lit(far_mi)), gazetteer, portals)
-    counts = pairs.groupBy("search_id").agg(
-        F.count_if(F.col("distance_mi") <= near_mi).alias("within_near"),
-        F.count(F.lit(1)).alias("within_far"))
+    """Agencies within a short and a long radius of each metro, counted by cells, with its tier."""
+    both = metros.select("search_id", "lat", "lon", F.explode(F.array(F.lit(near_mi), F.lit(far_mi))).alias("radius"))
+    found = counts_within(both.withColumn("reach_mi", F.col("radius")), trusted_towns(gazetteer, portals), ["search_id", "reach_mi"])
+    counts = found.groupBy("search_id").agg(
+        F.sum(F.when(F.col("reach_mi") == near_mi, F.col("n"))).alias("within_near"), F.sum(F.when(F.col("reach_mi") == far_mi, F.col("n"))).alias("within_far"))
     near_n = F.coalesce("within_near", F.lit(0))
     return metros.select("search_id").join(counts, "search_id", "left").select(
         "search_id", near_n.alias("within_near"), F.coalesce("within_far", F.lit(0)).alias("within_far"),

@@ -125,7 +125,6 @@ NOT_A_BID_PAGE = ("business improvement district",)
 # ---- fixed values: contacts ---------------------------------------------------------
 POSTING_JUNK_EMAIL = ("webmaster", "postmaster", "no-reply", "noreply", "donotreply",
                       "example.com", "sentry.io", "@2x", "civicplus.com")
-POSTING_JUNK_SUFFIX = (".png", ".jpg", ".gif", ".css", ".js")
 PROSPECT_JUNK_EMAIL = (
     "example.com", "example.org", "yourdomain", "domain.com", "email.com",
     "sentry.io", "wixpress.com", "godaddy.com", "squarespace.com",
@@ -146,11 +145,10 @@ CONTACT_PATHS = ("", "/contact", "/contact-us", "/contactus", "/about", "/about-
 BUILDER_TRADES = ("general contractor", "builder", "homebuilder", "home builder")
 TAKEN_TRADES = ("concrete", "paving", "flatwork", "cement", "masonry")
 LEAD_LABELS = {
-    "open": "Open Lead — no contractor listed",
-    "builder": "Builder's Project — GC likely already has a concrete sub; "
-               "a cold call is a long shot without an existing relationship",
-    "taken": "Concrete Sub Already Listed",
-    "unknown": "Contact Listed",
+    "open": "Nobody named for the job yet",
+    "builder": "Run by a builder, who usually brings their own crew",
+    "taken": "A concrete firm is already named",
+    "unknown": "Somebody is named, trade not known",
 }
 LEAD_PRIORITY = {"open": 0, "builder": 1, "unknown": 2, "taken": 3}
 # city, state, layout, date column, extra filter column and value, days back, centre
@@ -170,9 +168,6 @@ CATEGORY_MIN_COUNT = 3
 # ---- fixed values: dates and zones --------------------------------------------------
 MONTHS = ("January|February|March|April|May|June|July|August|September|October|November|"
           "December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec")
-MONTH_NUMBERS = {"jan": "01", "feb": "02", "mar": "03", "apr": "04", "may": "05",
-                 "jun": "06", "jul": "07", "aug": "08", "sep": "09", "oct": "10",
-                 "nov": "11", "dec": "12"}
 ZONE_HOURS = {
     "UTC": 0, "GMT": 0, "EST": -5, "EDT": -4, "ET": -5, "CST": -6, "CDT": -5, "CT": -6,
     "MST": -7, "MDT": -6, "MT": -7, "PST": -8, "PDT": -7, "PT": -8, "AKST": -9,
@@ -210,15 +205,9 @@ COOLDOWN_SEC = 300
 COOLDOWN_STATUSES = (401, 403, 429)
 QUOTA_STATUSES = (401, 402, 403, 429, 432)
 UNDATED_MAX_DAYS = 60
-UNDATED_STORE_MAX = 5000
-ENRICH_MAX = 14
 MAX_ANCHOR_TOWNS = 6
-MAX_KNOWN_TOWNS = 120
-PAGE_BUDGET = 24
 MAX_PAGES_PER_DOMAIN = 4
-SEEN_MAX = 300
 DIGEST_MAX = 20
-HISTORY_MAX = 25
 NOTICES_PER_DAY = 10
 RECIPIENTS_MAX = 200
 LEAD_MARGIN_MI = 25.0

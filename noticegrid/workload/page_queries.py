@@ -51,17 +51,23 @@ def _(v):
     return P.postings_from_pages(v.listing_pages()).select("page_id", "title", "url", "deadline", "status")
 
 
-_EXPECT = ["sidewalk replacement job 12", "ADA ramp job 1", "Moon base"]
-
-
-@register("b10_recall", V.sql("", f"""SELECT e AS expected, coalesce((SELECT bool_or(contains(lower(title), lower(e))) FROM posted WHERE {_REL}), FALSE) AS found, 2.0 / 3 AS recall FROM (VALUES ('{_EXPECT[0]}'), ('{_EXPECT[1]}'), ('{_EXPECT[2]}')) x(e)""", posts=_POST, posted=_POSTED))
+@register("b10_recall", V.sql("", "SELECT expected, found, avg(CAST(found AS INTEGER)) OVER () AS recall FROM (SELECT expected, lower(expected) IN (SELECT w FROM hit) AS found FROM expected)",
+    posts=_POST, posted=_POSTED, expected="SELECT 'Sidewalk REPLACEMENT job ' || o_orderkey AS expected FROM orders WHERE o_orderkey % 8 < 3",
+    hit=f"SELECT DISTINCT w FROM (SELECT DISTINCT lower(expected) AS w FROM expected) JOIN (SELECT DISTINCT lower(title) AS t FROM posted WHERE {_REL}) ON contains(t, w)"))
 def _(v):
-    return P.recall(P.postings_from_pages(v.listing_pages()), _EXPECT)
+    k = F.col("o_orderkey")
+    expected = v.table("orders").where(k % 8 < 3).select(F.concat(F.lit("Sidewalk REPLACEMENT job "), k.cast("string")).alias("expected"))
+    return P.recall(P.postings_from_pages(v.listing_pages()), expected)
 
 
-@register("j30_recall_join", V.sql("bids", f"SELECT e AS expected, (SELECT bool_or(contains(lower(title), e)) FROM bids) AS found FROM (VALUES ('sidewalk'), ('janitorial'), ('zeppelin')) x(e)"))
+@register("j30_recall_join", V.sql("bids", "SELECT expected, lower(expected) IN (SELECT w FROM hit) AS found FROM expected",
+    expected="SELECT CASE p_partkey % 4 WHEN 0 THEN lower(p_type) WHEN 1 THEN p_name WHEN 2 THEN substr(p_type, 1, 4) ELSE 'Sidewalk replacement ' || p_name || ' zeppelin' END AS expected FROM part",
+    hit="SELECT DISTINCT w FROM (SELECT DISTINCT lower(expected) AS w FROM expected) JOIN (SELECT DISTINCT lower(title) AS t FROM bids) ON contains(t, w)"))
 def _(v):
-    return P.recall(v.bids(), ["sidewalk", "janitorial", "zeppelin"]).select("expected", "found")
+    kind, name, type_ = F.col("p_partkey") % 4, F.col("p_name"), F.col("p_type")
+    expected = v.table("part").select(F.when(kind == 0, F.lower(type_)).when(kind == 1, name).when(kind == 2, F.substring(type_, 1, 4))
+                                      .otherwise(F.concat(F.lit("Sidewalk replacement "), name, F.lit(" zeppelin"))).alias("expected"))
+    return P.recall(v.bids(), expected).select("expected", "found")
 
 
 @register("a2_page_outcomes", V.sql("", f"""SELECT 'postings' AS reason, count(DISTINCT o_orderkey // 8) AS n FROM orders UNION ALL SELECT CASE WHEN regexp_matches(lower(t), '\\bada\\b|{rx(vocab.STRONG_TERMS)}') OR (regexp_matches(lower(t), '{rx(vocab.NICHE_TERMS)}') AND NOT regexp_matches(lower(t), '{rx(vocab.UNRELATED_TERMS)}')) THEN 'for_extraction' ELSE 'portal_no_niche_content' END, count(*)
@@ -293,6 +299,11 @@ def _(v):
     return P.contacts_per_site(_site_pages(v).where(~F.col("site").endswith("yelp.com"))).select("site", "phone", "email", "extra_emails", "status")
 
 
+@register("a23_contact_pages", V.sql("", "SELECT site, i AS path_rank, CASE WHEN contains(site, '//') THEN lower(site) ELSE 'https://' || lower(site) END || (['', '/contact', '/contact-us', '/contactus', '/about', '/about-us', '/get-a-quote', '/estimate'])[i + 1] AS url FROM (SELECT DISTINCT site FROM prospect), (SELECT unnest(range(8)) AS i)", pros=_PROS, prospect=_PROSPECT))
+def _(v):
+    return P.contact_pages(_site_pages(v).select("site").distinct())
+
+
 @register("b9_prospects", V.sql("", "SELECT site, company_low, phone, coalesce(mails[1], '') AS email, CASE WHEN k % 7 = 0 THEN 'aggregator' WHEN len(mails) > 0 THEN 'ok' WHEN company_low <> '' THEN 'no_email' ELSE 'unreachable' END AS status FROM prospect", pros=_PROS, prospect=_PROSPECT))
 def _(v):
     pages = _site_pages(v)

@@ -19,7 +19,7 @@ def rx(terms) -> str:
 
 _SHUT = f"regexp_matches(lower(status), '{rx(vocab.CLOSED_STATUS_WORDS)}')"
 _STRONG = f"regexp_matches(lower(title), '\\bada\\b|{rx(vocab.STRONG_TERMS)}')"
-_REL = f"({_STRONG} OR (regexp_matches(lower(title), '{rx(vocab.NICHE_TERMS)}') AND NOT regexp_matches(lower(title), '{rx(vocab.UNRELATED_TERMS)}')))"
+RELEVANT_TITLE = _REL = f"({_STRONG} OR (regexp_matches(lower(title), '{rx(vocab.NICHE_TERMS)}') AND NOT regexp_matches(lower(title), '{rx(vocab.UNRELATED_TERMS)}')))"
 
 
 def _rule(name, sql, **columns):
