@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticegrid import vocab
 from noticegrid.functions import dates, relevance
-from noticegrid.functions.text import text
+from noticegrid.functions.text import has_any, text
 from noticegrid.operators.common import subtract_keys, tally, top_k
 from noticegrid.operators.directory import fetch_runs
 from noticegrid.session import stage
@@ -148,21 +150,20 @@ def sample_portals(portals: DataFrame, seed: int = 0, n: int | None = None) -> D
     return listing.withColumn("audit_url", F.concat(base, F.lit(vocab.CIVICPLUS_AUDIT_QUERY)))
 
 
-def category_profile(rows: DataFrame, name: str) -> DataFrame:
-    """The first column value of a dataset that is a category of the trade, if it has one.
+def category_profile(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Per data set: the first of its columns that holds a category of the trade, and the most frequent such value.
 
-    Columns are chosen by name; a dataset needs coordinates or an address column.
+    ``catalog``: dataset, columns (names in their order). ``rows``: dataset, row (VARIANT), rows of any shape. Columns are
+    chosen by name, and a data set needs coordinates or an address column. The values of all data sets are counted in one
+    aggregation; only counts meet the catalog.
     """
-    low = [c.lower() for c in rows.columns]
-    located = (any("latitude" in c for c in low) and any("longitude" in c for c in low)) or any("address" in c for c in low)
-    fields = [c for c in rows.columns if any(h in c.lower() for h in vocab.CATEGORY_HINTS)
-              and not any(x in c.lower() for x in vocab.CATEGORY_EXCLUDE)]
-    if not located or not fields:
-        return rows.sparkSession.createDataFrame([], "dataset string, field string, value string, n bigint")
-    long = rows.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("pos"), F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))
-        for i, c in enumerate(fields)])).alias("c")).select("c.*").where("value <> ''")
-    from noticegrid.functions.text import has_any
-    good = tally(long, "pos", "field", "value").where(
+    name = lambda c: F.lower(c)
+    any_name = lambda *terms: F.exists("columns", lambda c: reduce(Column.__or__, [F.contains(name(c), F.lit(t)) for t in terms]))
+    located = (any_name("latitude") & any_name("longitude")) | any_name("address")
+    chosen = lambda c: has_any(name(c), vocab.CATEGORY_HINTS) & ~has_any(name(c), vocab.CATEGORY_EXCLUDE)
+    fields = catalog.where(located).select("dataset", F.posexplode("columns").alias("pos", "field"))
+    values = rows.select("dataset", F.explode(F.col("row").cast("map<string,string>")).alias("field", "value")).where(chosen(F.col("field")) & (F.col("value") != ""))
+    good = tally(values, "dataset", "field", "value").where(
         (F.col("n") >= vocab.CATEGORY_MIN_COUNT) & has_any(F.lower("value"), vocab.CATEGORY_VALUE_TERMS))
-    return good.orderBy("pos", F.desc("n"), "value").limit(1).select(F.lit(name).alias("dataset"), "field", "value", "n")
+    return top_k(good.join(fields, ["dataset", "field"]), ["dataset"], [F.col("pos"), F.desc("n"), F.col("value")], 1).select(
+        "dataset", "field", "value", "n")

@@ -6,14 +6,18 @@ from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from noticegrid import vocab
 from noticegrid.operators import directory, feed
 from noticegrid.operators.common import subtract_keys, upsert
 from noticegrid.session import stage
 
+# Parts of a snapshot that is resumed and rechecked.
+SNAPSHOT_PARTS = 64
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
@@ -65,9 +69,33 @@ def resume_work(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return subtract_keys(work, done, keys)
 
 
-def append_or_rewrite(old: DataFrame, new: DataFrame, keys: list[str], path: str) -> None:
-    """Next snapshot with new rows replacing old ones of the same key, written beside the old one."""
-    upsert(old, new, keys).write.mode("errorifexists").parquet(path)
+def _dealt(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    return rows.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+
+
+def append_rows(rows: DataFrame, path: str, keys: list[str], parts: int = SNAPSHOT_PARTS) -> None:
+    """Rows of a resumed run, as further files of a snapshot in parts by the hash of its keys."""
+    _dealt(rows, keys, parts).repartition("part").write.mode("append").partitionBy("part").parquet(path)
+
+
+def rewrite_rows(changed: DataFrame, path: str, keys: list[str], parts: int = SNAPSHOT_PARTS) -> None:
+    """Changed rows of a recheck in place of the old ones of the same key; only parts that hold such keys are read and rewritten.
+
+    The snapshot stays where it is: its readers see the old files of a part or the new ones.
+    """
+    spark = changed.sparkSession
+    new = stage(_dealt(changed, keys, parts), "changed")
+    touched = [r["part"] for r in new.select("part").distinct().collect()]  # at most as many as there are parts
+    if not touched:
+        return
+    shape = StructType([f for f in new.schema if f.name != "part"]).add("part", IntegerType())
+    old = spark.read.schema(shape).parquet(path).where(F.col("part").isin(touched))
+    whole = stage(upsert(old, new, keys), "rewritten")
+    whole.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("part")
 
 
 def write_same_day(results: DataFrame, path: str, as_of: Column) -> None:

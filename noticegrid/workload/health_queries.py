@@ -41,11 +41,15 @@ def stream_log(v, base):
                          F.when(kind, F.when(F.col("event_id") % 3 == 0, F.lit(429)).otherwise(F.lit(500))).otherwise(F.lit(200)).alias("status"), "event_type")
 
 
-def state_of(v, make, name):
+def state_of(v, make, name, variable=None):
     """Run a stream over the log and return the state it ends with."""
     base = root(v, name)
     jobs.start(make(stream_log(v, base)), name, base).awaitTermination()
-    return jobs.current(v.spark, name, base)
+    return jobs.current(v.spark, name, base, variable)
+
+
+# Where the log is cut into what is stored already and what streams.
+MIDDLE = "ts < timestamp '2024-01-16 00:00:00'"
 
 
 @register("t3_portal_health", V.sql("fetch_log", "SELECT portal, fail_count, fail_count < 5 AS trusted FROM streak", streak=_STREAK))
@@ -55,10 +59,19 @@ def _(v):
 
 @register("t3_portal_health_stream", V.sql("fetch_log", "SELECT portal, fail_count, strftime(last_ok, '%Y-%m-%d %H:%M:%S') AS last_ok FROM streak", streak=_STREAK))
 def _(v):
-    state = state_of(v, lambda log: jobs.streaks_stream(log, "portal", late="60 days"), "t3")
+    state = state_of(v, lambda log: jobs.streaks_stream(log, "portal", late="60 days"), "t3", "streak")
     return jobs.streaks(state, "portal").select("portal", "fail_count", F.date_format("last_ok", "yyyy-MM-dd HH:mm:ss").alias("last_ok"))
 
 
+@register("t3_portal_health_resumed", V.sql("fetch_log", "SELECT portal, fail_count, strftime(last_ok, '%Y-%m-%d %H:%M:%S') AS last_ok, strftime(last_checked, '%Y-%m-%d %H:%M:%S') AS last_checked FROM streak", streak=_STREAK))
+def _(v):
+    """The directory of the first half of the log, and the second half as a stream that goes on from it."""
+    stored = health.portal_health(v.fetch_log().where(MIDDLE)).select("portal", "fail_count", "last_ok", "last_checked")
+    state = state_of(v, lambda log: jobs.streaks_stream(log.where(f"not ({MIDDLE})"), "portal", late="60 days", stored=stored), "t3r", "streak")
+    shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("last_ok", "last_checked")]
+    return jobs.streaks(state, "portal").select("portal", "fail_count", *shown)
+
+
 _T4 = "SELECT portal, ts, event_id AS seq, event_id % 11 = 0 AS ok FROM (SELECT user_id % 20 AS portal, ts, event_id FROM events)"
 
 
@@ -83,6 +96,27 @@ def _(v):
     return jobs.cooldown(state, "portal").select("portal", F.date_format("down_until", "yyyy-MM-dd HH:mm:ss").alias("down_until"))
 
 
+_BENCH = """SELECT user_id AS portal, ts, event_type = 'error' AS refused, lead(ts) OVER w AS next_ts, lead(event_type) OVER w = 'error' AS next_refused, lag(ts) OVER w AS last_ts, lag(event_type) OVER w = 'error' AS last_refused
+    FROM events WHERE event_type <> 'error' OR event_id % 3 = 0 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
+
+
+@register("t5_benches_stream", V.sql("", """SELECT portal, strftime(moment, '%Y-%m-%d %H:%M:%S') AS changed_at, down FROM (
+    SELECT portal, ts AS moment, TRUE AS down FROM e WHERE refused AND NOT (coalesce(last_refused, FALSE) AND last_ts + INTERVAL 4 HOUR > ts)
+    UNION ALL SELECT portal, CASE WHEN NOT next_refused AND next_ts < ts + INTERVAL 4 HOUR THEN next_ts ELSE ts + INTERVAL 4 HOUR END, FALSE FROM e
+    WHERE refused AND NOT (coalesce(next_refused, FALSE) AND next_ts < ts + INTERVAL 4 HOUR))""", e=_BENCH))
+def _(v):
+    """Every change of every provider over the whole log, in shuffled batches; a tick from later moves the clock past the last bench."""
+    base = root(v, "t5b")
+    log = stream_log(v, base)
+    run = lambda: jobs.start(jobs.benches_stream(log, "portal", seconds=4 * 3600, late="60 days"), "t5b", base, mode="append", path=f"{base}/out").awaitTermination()
+    run()
+    tick = v.spark.createDataFrame([(-1, "2024-08-01 00:00:00", -1, "tick", 0.0, "")], "event_id bigint, t string, user_id bigint, event_type string, value double, props string")
+    tick.select("event_id", F.col("t").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props").write.mode("append").parquet(f"{base}/in")
+    run()
+    told = v.spark.read.schema("portal bigint, changed_at timestamp, down boolean").parquet(f"{base}/out").where("portal >= 0")
+    return told.select("portal", F.date_format("changed_at", "yyyy-MM-dd HH:mm:ss").alias("changed_at"), "down")
+
+
 _T6 = "SELECT portal, count(*) FILTER (WHERE ok) AS ok_n, count(*) FILTER (WHERE NOT ok) AS failed_n, coalesce(arg_max(status, ts) FILTER (WHERE NOT ok), 0) AS last_status FROM fetch_log GROUP BY portal"
 
 
@@ -143,12 +177,18 @@ def _(v):
 
 @register("t2_first_seen_stream", V.sql("", "SELECT sig, CASE WHEN sig LIKE '%-view' THEN least(first_seen, DATE '2023-12-01') ELSE first_seen END AS first_seen FROM clock", sightings=_SIG, clock=_CLOCK))
 def _(v):
-    base = root(v, "t2")
     stored = sightings(v.fetch_log()).select("sig", F.when(F.col("sig").endswith("-view"), F.lit("2023-12-01")).otherwise(F.lit("bad date")).alias("seen_date"),
                                              F.lit("2024-01-01").cast("timestamp").alias("seen")).distinct()
-    store = in_batches(stored, f"{base}/store", "sig string, seen_date string, seen timestamp", "sig")
-    jobs.start(jobs.first_seen_stream(sightings(stream_log(v, base)), store, late="60 days"), "t2", base).awaitTermination()
-    return jobs.first_seen(jobs.current(v.spark, "t2", base))
+    return jobs.first_seen(state_of(v, lambda log: jobs.first_seen_stream(sightings(log), stored, late="60 days"), "t2", "clock"))
+
+
+@register("t2_first_seen_resumed", V.sql("", "SELECT * FROM clock", sightings=_SIG, clock=_CLOCK))
+def _(v):
+    """The clock of the first half of the log, and the second half as a stream that goes on from it."""
+    early = sightings(v.fetch_log().where(MIDDLE))
+    last = early.groupBy("sig").agg(F.max("seen").alias("seen"))
+    stored = health.first_seen_clock(early).join(last, "sig").select("sig", F.col("first_seen").cast("string").alias("seen_date"), "seen")
+    return jobs.first_seen(state_of(v, lambda log: jobs.first_seen_stream(sightings(log.where(f"not ({MIDDLE})")), stored, late="60 days"), "t2r", "clock"))
 
 
 @register("w14_evict_oldest", "SELECT sig FROM (SELECT 's' || event_id AS sig, row_number() OVER (ORDER BY CAST(ts AS DATE) DESC, 's' || event_id) AS rn FROM events) WHERE rn <= 5000")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticegrid import vocab
@@ -155,12 +158,25 @@ def _(v):
     return feed.lead_status_tiles(user_leads(v))
 
 
-@register("a13_category_profile", V.sql("leads", "SELECT 'permits' AS dataset, 'work_type' AS field, 'Driveway Curb Cut' AS value, count(*) AS n FROM leads WHERE seq % 3 = 1"))
+@register("a13_category_profile", V.sql("leads bids", """SELECT 'permits' AS dataset, 'work_type' AS field, 'Driveway Curb Cut' AS value, count(*) AS n FROM leads WHERE seq % 3 = 1 HAVING count(*) >= 3
+    UNION ALL SELECT 'notices', 'description', v, n FROM (SELECT lower(title) AS v, count(*) AS n FROM bids GROUP BY 1 HAVING n >= 3 AND regexp_matches(v, 'driveway|sidewalk|curb cut|curb ramp|curb & gutter') ORDER BY n DESC, v LIMIT 1)
+    UNION ALL SELECT 'parts', 'TYPE_CODE', 'sidewalk brick ' || (p_size % 5), count(*) AS n FROM part WHERE p_size % 5 = 2 GROUP BY 3 HAVING n >= 3
+    UNION ALL SELECT 'lines', 'class', 'Curb ramp', count(*) FROM lineitem WHERE l_linenumber = 2 HAVING count(*) >= 3"""))
 def _(v):
+    """Six data sets of unlike columns; one has no place, one no such column, one only values of other trades in its first field."""
     k = F.col("seq") % 3
-    rows = v.leads().select("address", F.concat(F.lit("s"), (k).cast("string")).alias("status_type"), F.lit("Residential").alias("permit_class"),
-                            F.when(k == 1, F.lit("Driveway Curb Cut")).otherwise(F.lit("Roof")).alias("work_type"))
-    return health.category_profile(rows, "permits")
+    permits = v.leads().select("address", F.concat(F.lit("s"), k.cast("string")).alias("status_type"), F.lit("Residential").alias("permit_class"),
+                               F.when(k == 1, F.lit("Driveway Curb Cut")).otherwise(F.lit("Roof")).alias("work_type"))
+    notices = v.bids().select("bid_id", F.lit(1.5).alias("site_latitude"), F.lit(2).alias("site_longitude"), F.lower("title").alias("description"))
+    parts = v.table("part").select(F.concat(F.lit("sidewalk brick "), (F.col("p_size") % 5).cast("string")).alias("TYPE_CODE"), F.col("p_name").alias("Address"),
+                                   F.when(F.col("p_size") % 5 == 2, F.lit("driveway")).alias("workplan")).where("p_size % 5 = 2")
+    lines = v.table("lineitem").select(F.when(F.col("l_linenumber") == 2, F.lit("Curb ramp")).otherwise(F.col("l_returnflag")).alias("class"), "l_linenumber", F.lit("x").alias("mail_address"))
+    nowhere = v.table("orders").select(F.lit("sidewalk").alias("work_type"), "o_orderkey")
+    plain = v.table("customer").select(F.lit("sidewalk").alias("city_type"), F.col("c_name").alias("address"))
+    sets = {"permits": permits, "notices": notices, "parts": parts, "lines": lines, "nowhere": nowhere, "plain": plain}
+    catalog = v.spark.createDataFrame([(name, df.columns) for name, df in sets.items()], "dataset string, columns array<string>")
+    rows = [df.select(F.lit(name).alias("dataset"), F.to_variant_object(F.struct(*df.columns)).alias("row")) for name, df in sets.items()]
+    return health.category_profile(reduce(DataFrame.unionByName, rows), catalog)
 
 
 # ---- feeds --------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from noticegrid.functions import geo, keys, places
@@ -9,9 +11,11 @@ from noticegrid.operators import bids as bid_ops
 from noticegrid.operators import placing, radius
 from noticegrid.operators.common import tally
 from noticegrid.plans import alerts, scan
+from noticegrid.session import run_folder
 from noticegrid.session import stage as base_stage
 from noticegrid.workload import views as V
 from noticegrid.workload.registry import register
+from noticegrid.workload.rule_queries import RELEVANT_TITLE
 
 _DIST = V.sql_distance("s.lat", "s.lon", "t.lat", "t.lon")
 _NEAR = f"SELECT s.search_id, s.state AS centre_state, s.radius, t.city, t.state, {_DIST} AS d FROM searches s, gazetteer t WHERE {_DIST} <= s.radius"
@@ -51,6 +55,13 @@ def _(v):
     return radius.nearest_k(near, 6).select("search_id", "city", "state", "rank")
 
 
+@register("w3_nearest_all", V.sql("gazetteer searches", "SELECT search_id, city, state, row_number() OVER "
+          "(PARTITION BY search_id ORDER BY round(d, 6), city, state) AS rank FROM near", near=_NEAR))
+def _(v):
+    near = radius.within_radius(v.searches().select("search_id", "lat", "lon", "radius"), v.gazetteer())
+    return radius.nearest_k(near).select("search_id", "city", "state", "rank")
+
+
 @register("f12_trusted_portals", V.sql("portals", "SELECT city_key, url, fail_count FROM portals WHERE fail_count < 5"))
 def _(v):
     return radius.trusted(v.portals()).select("city_key", "url", "fail_count")
@@ -258,11 +269,11 @@ def _(v):
     return scan.contact_reasons(scan.scan(centres(v), p, ranked=False), p)
 
 
-@register("a2_intake_reasons", V.sql("bids", """SELECT source, reason, count(*) AS n FROM (SELECT 'portals' AS source, CASE WHEN bid_id % 9 = 0 THEN 'malformed' WHEN contains(lower(title), 'janitorial') THEN 'filtered_not_niche' ELSE 'taken' END AS reason
-    FROM bids WHERE contains(lower(title), 'janitorial') OR contains(lower(title), 'sidewalk') UNION ALL SELECT 'agency_posted', 'agency_posted' FROM bids WHERE contains(lower(title), 'janitorial')) GROUP BY ALL"""))
+@register("a2_intake_reasons", V.sql("bids", f"""SELECT source, reason, count(*) AS n FROM (SELECT 'portals' AS source, CASE WHEN bid_id % 9 = 0 THEN 'malformed' WHEN NOT ({RELEVANT_TITLE}) THEN 'filtered_not_niche' ELSE 'taken' END AS reason
+    FROM bids UNION ALL SELECT 'agency_posted', 'agency_posted' FROM bids WHERE contains(lower(title), 'janitorial')) GROUP BY ALL"""))
 def _(v):
     b = v.bids().withColumn("scope", F.lit(""))
-    plain = b.where("contains(lower(title), 'janitorial') or contains(lower(title), 'sidewalk')").withColumn("source", F.lit("portals"))
+    plain = b.withColumn("source", F.lit("portals"))
     blank = lambda c: F.when(F.col("bid_id") % 9 == 0, F.lit(" ")).otherwise(F.col(c))
     posted = b.where("contains(lower(title), 'janitorial')").withColumn("source", F.lit("agency_posted"))
     return bid_ops.intake_reasons(plain.withColumns({"title": blank("title"), "url": blank("url")}).unionByName(posted))
@@ -327,7 +338,12 @@ def _alerts(v):
 
 @register("j19_new_for_subscriber", V.sql(_SCAN_VIEWS, "SELECT search_id, label, bid_id, sig FROM fresh", **_ALERT))
 def _(v):
-    return _alerts(v)["new"].select("search_id", "label", "bid_id", "sig")
+    """Against a store that an earlier run left in buckets."""
+    current = base_stage(alerts.current_signatures(scan.scan(centres(v), prepared(v))), "current")
+    table = f"seen_{uuid.uuid4().hex}"
+    path = f"{run_folder(v.spark)}/{table}"
+    alerts.write_seen(current.where("bid_id % 4 = 0"), table, path)
+    return alerts.new_for_subscriber(current, alerts.read_seen(v.spark, table, path)).select("search_id", "label", "bid_id", "sig")
 
 
 @register("w12_alert_digest", V.sql(_SCAN_VIEWS, """SELECT search_id, any_value(n) AS n_new, string_agg('- ' || CASE WHEN title = '' THEN 'Untitled' ELSE title END || ' — ' || label || CASE WHEN deadline = '' THEN '' ELSE ' (due ' || deadline || ')' END || chr(10) || '  ' || url, chr(10) ORDER BY rn)

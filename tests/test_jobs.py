@@ -70,7 +70,7 @@ def test_listing_page(spark):
     assert rows["31"].status == "Open" and rows["31"].url == "https://www.x.gov/bids.aspx?bidID=31"
     assert rows["29"].status == "" and rows["29"].deadline == ""
     assert {r.url[-2:] for r in pages.postings_from_pages(df).collect()} == {"44", "45"}
-    got = {r.expected: r for r in pages.recall(pages.postings_from_pages(df), ["harbor walk ada", "elm & third", "laundry"]).collect()}
+    got = {r.expected: r for r in pages.recall(pages.postings_from_pages(df), spark.createDataFrame([("harbor walk ada",), ("elm & third",), ("laundry",)], "expected string")).collect()}
     assert got["harbor walk ada"].found and got["elm & third"].found and not got["laundry"].found
     assert abs(got["laundry"].recall - 2 / 3) < 1e-9
 
@@ -224,37 +224,33 @@ def test_streak_stream_over_shuffled_batches_equals_batch(spark, tmp_path):
     df.repartition(6, F.xxhash64("seq")).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     jobs.start(jobs.streaks_stream(stream, "portal"), "h", str(tmp_path)).awaitTermination()
-    got = {r.portal: (r.fail_count, r.last_ok) for r in jobs.streaks(jobs.current(spark, "h", str(tmp_path)), "portal").collect()}
+    got = {r.portal: (r.fail_count, r.last_ok) for r in jobs.streaks(jobs.current(spark, "h", str(tmp_path), "streak"), "portal").collect()}
     assert got == {r.portal: (r.fail_count, r.last_ok) for r in health.portal_health(df).collect()}
 
 
 def test_late_results_do_not_turn_a_streak_back():
-    import numpy as np
-    at = lambda *x: np.array(x, np.int64)
-    flag = lambda *x: np.array(x, bool)
-    held = jobs.streaks_after(None, at(100), at(1), flag(True), 0)
-    held = jobs.streaks_after(held, at(10, 20), at(2, 3), flag(True, False), 0)
+    held = jobs.streaks_after(None, [(100, 1, True)], 0)
+    held = jobs.streaks_after(held, [(10, 2, True), (20, 3, False)], 0)
     assert held[0] == 100 and held[3] + len(held[4]) == 0
-    held = jobs.streaks_after(held, at(110, 130), at(4, 5), flag(False, False), 0)
-    held = jobs.streaks_after(held, at(120), at(6), flag(True), 0)  # a success between two failures comes last
+    held = jobs.streaks_after(held, [(110, 4, False), (130, 5, False)], 0)
+    held = jobs.streaks_after(held, [(120, 6, True)], 0)  # a success between two failures comes last
     assert held[0] == 120 and held[4] == [130]
-    held = jobs.streaks_after(held, at(140), at(7), flag(False), 135)
+    held = jobs.streaks_after(held, [(140, 7, False)], 135)
     assert held[3] == 1 and held[4] == [140]  # 130 is settled: no success before it can come any more
 
 
 def test_first_seen_clock_restarts_bad_dates_and_forgets(spark, tmp_path):
     store = spark.createDataFrame([("a", "2025-12-01"), ("b", "soon")], "sig string, seen_date string").withColumn("seen", F.lit("2026-01-01").cast("timestamp"))
-    store.coalesce(1).write.parquet(f"{tmp_path}/store")
     days = [("a", "2026-01-02"), ("b", "2026-01-03"), ("old", "2026-01-01")]
     later = [("b", "2026-05-01"), ("c", "2026-05-02")]
     for part in (days, later, [("c", "2026-05-03")]):
         seen = spark.createDataFrame(part, "sig string, t string").select("sig", F.col("t").cast("timestamp").alias("seen"))
         seen.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         clock = jobs.first_seen_stream(spark.readStream.schema("sig string, seen timestamp").parquet(f"{tmp_path}/in"),
-                                       spark.readStream.schema("sig string, seen_date string, seen timestamp").parquet(f"{tmp_path}/store"), late="1 day")
+                                       store, late="1 day")
         jobs.start(clock, "c", str(tmp_path)).awaitTermination()
         if part is days:
-            got = {r.sig: str(r.first_seen) for r in jobs.first_seen(jobs.current(spark, "c", str(tmp_path))).collect()}
+            got = {r.sig: str(r.first_seen) for r in jobs.first_seen(jobs.current(spark, "c", str(tmp_path), "clock")).collect()}
             assert got == {"a": "2025-12-01", "b": "2026-01-03", "old": "2026-01-01"}
 
 
