@@ -19,6 +19,8 @@ SETTINGS = {
     # rank filters up to this k are applied in every task before the shuffle
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.ui.explainMode": "formatted",
+    # rows handed to Python at a time: texts are long, and a worker has a few hundred MB
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     # keyed state of any size, and the only store that has maps, lists and timers
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
