@@ -17,7 +17,8 @@ bucket is sorted by multikey quicksort, neighbours are compared, and the first a
 
 Bytes are shuffled once, and once more only where ends of repeats have to be settled. Hashes have 64 bits.
 
-A null text is an empty text; texts shorter than `length` lose nothing. Repeated rows repeat each other. A very long text is
+A null text is an empty text; texts shorter than `length` lose nothing. Repeated rows repeat each other; they share one key, and what
+is found for it is kept once. Ties of tokens are equal strings. A very long text is
 worked on whole by its task. An empty table gives no rows; columns other than doc_id and text are not looked at.
 """
 
@@ -64,9 +65,18 @@ def anchors(raw: np.ndarray, begin: np.ndarray, length: int = LENGTH, reach: int
 
 
 def suffixes(docs: DataFrame, length: int) -> DataFrame:
-    """lead, whole (the tokens), key (of the document) and at (start of the run, strings in it less one, anchor's place in it)."""
+    """lead, whole (the tokens), key (of the document) and at (start of the run, strings in it less one, anchor's place in it).
+
+    Of equal rows a task gives out two at most: that is as good as many, and they would all meet in one bucket.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
         for batch in batches:
+            new = []
+            for key in batch["key"].to_pylist():
+                seen[key] = seen.get(key, 0) + 1
+                new.append(seen[key] <= 2)
+            batch = batch.filter(pa.array(new, pa.bool_()))
             raw, begin = flat(batch["text"])
             keys = batch["key"].to_numpy(zero_copy_only=False)
             for i, j in length_slices(begin):
@@ -184,7 +194,7 @@ def first_pass(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
                     out.append((doc_id, key, len(raw), *cleaned(raw, starts, counts, length), None, None, None, pieces))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-    runs = found.groupBy("key").agg(F.collect_list(F.struct("at", "lead", "sort")).alias("runs"))
+    runs = found.groupBy("key").agg(F.collect_set(F.struct("at", "lead", "sort")).alias("runs"))  # equal rows have one key
     return docs.select("doc_id", "key", "text").join(runs, "key", "left").select("doc_id", "key", "text", "runs").mapInArrow(run, schema)
 
 
@@ -262,7 +272,7 @@ def last_pass(waiting: DataFrame, more: DataFrame, length: int) -> DataFrame:
                 out.append((doc_id, len(raw), *cleaned(raw, starts, counts, length)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], RESULT)
-    runs = more.groupBy("key").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
+    runs = more.groupBy("key").agg(F.collect_set(F.struct("start", "count")).alias("runs"))
     return waiting.join(runs, "key", "left").select("doc_id", "raw", "starts", "counts", "runs").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
