@@ -5,12 +5,12 @@ each language greedily into the longest stretches the automaton knows. A languag
 few of them. A phrase is charged the bits that name a place in the training text, so languages with more
 training text do not win by its length; the language with the fewest bits wins, ties go to the first by name.
 
-Automata are built on the driver from a bounded sample: documents in order of a hash of their id, of at most `longest`
-characters each, until a language has `letters` characters. Texts are parsed whole, in pieces of `PIECE` characters, all pieces
+Automata are built on the driver from a bounded sample: documents in order of a hash of their id, those of at most `longest`
+characters first and then stretches of that length from longer ones, until a language has `letters` characters. Texts are parsed whole, in pieces of `PIECE` characters, all pieces
 and languages of a batch step by step at once; there is no shuffle.
 
 A null text, or one without any letter, is `und` with score 0; so is everything if nothing can be learned. Repeated rows get the
-same answer each. An empty table gives no rows.
+same answer each. An empty table gives no rows. Further columns are not looked at, but for those the caller carries along.
 """
 
 from __future__ import annotations
@@ -30,12 +30,14 @@ DOCUMENTS = 400
 OVERSAMPLE = 4
 PIECE = 256
 AT_ONCE = 4096
+TABLE_CELLS = 50_000_000
 GAP, UNKNOWN = 0, 1
 
 
 def training_texts(docs: DataFrame, usable: Column, documents: int = DOCUMENTS, longest: int = LONGEST) -> dict[str, list[str]]:
     """Per language, texts in order of a hash of their id; at most `documents` of at most `longest` characters.
 
+    Longer texts follow the others, each as one stretch that begins at a place its id is hashed to; so a language of long texts only is learned too.
     Of a language with many documents only a share chosen by that hash is ranked, about OVERSAMPLE times what is wanted.
     """
     named = docs.filter(usable & F.col("lang").isNotNull())
@@ -43,9 +45,11 @@ def training_texts(docs: DataFrame, usable: Column, documents: int = DOCUMENTS,
     if not counts:
         return {}
     share = F.coalesce(*[F.when(F.col("lang") == lang, hashed_share(F.col("doc_id"), OVERSAMPLE * documents, n)) for lang, n in sorted(counts.items())])
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = named.filter(share & (F.length("text") > 0) & (F.length("text") <= longest)) \
-        .select("lang", "doc_id", "text").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= documents) \
+    order = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "text")
+    long = F.length("text") > longest
+    begin = (F.pmod(F.xxhash64("doc_id", F.lit("begin")), F.greatest(F.length("text") - longest, F.lit(1)).cast("long")) + 1).cast("int")
+    rows = named.filter(share & (F.length("text") > 0)) \
+        .select("lang", "doc_id", long.alias("long"), F.when(long, F.substr("text", begin, F.lit(longest))).otherwise(F.col("text")).alias("text")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= documents) \
         .orderBy("lang", "rank").toLocalIterator()
     out: dict[str, list[str]] = {}
     for row in rows:
@@ -53,8 +57,8 @@ def training_texts(docs: DataFrame, usable: Column, documents: int = DOCUMENTS,
     return out
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """The transitions [state, symbol] of the automaton of all stretches; 0 is none, 1 is the root."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """The steps of each state of the automaton of all stretches; state 0 is none, 1 is the root."""
     following: list[dict[int, int]] = [{}, {}]
     longest, link, last = [0, 0], [0, 0], 1
     for s in symbols:
@@ -80,15 +84,15 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.zeros((len(following), width), np.int32)
-    for state, step in enumerate(following):
-        for s, to in step.items():
-            table[state, s] = to
-    return table
+    return following
 
 
 class Parser:
-    """All languages' automata in one table, and the codes of characters."""
+    """All languages' automata, and the codes of characters.
+
+    Steps are kept as sorted numbers (state * width + symbol); they are spread into a table of states by symbols where that has at most
+    TABLE_CELLS cells, as for alphabets, and searched otherwise, as for thousands of signs.
+    """
 
     def __init__(self, texts: dict[str, list[str]], letters: int = LETTERS):
         self.languages = sorted(texts)
@@ -103,14 +107,28 @@ class Parser:
         known = sorted({c for text in cut.values() for c in text if c.isalpha()})
         self.code = {c: i + 2 for i, c in enumerate(known)}
         self.width = len(known) + 2
-        tables, self.roots, self.bits, offset = [], [], [], 0
+        steps, self.roots, self.bits, offset = [], [], [], 0
         for lang in self.languages:
-            table = suffix_automaton(self.codes(cut[lang]).tolist(), self.width)
+            following = suffix_automaton(self.codes(cut[lang]).tolist())
             self.roots.append(offset + 1)
-            tables.append(np.where(table > 0, table + offset, 0))
+            steps += [((offset + state) * self.width + s, offset + to) for state, step in enumerate(following) for s, to in step.items()]
             self.bits.append(np.log2(len(cut[lang]) + 2))
-            offset += len(table)
-        self.table = np.concatenate(tables).astype(np.int32).reshape(-1) if tables else np.zeros(0, np.int32)
+            offset += len(following)
+        steps.sort()
+        self.at, self.to = np.array([a for a, _ in steps], np.int64), np.array([b for _, b in steps], np.int32)
+        self.table = None
+        if offset * self.width <= TABLE_CELLS:
+            self.table = np.zeros(offset * self.width, np.int32)
+            self.table[self.at] = self.to
+            self.at = self.to = None
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Where each state goes with its symbol; 0 if nowhere."""
+        asked = state.astype(np.int64) * self.width + symbol
+        if self.table is not None:
+            return self.table[asked]
+        place = np.minimum(np.searchsorted(self.at, asked), len(self.at) - 1)
+        return np.where(self.at[place] == asked, self.to[place], 0)
 
     def codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -142,11 +160,11 @@ class Parser:
         for t in range(int(size[0]) if len(size) else 0):
             live = int(np.searchsorted(-size, -t, side="left"))
             symbol = codes[begin[:live] + t]
-            now = self.table[state[:, :live] * self.width + symbol]
+            now = self.step(state[:, :live], symbol)
             miss = now == 0
             if miss.any():
                 count[:, :live] += miss
-                again = self.table[roots * self.width + symbol]
+                again = self.step(roots, symbol)
                 now = np.where(miss, np.where(again == 0, roots, again), now)
             state[:, :live] = now
         return count
