@@ -10,21 +10,21 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticegrid.session import stage
+from noticegrid.session import SETTINGS, stage
 
 __all__ = ["SPACE", "WORD", "flat", "fresh", "hashed_share", "length_slices", "merged", "read", "stage", "words_of"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-# Rows handed to Python at a time: texts are long, and a worker has a few hundred MB.
-BATCH_ROWS = 512
 # Bytes of text a numpy pass holds at a time; each costs about 100 bytes of work arrays.
 SLICE_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """A table, in a session that hands texts to Python in small batches, as all jobs of the package expect."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, SETTINGS[batch])
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticegrid.llm.base import LOWER, SPACES, flat, hashed_words, length_slices
+from noticegrid.llm.base import LOWER, SPACES, flat, hashed_share, hashed_words, length_slices
 
 SAMPLE = 20_000
+OVERSAMPLE = 2
 BINS = 32
 ROUNDS = 60
 PAIR_ROUNDS = 20
@@ -210,8 +211,13 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> Model:
-    """A model of `quality` from at most `sample` of the labelled rows for which `usable` (over doc_id) holds."""
-    chosen = labels.filter(usable & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality")) \
+    """A model of `quality` from at most `sample` of the labelled rows for which `usable` (over doc_id) holds.
+
+    Of many rows a share chosen by a hash is ordered, about OVERSAMPLE times what is wanted.
+    """
+    marked = labels.filter(usable & F.col("quality").isin(0, 1))
+    share = hashed_share(F.col("doc_id"), OVERSAMPLE * sample, marked.count())
+    chosen = marked.filter(share).groupBy("doc_id").agg(F.max("quality").alias("quality")) \
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most `sample` ids, by the limit above.
     rows = measured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "quality").toPandas()
