@@ -112,9 +112,10 @@ def axis(docs: DataFrame, sources: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST,
         block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Every document: doc_id, source, size, source_size, target, taken, and `copies`: how often the mix holds it whole.
+    """Every document: doc_id, source, size, source_size, target, taken, and `copies`: where the mix holds it whole.
 
-    A document counts into a round if the middle of it lies before the cut of that round.
+    A document counts into a round if the middle of it lies before the cut of that round; for each such round `copies` has (slot, place): the slot of the
+    schedule in which it begins, and the words of the slot's block before it. So ordered by (slot, place) the mix is near its weights all along.
     """
     table = sized(docs)
     counts = stage(slot_counts(targets(table, weights, share, most), block_words), "mix-counts")
@@ -131,17 +132,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     return pieces.join(slots, (F.col("src") == F.col("slot_src")) & (F.col("block") == F.col("slot_block")), "left") \
         .groupBy("doc_id", "source", "src", "group", "row", "size", "source_size", "target") \
         .agg(F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken"),
-             F.coalesce(F.sum(whole.cast("int")), F.lit(0)).alias("copies")) \
+             F.collect_list(F.when(whole, F.struct("slot", (F.col("start") % block_words).alias("place")))).alias("copies")) \
         .drop("src", "group", "row")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, slot: str | None = None, place: str | None = None, **options) -> DataFrame:
     """The documents of the mix, each as often as the mix takes it, with the columns of the input.
 
+    With names for them, two columns more: the slot of the schedule and the place in it, by which the mix is ordered.
+
     A document stands in a round if its middle lies before the cut of that round: texts stay whole.
     """
     row, copy = fresh(docs, "_row"), fresh(docs, "_copy")
     keyed = stage(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
     taken = mix(keyed.select(F.col(row).alias("doc_id"), "text", "source"), **options) \
-        .filter("copies > 0").select(F.col("doc_id").alias(row), F.col("copies").cast("int").alias(copy))
-    return keyed.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*docs.columns)
+        .select(F.col("doc_id").alias(row), F.explode("copies").alias(copy))
+    order = [] if slot is None else [F.col(f"{copy}.slot").alias(slot), F.col(f"{copy}.place").alias(place)]
+    return keyed.join(taken, row).select(*docs.columns, *order)
