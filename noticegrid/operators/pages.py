@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from noticegrid.functions.relevance import declares_closed, looks_awarded, looks
 from noticegrid.functions.text import clean, count_terms, has_any, html_to_text, slug, strip, text, unescape, visible
 from noticegrid.operators.common import first_per_key, ranked_rows, top_k
 from noticegrid.operators.containment import containing
+from noticegrid.session import stage
 
 # fixed values: markup of links and listings
 ANCHOR = r'(?is)<a[^>]+href="([^"#][^"]*)"[^>]*>(.*?)</a>'
@@ -35,7 +38,8 @@ def anchors(pages: DataFrame) -> DataFrame:
     return links.select("page_id", "url", "pos", F.col("_a.href").alias("href"), clean("_a.label").alias("label"))
 
 
-def link_candidates(pages: DataFrame, k: int | None = None, hints=vocab.LINK_HINTS, noise=vocab.LINK_NOISE) -> DataFrame:
+def link_candidates(pages: DataFrame, k: int | None = None, hints=vocab.LINK_HINTS, noise=vocab.LINK_NOISE,
+                    carried: Sequence[str] = ("page_id",)) -> DataFrame:
     """Links per page that look like a bid page, most hints first, the first k on request; no shuffle.
 
     The links of one page stay in its row, so this scales with the number of pages.
@@ -46,12 +50,12 @@ def link_candidates(pages: DataFrame, k: int | None = None, hints=vocab.LINK_HIN
     scored = F.transform(clear, lambda a, i: F.struct(
         (-count_terms(a["blob"], hints)).alias("score"), i.alias("pos"),
         urls.url_join(F.col("url"), unescape(a["href"])).alias("link")))
-    step = pages.select("page_id", "url", scored.alias("_s"))
+    step = pages.select(*carried, scored.alias("_s"))
     step = step.withColumn("_links", F.transform("_s", lambda s: s["link"]))
     once = F.filter("_s", lambda s, i: F.array_position(F.col("_links"), s["link"]) == i + 1)
     best = F.array_sort(once) if k is None else F.slice(F.array_sort(once), 1, k)
-    return step.select("page_id", F.posexplode(best).alias("_i", "_b")).select(
-        "page_id", (F.col("_i") + 1).alias("rank"), F.col("_b.link").alias("link"), (-F.col("_b.score")).alias("hits"))
+    return step.select(*carried, F.posexplode(best).alias("_i", "_b")).select(
+        *carried, (F.col("_i") + 1).alias("rank"), F.col("_b.link").alias("link"), (-F.col("_b.score")).alias("hits"))
 
 
 def link_for_title(pages: DataFrame, titles: DataFrame, min_len: int = vocab.MIN_TITLE_MATCH) -> DataFrame:
@@ -198,9 +202,8 @@ def site_candidates(sites: DataFrame, homepages: DataFrame) -> DataFrame:
     """(domain, rank, url, guessed) to look at per site: guessed paths, then the listing endpoints of the common platform, then homepage links."""
     guessed = sites.select("domain", F.explode(urls.candidate_urls("domain", PROBE_PATHS)).alias("_c")).select(
         "domain", F.col("_c.rank").alias("rank"), F.col("_c.url").alias("url"), F.lit(True).alias("guessed"))
-    home = homepages.select("page_id", "url", "html", urls.host_of("url").alias("domain"))
-    linked = link_candidates(home).join(home.select("page_id", "domain"), "page_id").join(
-        sites.select("domain"), "domain", "left_semi").select(
+    home = homepages.select("url", "html", urls.host_of("url").alias("domain")).join(sites.select("domain"), "domain", "left_semi")
+    linked = link_candidates(home, carried=["domain"]).select(
         "domain", (F.col("rank") + len(PROBE_PATHS)).alias("rank"), F.col("link").alias("url"), F.lit(False).alias("guessed"))
     return guessed.unionByName(linked)
 
@@ -252,8 +255,8 @@ def contacts_per_site(site_pages: DataFrame) -> DataFrame:
     both an address and a phone number are known. Rows: site, path_rank, html (null: not read).
     """
     read = site_pages.select("site", "path_rank", text("html").alias("_h"), urls.full_host("site").alias("_host")).where("_h <> ''")
-    facts = read.select("site", "path_rank", posting.page_title("_h").alias("_title"), posting.site_phone("_h").alias("_phone"),
-                        posting.site_emails("_h", "_host").alias("_mails"))
+    facts = stage(read.select("site", "path_rank", posting.page_title("_h").alias("_title"), posting.site_phone("_h").alias("_phone"),
+                              posting.site_emails("_h", "_host").alias("_mails")), "site-facts")
     has_mail = F.size("_mails") > 0
     per_site = facts.groupBy("site").agg(
         F.min_by("_title", F.when(F.col("_title") != "", F.col("path_rank"))).alias("company"),
