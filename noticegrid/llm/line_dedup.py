@@ -7,11 +7,15 @@ more documents than the limit is recurring, and its lines are dropped from every
 
 Documents with the same text count once: a page copied whole is for near-duplicate removal, not boilerplate. So do the
 near copies of a text, where their classes are given; without them each changed copy is a document of its own. The
-limit is a share of the documents, so leaves, constants and templates above it are at most (lines or tokens of a document) / share,
-however many documents there are. Only DataFrame functions. Lines in rare leaves go no further than the first count.
+limit is a number of documents, whatever the size of the table.
 
-Null and empty texts have no lines and stay as they are. Lines without a token stay. Repeated rows lose the same lines.
-An empty table gives no rows. Further columns are kept as they are, but for n_chars, which is set anew where it is there.
+Only DataFrame functions. Lines in rare leaves go no further than the first count. Leaves, constant tokens and templates are looked up
+by hashes, in tables of fixed width: sent to all tasks up to BROADCAST_ROWS rows, shuffled beyond. A line's constant tokens are
+counted, and joined into one number for its template, before anything is shuffled.
+
+Null and empty texts have no lines and stay as they are. Lines without a token stay. Repeated rows lose the same lines, ties cannot arise.
+Very long texts and lines are read whole. An empty table gives no rows. Further columns are kept as they are, whatever their names,
+but for n_chars, which is set anew where it is there.
 """
 
 from __future__ import annotations
@@ -25,7 +29,6 @@ from noticegrid.llm.base import SPACE, fresh, stage
 
 DEPTH = 3
 LIMIT_DOCUMENTS = 10
-LIMIT_SHARE = 0.002
 LEAST_CONSTANT_PERCENT = 50
 FIELD = "<*>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -58,7 +61,7 @@ def held_by(rows: DataFrame, *what: str) -> DataFrame:
 
 
 def looked_up(table: DataFrame, name: str) -> DataFrame:
-    """The table written, and marked to be sent to all tasks if it has no more rows than BROADCAST_ROWS; else it is shuffled."""
+    """The table (of numbers only) written, and marked to be sent to all tasks if it has no more rows than BROADCAST_ROWS; else it is shuffled."""
     written = stage(table, name)
     return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
 
@@ -77,8 +80,8 @@ def classed(copies: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return with_class
 
 
-def dropped_lines(docs: DataFrame, limit_documents: int = LIMIT_DOCUMENTS, limit_share: float = LIMIT_SHARE,
-                  least_constant_percent: int = LEAST_CONSTANT_PERCENT, copies: DataFrame | None = None) -> tuple[DataFrame, Column]:
+def dropped_lines(docs: DataFrame, limit_documents: int = LIMIT_DOCUMENTS, least_constant_percent: int = LEAST_CONSTANT_PERCENT,
+                  copies: DataFrame | None = None) -> tuple[DataFrame, Column]:
     """(key, places): the lines to drop from the text with that key; and the key of a text.
 
     copies (id, class): the texts, by their xxhash64, that count as one.
@@ -86,26 +89,24 @@ def dropped_lines(docs: DataFrame, limit_documents: int = LIMIT_DOCUMENTS, limit
     key = F.md5(F.col("text"))
     by = "key" if copies is None else "id"
     with_class = (lambda rows: rows) if copies is None else classed(copies)
+    held = lambda rows, *what: held_by(with_class(rows), *what).filter(F.col("n_docs") > limit_documents).drop("n_docs")
     texts = docs.filter(F.length("text") > 0).select(key.alias("key"), *([] if copies is None else [F.xxhash64("text").alias("id")]), "text")
-    n_texts = texts.agg(F.countDistinct("key")).first()[0]
-    limit = max(limit_documents, limit_share * n_texts)
     narrow = parsed(docs.filter(F.length("text") > 0).select(F.xxhash64("text").alias(by), "text"))
-    leaves = held_by(with_class(narrow.select("leaf", by)), "leaf").filter(F.col("n_docs") > limit).select("leaf")
+    leaves = held(narrow.select("leaf", by), "leaf")
     lines = parsed(texts).join(looked_up(leaves, "line-leaves"), "leaf").withColumn("tokens", masked(F.col("tokens")))
     lines = stage(lines, "line-parsed")
-    words = lines.select("leaf", by, F.posexplode("tokens").alias("at", "token")).filter(F.col("token") != FIELD)
-    constant = held_by(with_class(words), "leaf", "at", "token").filter(F.col("n_docs") > limit) \
-        .groupBy("leaf").agg(F.collect_set(F.struct("at", "token")).alias("constant"))
-    known = lambda t, i: F.array_contains("constant", F.struct(i.alias("at"), t.alias("token")))
-    blanked = lines.join(looked_up(constant, "line-constant"), "leaf").withColumn(
-        "fields", F.transform("tokens", lambda t, i: F.when(known(t, i), t).otherwise(F.lit(FIELD)))) \
-        .withColumn("n_constant", F.size(F.filter("fields", lambda t: t != FIELD))) \
-        .filter(100 * F.col("n_constant") >= least_constant_percent * F.size("tokens")) \
-        .select("key", *({by} - {"key"}), "place", "leaf", F.concat_ws(" ", "fields").alias("template"))
+    own = ["key", *({by} - {"key"}), "place", "leaf"]
+    words = lines.select(*own, F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).filter(F.col("token") != FIELD) \
+        .select(*own, "n", F.xxhash64("at", "token").alias("token"))
+    constant = looked_up(held(words.select("leaf", "token", by), "leaf", "token"), "line-constant")
+    blanked = words.join(constant, ["leaf", "token"]).groupBy(*own, "n") \
+        .agg(F.count(F.lit(1)).alias("n_constant"), F.bit_xor("token").alias("template")) \
+        .filter(100 * F.col("n_constant") >= least_constant_percent * F.col("n")).select(*own, "template")
     blanked = stage(blanked, "line-templates")
-    recurring = held_by(with_class(blanked.select("leaf", "template", by)), "leaf", "template").filter(F.col("n_docs") > limit).select("leaf", "template")
+    recurring = held(blanked.select("leaf", "template", by), "leaf", "template")
     gone = blanked.join(looked_up(recurring, "line-recurring"), ["leaf", "template"])
-    return gone.groupBy("key").agg(F.collect_set("place").alias("places")), key
+    # Written, so that a text with many copies is a side of the last join that Spark can split.
+    return stage(gone.groupBy("key").agg(F.collect_set("place").alias("places")), "line-dropped"), key
 
 
 def without_lines(docs: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_dropped", **options) -> DataFrame:

@@ -7,7 +7,7 @@ Only DataFrame functions. A document costs one pass; of its lines only hashes an
 the shuffle, so a line that a third of all documents share is one row per task. `source` is the host.
 
 Null and empty texts: all counts 0, base_failed. A null host is a host of its own. Repeated rows are judged
-each, and count as documents of their own. An empty table gives no rows; further columns are not looked at.
+each, and count as documents of their own. Very long texts are read whole. An empty table gives no rows; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -19,9 +19,8 @@ from noticegrid.llm.base import SPACE, stage, words_of
 
 MIN_WORDS = 50
 MOST_REPEATED_PERCENT = 50
-# A line is above the limit in more documents of a host than both of these.
+# A line is above the limit in more documents of a host than this, however large the host.
 LIMIT_DOCUMENTS = 5
-LIMIT_SHARE = 0.005
 LEAST_KEPT_PERCENT = 50
 
 
@@ -76,20 +75,16 @@ def measured(docs: DataFrame) -> DataFrame:
     return stage(base, "quality-measured")
 
 
-def shared_lines(measured_docs: DataFrame, limit_documents: int, limit_share: float) -> DataFrame:
-    """(host, line) of the lines in more documents of their host than both limits allow."""
-    hosts = measured_docs.groupBy("host").agg(F.count(F.lit(1)).alias("of_host"))
-    counted = measured_docs.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")) \
-        .groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > limit_documents)
-    return counted.join(hosts, counted["host"].eqNullSafe(hosts["host"])).drop(hosts["host"]) \
-        .filter(F.col("n_docs") > limit_share * F.col("of_host")).select("host", "line")
+def shared_lines(measured_docs: DataFrame, limit_documents: int) -> DataFrame:
+    """(host, line) of the lines in more documents of their host than the limit allows."""
+    return measured_docs.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")) \
+        .groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > limit_documents).select("host", "line")
 
 
-def judge(docs: DataFrame, limit_documents: int = LIMIT_DOCUMENTS, limit_share: float = LIMIT_SHARE,
-          least_kept_percent: int = LEAST_KEPT_PERCENT) -> DataFrame:
+def judge(docs: DataFrame, limit_documents: int = LIMIT_DOCUMENTS, least_kept_percent: int = LEAST_KEPT_PERCENT) -> DataFrame:
     """doc_id, the counts, base_failed, the words in lines above the limit (shared_words), and kept."""
     table = measured(docs)
-    shared = shared_lines(table, limit_documents, limit_share)
+    shared = shared_lines(table, limit_documents)
     lines = table.select("row", F.col("host").alias("own_host"), F.inline("lines"))
     lost = lines.join(shared, F.col("own_host").eqNullSafe(shared["host"]) & (lines["line"] == shared["line"])) \
         .groupBy("row").agg(F.sum("n").alias("shared_words"))

@@ -146,11 +146,8 @@ lines AS (
   FROM (SELECT r, host, unnest(string_split(text, chr(10))) AS line FROM docs)
   WHERE regexp_matches(line, '{WORD_SQL}')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY r),
-hosts AS (SELECT host, count(*) AS of_host FROM docs GROUP BY host),
 counted AS (SELECT host, norm, count(DISTINCT r) AS n_docs FROM lines GROUP BY host, norm),
-shared AS (
-  SELECT c.host, c.norm FROM counted c JOIN hosts h ON c.host IS NOT DISTINCT FROM h.host
-  WHERE n_docs > 5 AND n_docs > 0.005::DOUBLE * of_host),
+shared AS (SELECT host, norm FROM counted WHERE n_docs > 5),
 lost AS (
   SELECT l.r, CAST(sum(l.n) AS BIGINT) AS shared_words FROM lines l JOIN shared s
   ON l.host IS NOT DISTINCT FROM s.host AND l.norm = s.norm GROUP BY l.r),
@@ -178,19 +175,18 @@ lines AS (
   SELECT key, place, list_transform(regexp_extract_all(line, '{WORD_SQL}'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
   FROM (SELECT key, unnest(range(len(l))) AS place, unnest(l) AS line FROM (SELECT key, string_split(text, chr(10)) AS l FROM texts))
   WHERE regexp_matches(line, '{WORD_SQL}')),
-limits AS (SELECT greatest(10, 0.002::DOUBLE * count(*)) AS lim FROM texts),
 leafed AS (SELECT *, len(tokens) || chr(10) || array_to_string(tokens[1:3], chr(10)) AS leaf FROM lines),
-held AS (SELECT leaf FROM leafed GROUP BY leaf HAVING count(DISTINCT key) > (SELECT lim FROM limits)),
+held AS (SELECT leaf FROM leafed GROUP BY leaf HAVING count(DISTINCT key) > 10),
 chosen AS (SELECT * FROM leafed WHERE leaf IN (SELECT leaf FROM held)),
 words AS (SELECT key, place, leaf, len(tokens) AS n, unnest(range(len(tokens))) AS pos, unnest(tokens) AS token FROM chosen),
 constant AS (
-  SELECT leaf, pos, token FROM words WHERE token <> '<*>' GROUP BY ALL HAVING count(DISTINCT key) > (SELECT lim FROM limits)),
+  SELECT leaf, pos, token FROM words WHERE token <> '<*>' GROUP BY ALL HAVING count(DISTINCT key) > 10),
 blanked AS (
   SELECT w.key, w.place, w.leaf, any_value(n) AS n, count(c.token) AS n_constant,
     string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY w.pos) AS template
   FROM words w LEFT JOIN constant c ON w.leaf = c.leaf AND w.pos = c.pos AND w.token = c.token GROUP BY 1, 2, 3),
 good AS (SELECT * FROM blanked WHERE n_constant > 0 AND 100 * n_constant >= 50 * n),
-recurring AS (SELECT leaf, template FROM good GROUP BY ALL HAVING count(DISTINCT key) > (SELECT lim FROM limits)),
+recurring AS (SELECT leaf, template FROM good GROUP BY ALL HAVING count(DISTINCT key) > 10),
 dropped AS (SELECT key, list(place) AS places FROM good JOIN recurring USING (leaf, template) GROUP BY key)
 SELECT d.doc_id, CASE WHEN length(text) > 0 THEN CAST(len(string_split(text, chr(10))) AS BIGINT) ELSE 0 END AS n_lines,
   CAST(coalesce(len(places), 0) AS BIGINT) AS n_dropped,
