@@ -116,6 +116,22 @@ def test_mixed_documents_keep_columns(docs, empty):
     assert mixing.mixed_documents(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_every_prefix_of_the_mixed_documents_is_near_the_weights(spark):
+    rows = [(i, " ".join(["w"] * (20 + i % 30)), "abcd"[min(i % 7, 3)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r["source"]: r["taken"] for r in mixing.mix(df, block_words=256).groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+    out = mixing.mixed_documents(df, "slot", "place", block_words=256)
+    assert out.columns == [*df.columns, "slot", "place"]
+    got = [(r["source"], len(r["text"].split())) for r in out.orderBy("slot", "place").collect()]
+    total, seen = sum(n for _, n in got), collections.Counter()
+    assert abs(total - sum(taken.values())) < 0.01 * total
+    done = 0
+    for source, n in got:
+        seen[source] += n
+        done += n
+        assert all(abs(seen[s] - done * taken[s] / total) < 8 * 256 for s in taken)  # a few blocks, however far along
+
+
 # 2: suffix dedup
 
 def brute_repeats(texts_, length):
@@ -138,6 +154,14 @@ def test_repeats_against_brute_force(docs, rows, monkeypatch, group_rows):
     assert got == sorted((r[0], *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows], 200), strict=True))
 
 
+def test_many_equal_rows_repeat_each_other(spark):
+    rng = random.Random(12)
+    same, other = prose(rng, 150), prose(rng, 150)
+    rows_ = [(1, same)] * 300 + [(2, other), (3, f"{other[:400]} end"), (4, prose(rng, 90))]
+    got = sorted(tuple(r) for r in suffix_dedup.without_repeats(spark.createDataFrame(rows_, "doc_id long, text string").repartition(4)).collect())
+    assert got == sorted((i, *x) for (i, _), x in zip(rows_, brute_repeats([t for _, t in rows_], 200), strict=True))
+
+
 def test_no_documents_no_repeats(empty):
     assert suffix_dedup.without_repeats(empty).count() == 0
 
@@ -152,7 +176,7 @@ def test_multikey_order():
 # 3: quality rules
 
 def test_rules_against_brute_force(docs, rows):
-    got = sorted((tuple(r) for r in quality_rules.judge(docs, limit_documents=3, limit_share=0.0).collect()), key=repr)
+    got = sorted((tuple(r) for r in quality_rules.judge(docs, limit_documents=3).collect()), key=repr)
     norm = lambda x: " ".join(words(x)).lower()
     held = collections.Counter()
     for r in rows:
@@ -226,7 +250,7 @@ def test_pruning_bounds_are_safe():
 # 5: line dedup
 
 def test_recurring_templates_go(docs, empty):
-    got = line_dedup.without_lines(docs, "_a", "_b", limit_documents=10, limit_share=0.0)
+    got = line_dedup.without_lines(docs, "_a", "_b")
     texts_ = {r["doc_id"]: r for r in got.collect()}
     numbered = [r for r in docs.collect() if r["text"] and "of our big site" in r["text"]]
     assert len(numbered) == 16
@@ -419,17 +443,60 @@ def test_classifier_on_held_out_rows(spark, empty):
     assert quality_gam.scored(df.select("doc_id", "text"), blank).first()["score"] == 0.5
 
 
+def test_trees_against_plain_code():
+    rng = np.random.default_rng(5)
+    loss = lambda g, h: g.sum() ** 2 / (h.sum() + 1)
+    for _ in range(60):
+        n = int(rng.integers(1, 12))
+        g, h = rng.normal(size=n), rng.random(n)
+        parts = [range(n)]
+        for _ in range(2):  # three leaves, the best cut each time
+            cuts = [(loss(g[p[0]:c], h[p[0]:c]) + loss(g[c:p[-1] + 1], h[c:p[-1] + 1]) - loss(g[list(p)], h[list(p)]), k, c)
+                    for k, p in enumerate(parts) for c in p[1:]]
+            if cuts and max(cuts)[0] > 1e-9:
+                _, k, c = max(cuts, key=lambda x: x[0])
+                parts[k:k + 1] = [range(parts[k][0], c), range(c, parts[k][-1] + 1)]
+        want = np.zeros(n)
+        for p in parts:
+            want[list(p)] = g[list(p)].sum() / (h[list(p)].sum() + 1)
+        assert quality_gam.shallow_tree(g, h, 3) == pytest.approx(want)
+        g, h = rng.normal(size=(n + 1, 4)), rng.random((n + 1, 4))
+        best = max((sum(loss(g[a, b], h[a, b]) for a in (slice(0, i), slice(i, None)) for b in (slice(0, j), slice(j, None))), i, j)
+                   for i in range(1, n + 1) for j in range(1, 4))
+        gain, step = quality_gam.pair_tree(g, h)
+        assert gain == pytest.approx(best[0] - loss(g, h))
+        for a in (slice(0, best[1]), slice(best[1], None)):
+            for b in (slice(0, best[2]), slice(best[2], None)):
+                assert step[a, b] == pytest.approx(g[a, b].sum() / (h[a, b].sum() + 1))
+
+
+def test_measures_do_not_depend_on_the_neighbours(rows):
+    """Each text alone, and all of them in one array: the same numbers, and the plain ones where they are simple."""
+    held = [r[1] or "" for r in rows]
+    flat = lambda some: quality_gam.measures(*(lambda b: (np.frombuffer(b"".join(b), np.uint8), np.cumsum([0, *map(len, b)])))([t.encode() for t in some]))
+    together = flat(held)
+    for text, got in zip(held, together, strict=True):
+        alone = dict(zip(quality_gam.NAMES, flat([text])[0], strict=True))
+        assert got == pytest.approx(list(alone.values()))
+        w, low = words(text), [x.lower() for x in words(text)]
+        assert alone["words"] == pytest.approx(np.log1p(len(w)))
+        assert alone["letters_per_word"] == pytest.approx(sum(len(x.encode()) for x in w) / max(1, len(w)))
+        assert alone["per_line"] == pytest.approx(np.log1p(len(w) / (1 + text.count("\n"))))
+        assert alone["echo"] in (pytest.approx(sum(a == b for a, b in zip(w, w[1:], strict=False)) / max(1, len(w))),
+                                 pytest.approx(sum(a == b for a, b in zip(low, low[1:], strict=False)) / max(1, len(w))))
+
+
 # 10: language
 
 def test_automaton_knows_exactly_the_stretches():
     rng = random.Random(11)
     symbols = [rng.randint(0, 3) for _ in range(60)]
-    table = language_id.suffix_automaton(symbols, 4)
+    following = language_id.suffix_automaton(symbols)
     known = {tuple(symbols[a:b]) for a in range(60) for b in range(a + 1, 61)}
     for _ in range(3000):
         some, state = [rng.randint(0, 3) for _ in range(rng.randint(1, 8))], 1
         for s in some:
-            state = table[state, s] if state else 0
+            state = following[state].get(s, 0)
         assert (state > 0) == (tuple(some) in known)
 
 
@@ -448,21 +515,34 @@ def test_languages_are_told_apart(spark, empty):
     assert {r["lang_pred"] for r in language_id.identify(df, nothing, "doc_id").collect()} == {"und"}
 
 
-def test_phrases_against_a_plain_parse():
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rng = random.Random(14)
+    rows_ = [(i, prose(rng, 30, ("ta", "ro", "mi")), "aa") for i in range(40)] + [(100 + i, prose(rng, 3000, ("sul", "vor", "ah")), "bb") for i in range(12)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    texts_ = language_id.training_texts(df, F.lit(True), longest=500)
+    assert sorted(texts_) == ["aa", "bb"] and all(len(t) == 500 for t in texts_["bb"]) and len(texts_["bb"]) == 12
+    assert all(any(t in r[1] for r in rows_[40:]) for t in texts_["bb"])
+    got = language_id.identify(df, language_id.Parser(texts_), "lang").collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got)
+    mixed = spark.createDataFrame([(1, "x" * 900, "cc"), (2, "short", "cc")], "doc_id long, text string, lang string")
+    assert [len(t) for t in language_id.training_texts(mixed, F.lit(True), longest=500)["cc"]] == [5, 500]  # short ones first
+
+
+@pytest.mark.parametrize("cells", [language_id.TABLE_CELLS, 0])
+def test_phrases_against_a_plain_parse(monkeypatch, cells):
+    monkeypatch.setattr(language_id, "TABLE_CELLS", cells)  # 0: steps are searched
     rng = random.Random(13)
     parser = language_id.Parser({"aa": [prose(rng, 50, ("ta", "ro"))], "bb": [prose(rng, 50, ("sul", "ta"))]})
     text = prose(rng, 200)
     for lang, column in zip(parser.languages, parser.phrases([text]).T, strict=True):
-        trained = parser.table.reshape(-1, parser.width)
+        step = lambda s, c: int(parser.step(np.array([s]), np.array([c]))[0])
         root, total = parser.roots[parser.languages.index(lang)], 0
         codes = parser.codes(text.lower()).tolist()
         for at in range(0, len(codes), language_id.PIECE):
             state, total = root, total + 1
             for c in codes[at:at + language_id.PIECE]:
-                if trained[state, c]:
-                    state = trained[state, c]
-                else:
-                    total, state = total + 1, trained[root, c] or root
+                now = step(state, c)
+                total, state = (total, now) if now else (total + 1, step(root, c) or root)
         assert column[0] == total
 
 
