@@ -3,6 +3,10 @@
 A stage is a function of (spark, docs, sf_dir); all but the last return the columns of documents. Decisions take effect: rejected
 documents are gone, dropped lines are gone from the text, of a group of near copies one document is left, and
 a document stands in the mix as often as it is taken. Columns beside doc_id, text, source and n_chars are carried along.
+
+Null and empty texts are judged by their scores, have no lines and no copies; in the mix they have no words and are not taken. Equal rows are one
+document after the third stage. Rows without an id are never copies. An empty table passes every stage and gives no rows. Texts are
+read whole by every stage, however long.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticegrid.llm import line_dedup, mixing, near_dedup, packing, quality_gam
+from noticegrid.llm import copy_classes, line_dedup, mixing, near_dedup, packing, quality_gam
 from noticegrid.llm.base import fresh, read, stage
 from noticegrid.llm.queries import fold, tokenizer_files
 
@@ -28,11 +32,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without recurring lines, and without the documents that had nothing else. The limit does not grow with the table.
 
-    A group of near copies counts as one document: which of them stays is for the next stage.
+    A group of near copies counts as one document: which of them stays is for the next stage. DataFrame functions only.
     """
-    copies = near_dedup.copied_texts(docs, percent=NEAR_PERCENT, width=NEAR_WORDS)
+    copies = copy_classes.copied_texts(docs, width=NEAR_WORDS)
     lines, dropped = fresh(docs, "n_lines"), fresh(docs, "n_dropped")
-    cut = line_dedup.without_lines(docs, lines, dropped, limit_share=0.0, copies=copies)
+    cut = line_dedup.without_lines(docs, lines, dropped, copies=copies)
     return cut.filter((F.col(dropped) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
