@@ -94,14 +94,15 @@ def dropped_lines(docs: DataFrame, limit_documents: int = LIMIT_DOCUMENTS, least
     narrow = parsed(docs.filter(F.length("text") > 0).select(F.xxhash64("text").alias(by), "text"))
     leaves = held(narrow.select("leaf", by), "leaf")
     lines = parsed(texts).join(looked_up(leaves, "line-leaves"), "leaf").withColumn("tokens", masked(F.col("tokens")))
-    lines = stage(lines, "line-parsed")
-    own = ["key", *({by} - {"key"}), "place", "leaf"]
+    # Texts with one key have the same lines; each is read by itself.
+    lines = stage(lines.withColumn("line", F.monotonically_increasing_id()), "line-parsed")
+    own = ["line", "key", *({by} - {"key"}), "place", "leaf"]
     words = lines.select(*own, F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).filter(F.col("token") != FIELD) \
         .select(*own, "n", F.xxhash64("at", "token").alias("token"))
     constant = looked_up(held(words.select("leaf", "token", by), "leaf", "token"), "line-constant")
     blanked = words.join(constant, ["leaf", "token"]).groupBy(*own, "n") \
         .agg(F.count(F.lit(1)).alias("n_constant"), F.bit_xor("token").alias("template")) \
-        .filter(100 * F.col("n_constant") >= least_constant_percent * F.col("n")).select(*own, "template")
+        .filter(100 * F.col("n_constant") >= least_constant_percent * F.col("n")).select(*own[1:], "template")
     blanked = stage(blanked, "line-templates")
     recurring = held(blanked.select("leaf", "template", by), "leaf", "template")
     gone = blanked.join(looked_up(recurring, "line-recurring"), ["leaf", "template"])

@@ -264,6 +264,14 @@ def test_recurring_templates_go(docs, empty):
     assert line_dedup.without_lines(empty, "_a", "_b").count() == 0
 
 
+def test_copies_of_a_text_lose_the_same_lines(spark):
+    rng = random.Random(41)
+    texts_ = [f"{prose(rng, 12)}\nthe footer of page {i} here\n{prose(rng, 12)}" for i in range(14)]
+    rows_ = [(i, t) for i, t in enumerate([t for k, t in enumerate(texts_) for _ in range(1 + k % 4)])]
+    got = line_dedup.without_lines(spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows_) and all(r["n_dropped"] == 1 and "footer" not in r["text"] for r in got)
+
+
 def test_pipeline_limit_does_not_grow_with_the_table(spark):
     text = F.concat_ws("\n", F.md5(F.concat(F.lit("a"), "doc_id")), F.when(F.col("doc_id") % 500 == 7, "the same footer line here"), F.md5(F.concat(F.lit("b"), "doc_id")))
     df = spark.range(9000).withColumnRenamed("id", "doc_id").withColumn("text", text).withColumn("source", F.lit("a"))
