@@ -158,10 +158,10 @@ def _(v):
     """The files that a run, a resumed run and a recheck of the misses leave."""
     c, path = v.crawl().select("domain", "status", "row_ord"), fresh(v, "snapshot")
     first = c.where("row_ord % 5 < 2")
-    sinks.append_rows(first, path, ["domain"])
-    sinks.append_rows(c.join(sinks.resume_work(c.select("domain"), sinks.read_snapshot(v.spark, path), ["domain"]), "domain"), path, ["domain"])
+    sinks.append_rows(first, path, ["domain"], 8)
+    sinks.append_rows(c.join(sinks.resume_work(c.select("domain"), sinks.read_snapshot(v.spark, path), ["domain"]), "domain"), path, ["domain"], 8)
     again = c.where("row_ord % 4 in (1, 0)").withColumn("status", F.when(F.col("row_ord") % 4 == 1, F.lit("found")).otherwise(F.lit("not_found")))
-    sinks.rewrite_rows(D.newly_found(sinks.read_snapshot(v.spark, path), again), path, ["domain"])
+    sinks.rewrite_rows(D.newly_found(sinks.read_snapshot(v.spark, path), again), path, ["domain"], 8)
     return sinks.read_snapshot(v.spark, path).select("domain", "status")
 
 

@@ -11,7 +11,8 @@ FOLDER = "/root/testdata/sf0.001"
 SHORT = ["b1_scan", "b4_alerts", "j1_within_radius", "j6_place_bids", "j8_authority_elsewhere", "j9_snap_city", "a5_coverage",
          "w16_posting_segments", "s8_feed_items", "s10_extraction_rows", "b12_details_from_pages", "a11_feed_audit", "b7_promote",
          "w4_prioritize_pages", "a23_contacts_per_site", "a17_entitlements", "a18_bonus_days", "j26_suppress_recipients",
-         "t3_portal_health_stream", "t7_daily_rate_limit_stream", "t1_stream_new_matches", "j16_leads_in_radius", "s2_read_gazetteer"]
+         "t3_portal_health_stream", "t7_daily_rate_limit_stream", "t1_stream_new_matches", "j16_leads_in_radius", "s2_read_gazetteer",
+         "j30_recall_join", "a13_category_profile", "a16_metro_reach", "s17_append_or_rewrite", "t3_portal_health_resumed", "t5_benches_stream"]
 
 
 @pytest.fixture(scope="module")
