@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticegrid import vocab
 from noticegrid.functions import dates, keys, places, posting, relevance
 from noticegrid.functions.text import filled, first_filled, strip, text, visible
 from noticegrid.operators.common import first_per_key, ranked_rows, top_k

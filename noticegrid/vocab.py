@@ -211,11 +211,9 @@ DIGEST_MAX = 20
 NOTICES_PER_DAY = 10
 RECIPIENTS_MAX = 200
 LEAD_MARGIN_MI = 25.0
-SEGMENT_CHARS = 4000
 TRIAL_DAYS = 7
 BONUS_DAYS_REFERRER = 30
 BONUS_DAYS_REFERRED = 14
-AUDIT_SAMPLE = 40
 MISS_RETRY_HOURS = 24
 REGISTRY_MIN_ROWS = 5000
 MIN_ORG_MATCH = 8
