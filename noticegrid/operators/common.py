@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,8 @@ from noticegrid.session import stage
 ROWS_PER_SORT = 1_000_000
 # Keys that are sent to every task at once.
 HOT_KEYS = 10_000
+# Pairs of a join that a task makes.
+PAIRS_PER_TASK = 4_000_000
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
@@ -89,28 +92,33 @@ def rank_all(df: DataFrame, keys: Sequence[str], coarse: Sequence[Column],
             .drop("_offset", *slice_names))
 
 
-def split_hot_join(left: DataFrame, right: DataFrame, on: Sequence[str], rows_per_task: int = 20_000) -> DataFrame:
-    """Inner join in which no task gets more than about ``rows_per_task`` rows of either side of one key.
+def split_hot_join(left: DataFrame, right: DataFrame, on: Sequence[str], rows_per_task: int = 4_000, pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+    """Inner join in which no task gets more than about ``rows_per_task`` rows of either side of one key, nor many more pairs than ``pairs_per_task``.
 
     Keys are counted first, with partial counts. Where none is hot the join is a plain one. Else both sides of a hot key are
     cut into slices by their counts, and every slice of one meets every slice of the other, so such a key is as many tasks as
     its pairs need; all other keys are one slice. Hot keys are few (rows / rows_per_task), and sent to all tasks up to
-    HOT_KEYS of them. Both sides are read twice: tables, or narrow steps on tables.
+    HOT_KEYS of them. The number of tasks follows the pairs, not the bytes that are read: a few MB may make a thousand million pairs.
+    Both sides are read twice: tables, or narrow steps on tables.
     """
     on = list(on)
     count = lambda df, name: df.groupBy(*on).agg(F.count(F.lit(1)).alias(name))
     cut = lambda name: F.ceil(F.col(name) / rows_per_task).cast("int").alias(name)
-    counts = count(left, "_left").join(count(right, "_right"), on)
-    hot = stage(counts.where(F.greatest("_left", "_right") > rows_per_task).select(*on, cut("_left"), cut("_right")), "hot-keys")
-    n_hot = hot.count()
+    counts = stage(count(left, "_left").join(count(right, "_right"), on), "key-counts")
+    is_hot = F.greatest("_left", "_right") > rows_per_task
+    n_hot, pairs = counts.agg(F.count_if(is_hot), F.sum(F.col("_left") * F.col("_right"))).first()
+    tasks = math.ceil((pairs or 0) / pairs_per_task)
+    dealt = lambda df, *by: df.repartition(tasks, *by) if tasks > 1 else df
     if not n_hot:
-        return left.join(right, on)
+        return dealt(left, *on).join(dealt(right, *on), on)
+    hot = counts.where(is_hot).select(*on, cut("_left"), cut("_right"))
     slices = F.broadcast(hot) if n_hot <= HOT_KEYS else hot
     own = lambda df, n: F.coalesce(F.pmod(F.xxhash64(*df.columns), F.col(n).cast("long")).cast("int"), F.lit(0))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
     cut_left = left.join(slices, on, "left").withColumn("_l", own(left, "_left")).withColumn("_r", every("_right")).drop("_left", "_right")
     cut_right = right.join(slices, on, "left").withColumn("_r", own(right, "_right")).withColumn("_l", every("_left")).drop("_left", "_right")
-    return cut_left.join(cut_right, [*on, "_l", "_r"]).drop("_l", "_r")
+    by = [*on, "_l", "_r"]
+    return dealt(cut_left, *by).join(dealt(cut_right, *by), by).drop("_l", "_r")
 
 
 def subtract_keys(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -13,8 +13,11 @@ from noticegrid.functions.places import place_key
 from noticegrid.operators.common import first_per_key, keep_keys, ranked_rows, split_hot_join, subtract_keys
 from noticegrid.session import stage
 
+# Circles that a task lists under their cells.
+CIRCLES_PER_TASK = 1_000
 
-def within_radius(searches: DataFrame, points: DataFrame, *, reach: Column | None = None, rows_per_task: int = 20_000) -> DataFrame:
+
+def within_radius(searches: DataFrame, points: DataFrame, *, reach: Column | None = None, rows_per_task: int = 4_000) -> DataFrame:
     """Every (search, point) pair not farther apart than the search's radius.
 
     The grid has several levels. A search is listed under the cells its circle may touch, on the level
@@ -30,8 +33,11 @@ def within_radius(searches: DataFrame, points: DataFrame, *, reach: Column | Non
 
 
 def _centres(searches: DataFrame, reach: Column) -> DataFrame:
-    return (searches.withColumnsRenamed({"lat": "_clat", "lon": "_clon", "city": "centre_city", "state": "centre_state"})
-            .withColumn("_reach", reach).where("_clat is not null and _clon is not null and _reach >= 0"))
+    centres = (searches.withColumnsRenamed({"lat": "_clat", "lon": "_clon", "city": "centre_city", "state": "centre_state"})
+               .withColumn("_reach", reach).where("_clat is not null and _clon is not null and _reach >= 0"))
+    # a circle is up to a thousand cells, so a small table of circles is many tasks
+    tasks = centres.count() // CIRCLES_PER_TASK
+    return centres.repartition(tasks) if tasks > 1 else centres
 
 
 def _under_cells(points: DataFrame, centres: DataFrame, level: Column) -> DataFrame:
@@ -49,7 +55,7 @@ def by_cell(searches: DataFrame, points: DataFrame, reach: Column | None = None)
     return geo.with_cells(centres, level), _under_cells(points, centres, level)
 
 
-def counts_within(searches: DataFrame, points: DataFrame, keys: Sequence[str], finer: int = 2, rows_per_task: int = 20_000) -> DataFrame:
+def counts_within(searches: DataFrame, points: DataFrame, keys: Sequence[str], finer: int = 2, rows_per_task: int = 4_000) -> DataFrame:
     """How many points lie in each search's circle (keys, n), without a row for every pair; no row where there are none.
 
     Points are counted per cell of a finer level. Cells wholly inside a circle bring their count; only
@@ -57,7 +63,8 @@ def counts_within(searches: DataFrame, points: DataFrame, keys: Sequence[str], f
     """
     centres = _centres(searches.select(*keys, "lat", "lon", "radius"), F.col("radius").cast("double")).drop("radius")
     level = F.greatest(geo.grid_level("_reach") - finer, F.lit(geo.FINEST)).cast("int")
-    cells = geo.with_cells(centres, level, inside=True)
+    # written: a filter on _inside would take its whole geometry along and work it out again for each use
+    cells = stage(geo.with_cells(centres, level, inside=True), "circle-cells")
     placed = _under_cells(points.select("lat", "lon"), centres, level)
     per_cell = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"))
     whole = cells.where("_inside").select(*keys, "_cell").join(per_cell, "_cell").select(*keys, "n")

@@ -223,3 +223,23 @@ def test_benches_are_told_in_order_and_once(spark, tmp_path):
     for r in spark.read.parquet(f"{tmp_path}/out").orderBy("portal", "changed_at", F.col("down")).collect():
         got[r["portal"]].append((int(r["changed_at"].timestamp()), r["down"]))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_joins_are_not_broadcast_on_an_estimate(spark):
+    cells = spark.range(3).select(F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("cell"))  # estimated at 24 bytes
+    plan = spark.range(1000).withColumnRenamed("id", "cell").join(cells, "cell")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+def test_tasks_of_a_join_follow_its_pairs(spark):
+    left = spark.range(4000).select((F.col("id") % 400).alias("k"), "id")
+    right = left.withColumnRenamed("id", "other")
+    met = common.split_hot_join(left, right, ["k"], pairs_per_task=2000)
+    sizes = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 40_000 and len(sizes) > 15 and max(sizes) < 5000
+
+
+def test_geometry_of_circles_is_worked_out_once(places):
+    points, centres, p, s = places
+    plan = radius.counts_within(s, p, ["search_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "_half" not in plan and "ACOS" not in plan.upper()
