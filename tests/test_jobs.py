@@ -278,3 +278,21 @@ def test_top_k_prunes_before_the_shuffle_and_lookups_do_not_cross_join(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     placed = placing.place_bids(bids, gaz, reg)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in placed and "BroadcastNestedLoopJoin" not in placed
+
+
+def test_matches_are_not_written_and_ranks_hold_for_labels_that_are_alike(spark):
+    rows = [bid(i, "Springfield", title=f"Curb {i}", value="$5" if i % 3 else "") for i in range(30)]
+    rows += [bid(100 + i, "Greene County", title=f"Ramp {i}", fallback_lat=37.2 + (i % 2) / 10) for i in range(6)]
+    bids, gaz, reg = frames(spark, rows)
+    twice = [(1, 37.2, -93.3, "MO", 60), (2, 37.2, -93.3, "MO", 60), (2, 37.25, -93.3, "MO", 60)]
+    searches = spark.createDataFrame(twice, "search_id int, lat double, lon double, state string, radius int")
+    prepared = scan.prepare(bids, gaz, reg, NOW())
+    got = scan.scan(searches, prepared).collect()
+    for s, n in ((1, 1), (2, 2)):
+        for label in {r.label for r in got}:
+            mine = sorted((r for r in got if r.search_id == s and r.label == label), key=lambda r: r["rank"])
+            assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1)) and len(mine) == n * len({r.bid_id for r in mine})
+            assert [(-r.score, r.seq) for r in mine] == sorted((-r.score, r.seq) for r in mine)
+    assert len([r for r in got if r.search_id == 1]) == 36
+    one = scan.scan(searches.where("search_id = 1"), scan.prepare(bids.where("bid_id < 100"), gaz, reg, NOW()))
+    assert "pairs-" not in " ".join(one.inputFiles()) and one.count() == 30
