@@ -17,10 +17,11 @@ WORDED = rf"(?i)(?:{vocab.MONTHS})\.?{WS}+\d{{1,2}},?{WS}+\d{{4}}"
 SLASH_SHORT = r"\d{1,2}/\d{1,2}/\d{2}(?!\d)"
 ANY_DATE = (rf"(?:{vocab.MONTHS})\.?{WS}+\d{{1,2}},?{WS}+\d{{4}}"
             r"|\d{1,2}/\d{1,2}/\d{2,4}|\d{4}-\d{2}-\d{2}")
-CLOSING = (rf"(?i)(?:bid{WS}+opening|bids?{WS}+due|clos(?:e|es|ed|ing)|due|deadline|submittals?|"
+# The look at the first letter spares the alternatives and word edges at most places of a text.
+CLOSING = (rf"(?i)(?=[abcdoprs])(?:bid{WS}+opening|bids?{WS}+due|clos(?:e|es|ed|ing)|due|deadline|submittals?|"
            rf"responses?{WS}+due|proposals?{WS}+due|open{WS}+until|accepted{WS}+until|"
            rf"received{WS}+until)[^\d<>]{{0,20}}?({ANY_DATE})")
-STATUS_WORD = (rf"(?i)\bstatus\b{WS}*[:\-]?{WS}*(?:clos(?:e|es|ing){WS}*(?:date)?{WS}*[:\-]?{WS}*)?"
+STATUS_WORD = (rf"(?i)(?=s)\bstatus\b{WS}*[:\-]?{WS}*(?:clos(?:e|es|ing){WS}*(?:date)?{WS}*[:\-]?{WS}*)?"
                r"(open|closed|awarded|cancell?ed|withdrawn|pending|expired)\b")
 CLOCK = rf"(?i)(?<!\d)(\d{{1,2}})[:.](\d{{2}}){WS}*([ap])\.?m\.?{WS}*([A-Z]{{2,4}})?"
 BARE_YEAR = r"(?<!\d)(20\d{2})(?!\d)"

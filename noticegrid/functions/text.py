@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # Java's \s is ASCII only; the extra characters are the Unicode spaces pages carry.
 WS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\x85\x1C-\x1F]"
+# Every run of white space but a single blank, which stands as it is: texts are mostly those.
+RUN = rf"(?![!-~])(?: {WS}+|[{WS[1:-1]}&&[^ ]]{WS}*)"
 NAMED = {name.rstrip(";"): char for name, char in html5.items() if name.endswith(";")}
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
             ("&#39;", "'"), ("&nbsp;", " "))
@@ -25,6 +27,11 @@ def text(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
+def read_once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is worked out once, however often and under whatever conditions ``use`` names it."""
+    return F.get(F.transform(F.array(c), lambda value: use(value)), F.lit(0))
+
+
 def filled(c: Column | str) -> Column:
     """The value, or null when it is missing or blank."""
     return F.when(F.trim(col(c)) != "", col(c))
@@ -42,12 +49,12 @@ def strip(c: Column | str) -> Column:
 
 def collapse(c: Column | str) -> Column:
     """Runs of white space become one blank; ends trimmed."""
-    return F.trim(F.regexp_replace(text(c), WS + "+", " "))
+    return F.trim(F.regexp_replace(text(c), RUN, " "))
 
 
 def clean(c: Column | str) -> Column:
     """Tags to blanks, then collapse."""
-    return collapse(F.regexp_replace(text(c), "<[^>]+>", " "))
+    return collapse(F.regexp_replace(text(c), "<[^>]++>", " "))
 
 
 def unescape(c: Column | str) -> Column:
@@ -83,7 +90,7 @@ def visible(c: Column | str) -> Column:
 def html_to_text(c: Column | str) -> Column:
     """Visible text of a page: no scripts, styles, tags or lower-case entities."""
     out = F.regexp_replace(text(c), r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
-    out = F.regexp_replace(out, "<[^>]+>", " ")
+    out = F.regexp_replace(out, "<[^>]++>", " ")
     out = F.regexp_replace(out, "&[a-z#0-9]+;", " ")
     return collapse(out)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from noticegrid import vocab
 from noticegrid.functions import dates, posting, urls
 from noticegrid.functions.relevance import declares_closed, looks_awarded, looks_relevant
-from noticegrid.functions.text import clean, count_terms, has_any, html_to_text, slug, strip, text, unescape, visible
+from noticegrid.functions.text import clean, count_terms, has_any, html_to_text, read_once, slug, strip, text, unescape, visible
 from noticegrid.operators.common import first_per_key, ranked_rows, top_k
 from noticegrid.operators.containment import containing
 from noticegrid.session import stage
@@ -102,10 +102,15 @@ def posting_rows(pages: DataFrame) -> DataFrame:
     return first_per_key(rows, ["page_id", "url"], [F.col("pos")])
 
 
+def has_posting_link(html: Column) -> Column:
+    """The pattern is looked for on pages that name a posting at all."""
+    return F.contains(F.lower(html), F.lit("bids.aspx?bidid=")) & html.rlike(POSTING_LINK)
+
+
 def page_is_empty(html: Column | str) -> Column:
     """A listing page for certain, with nothing posted on it."""
     low = F.lower(text(html))
-    return (low != "") & ~text(html).rlike(POSTING_LINK) & has_any(low, vocab.CIVICPLUS_PAGE_MARKERS)
+    return (low != "") & ~has_posting_link(text(html)) & has_any(low, vocab.CIVICPLUS_PAGE_MARKERS)
 
 
 def postings_from_pages(pages: DataFrame) -> DataFrame:
@@ -119,13 +124,13 @@ def page_outcomes(pages: DataFrame) -> DataFrame:
     listing = urls.identify_platform("url") == "civicplus"
     outcome = F.coalesce(F.col("outcome"), F.lit("ok")) if "outcome" in pages.columns else F.lit("ok")
     reason = (F.when(outcome != "ok", F.concat(F.lit("portal_fetch_"), outcome))
-              .when(listing & text("html").rlike(POSTING_LINK), F.lit("postings"))
+              .when(listing & has_posting_link(text("html")), F.lit("postings"))
               .when(listing & page_is_empty("html"), F.lit("civicplus_no_open_bids"))
               .when(listing, F.lit("civicplus_parse_miss"))
-              .when(~looks_relevant("_text"), F.lit("portal_no_niche_content"))
+              # only pages of other platforms are read as text
+              .when(~read_once(html_to_text("html"), looks_relevant), F.lit("portal_no_niche_content"))
               .otherwise(F.lit("for_extraction")))
-    return pages.withColumn("_text", html_to_text("html")).withColumn("reason", reason).groupBy("reason").agg(
-        F.count(F.lit(1)).alias("n"))
+    return pages.withColumn("reason", reason).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def feed_items(feeds: DataFrame) -> DataFrame:
@@ -183,10 +188,10 @@ def with_page_verdicts(rows: DataFrame, texts: DataFrame) -> DataFrame:
 # ---- page tests and the best page of a site -----------------------------------------
 def bid_page_platform(html: Column | str) -> Column:
     """civicplus when postings are listed, generic when it reads like a bid page, else null."""
-    h = text(html)
-    plain = F.lower(clean(h))
-    generic = (F.length(plain) >= 300) & (count_terms(plain, vocab.GENERIC_BID_TERMS) >= 2)
-    return F.when(F.length(h) >= 200, F.when(h.rlike(POSTING_LINK), F.lit("civicplus")).when(generic, F.lit("generic")))
+    generic = lambda plain: (F.length(plain) >= 300) & (count_terms(plain, vocab.GENERIC_BID_TERMS) >= 2)
+    verdict = lambda h: F.when(F.length(h) >= 200, F.when(has_posting_link(h), F.lit("civicplus"))
+                               .when(read_once(F.lower(clean(h)), generic), F.lit("generic")))
+    return read_once(text(html), verdict)
 
 
 def is_bid_page(html: Column | str, strict: bool = False) -> Column:
