@@ -300,7 +300,8 @@ def recall(kept: DataFrame, expected: DataFrame) -> DataFrame:
 
     Both sides are distinct before they meet. A blank fragment is found where there is any title.
     """
-    titles = kept.select(F.lower(text("title")).alias("_title")).distinct()
+    # written: titles are listed under their grams twice and counted, and may come from whole pages
+    titles = stage(kept.select(F.lower(text("title")).alias("_title")).distinct(), "titles")
     wants = expected.select("expected").distinct().withColumn("_want", F.lower(text("expected")))
     hits = containing(wants, titles, "_want", "_title").select("expected").distinct().withColumn("_hit", F.lit(True))
     blank = (F.lower(text("expected")) == "") & titles.agg(F.count(F.lit(1)) > 0).scalar()
