@@ -203,10 +203,20 @@ def is_bid_page(html: Column | str, strict: bool = False) -> Column:
 PROBE_PATHS = (*vocab.CANDIDATE_PATHS, *[p for p in vocab.CIVICPLUS_PATHS if p not in vocab.CANDIDATE_PATHS])
 
 
-def site_candidates(sites: DataFrame, homepages: DataFrame) -> DataFrame:
-    """(domain, rank, url, guessed) to look at per site: guessed paths, then the listing endpoints of the common platform, then homepage links."""
-    guessed = sites.select("domain", F.explode(urls.candidate_urls("domain", PROBE_PATHS)).alias("_c")).select(
-        "domain", F.col("_c.rank").alias("rank"), F.col("_c.url").alias("url"), F.lit(True).alias("guessed"))
+def site_candidates(sites: DataFrame, homepages: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """(domain, rank, url, guessed) to look at per site: guessed paths, then the listing endpoints of the common platform, then homepage links.
+
+    With ``pages`` the guesses are those among the pages that were read: each page is cut where a guessed path ends it, so a few rows
+    a page are shuffled, not some thirty guesses a site of which nearly all would be looked up in vain.
+    """
+    if pages is None:
+        guessed = sites.select("domain", F.explode(urls.candidate_urls("domain", PROBE_PATHS)).alias("_c")).select(
+            "domain", F.col("_c.rank").alias("rank"), F.col("_c.url").alias("url"), F.lit(True).alias("guessed"))
+    else:
+        read = pages.select("url").distinct().select("url", F.explode(urls.ends_of("url", PROBE_PATHS)).alias("_c"))
+        based = sites.select("domain", urls.site_base("domain").alias("_base"))
+        guessed = read.select("url", F.col("_c.rank").alias("rank"), F.col("_c.base").alias("_base")).join(based, "_base").select(
+            "domain", "rank", "url", F.lit(True).alias("guessed"))
     home = homepages.select("url", "html", urls.host_of("url").alias("domain")).join(sites.select("domain"), "domain", "left_semi")
     linked = link_candidates(home, carried=["domain"]).select(
         "domain", (F.col("rank") + len(PROBE_PATHS)).alias("rank"), F.col("link").alias("url"), F.lit(False).alias("guessed"))

@@ -202,7 +202,7 @@ _SITE = f"SELECT c_custkey AS k, lower({V.sql_town_name('c_custkey')}) || '.gov'
 def _(v):
     snap = _snapshot(v)
     sites = v.registry().select("domain")
-    tries = P.site_candidates(sites, discovery.homepages(sites, snap))
+    tries = P.site_candidates(sites, discovery.homepages(sites, snap), snap)
     return P.best_bid_page(sites, tries, snap, P.bid_page_platform("html")).select("domain", "status", "bid_url")
 
 

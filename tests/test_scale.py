@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from noticegrid.functions import geo
+from noticegrid.functions import text as texts
 from noticegrid.operators import common, containment, pages, radius
 from noticegrid.plans import alerts
 from noticegrid.sources import sinks
@@ -243,3 +244,58 @@ def test_geometry_of_circles_is_worked_out_once(places):
     points, centres, p, s = places
     plan = radius.counts_within(s, p, ["search_id"])._jdf.queryExecution().optimizedPlan().toString()
     assert "_half" not in plan and "ACOS" not in plan.upper()
+
+
+# ---- pages of sites, recall, texts of pages -----------------------------------------
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_guessed_pages_are_sought_among_those_read(spark):
+    """The guesses of a site are cut from the pages there are; the answer is that of looking up every guess."""
+    base = [f"https://s{i}.gov" for i in range(40)]
+    html = "<p>" + "Purchasing office: request for proposal and open bids. " * 8 + "</p>"
+    rows = [(u, '<a href="/dept/vendor">Vendor bid list</a>') for u in base] + [(u + "/purchasing", html) for u in base[::3]] + [(u + "/purchasing", html) for u in base[::6]]
+    rows += [(base[1] + "/departments/purchasing", html), (base[2] + "/dept/vendor", html), ("https://other.gov/bids", html), (None, html)]
+    snap = spark.createDataFrame(rows, "url string, html string")
+    sites = spark.createDataFrame([(f" S{i}.gov/ " if i % 2 else f"s{i}.gov",) for i in range(40)] + [("s3.gov",), ("https://S4.gov",), ("",), (None,)], "domain string")
+    home = snap.where("url like '%.gov'")
+    every, read = pages.site_candidates(sites, home), pages.site_candidates(sites, home, snap)
+    known = {r[0] for r in rows}
+    key = lambda df: sorted((r["domain"], r["rank"], r["url"]) for r in df.where("guessed").collect())
+    assert key(read) == [k for k in key(every) if k[2] in known] and len(key(read)) < 20
+    best = lambda c: sorted(map(str, pages.best_bid_page(sites, c, snap, pages.bid_page_platform("html")).collect()))
+    assert best(read) == best(every)
+
+
+def test_titles_are_made_once_for_recall(spark):
+    kept = spark.range(40).select(F.concat(F.lit("made from a page "), F.col("id")).alias("title"))
+    expected = spark.createDataFrame([("PAGE 7",), ("page 77",), ("",), (None,)], "expected string")
+    got = pages.recall(kept, expected)
+    assert "made from a page" not in plan_of(got)
+    assert {r["expected"]: r["found"] for r in got.collect()} == {"PAGE 7": True, "page 77": False, "": True, None: True}
+
+
+def test_page_text_is_made_once_and_where_it_is_asked_for(spark):
+    listing = '<a href="bids.aspx?bidID=7">Sidewalk</a>'
+    html = {1: None, 2: "short", 3: "x" * 300 + "Open <b>bids</b> and RFP", 4: "x" * 200 + listing.upper(), 5: "x" * 400, 6: "x" * 200 + "bids.aspx?bidID=7 rfp open bids" + "y" * 200}
+    rows = spark.createDataFrame(list(html.items()), "page_id int, html string")
+    read = rows.select("page_id", pages.bid_page_platform("html").alias("v"))
+    assert plan_of(read).count("<[^>]+") == 1
+    assert {r["page_id"]: r["v"] for r in read.collect()} == {1: None, 2: None, 3: "generic", 4: "civicplus", 5: None, 6: "generic"}
+    urls = {1: "https://a.gov/Bids.aspx", 2: "https://a.gov/x", 3: "https://b.gov/Bids.aspx", 4: "https://c.gov/Bids.aspx", 5: "https://d.gov/x"}
+    html = {1: listing, 2: "<p>sidewalk repair</p>", 3: "Bid Postings", 4: "nothing", 5: None}
+    out = pages.page_outcomes(spark.createDataFrame([(k, urls[k], html[k]) for k in urls], "page_id int, url string, html string"))
+    assert "_text" not in plan_of(out)
+    assert {r["reason"]: r["n"] for r in out.collect()} == {
+        "postings": 1, "for_extraction": 1, "civicplus_no_open_bids": 1, "civicplus_parse_miss": 1, "portal_no_niche_content": 1}
+
+
+def test_single_blanks_are_left_alone(spark):
+    rnd = random.Random(4)
+    signs = [" ", " ", "\t", "\n", " ", "　", "\x1c", "\x85", " ", "a", "b", "<", ">", "é", "x<y>z"]
+    d = spark.createDataFrame([("".join(rnd.choice(signs) for _ in range(20)),) for _ in range(500)] + [(None,)], "c string")
+    plain = lambda c: F.trim(F.regexp_replace(c, texts.WS + "+", " "))
+    tags = F.regexp_replace(texts.text("c"), "<[^>]+>", " ")
+    assert d.where((texts.collapse("c") != plain(texts.text("c"))) | (texts.clean("c") != plain(tags)) | texts.clean("c").isNull()).isEmpty()
+    assert spark.range(1).select(F.regexp_count(F.lit("one two three"), F.lit(texts.RUN))).first()[0] == 0
