@@ -299,3 +299,47 @@ def test_single_blanks_are_left_alone(spark):
     tags = F.regexp_replace(texts.text("c"), "<[^>]+>", " ")
     assert d.where((texts.collapse("c") != plain(texts.text("c"))) | (texts.clean("c") != plain(tags)) | texts.clean("c").isNull()).isEmpty()
     assert spark.range(1).select(F.regexp_count(F.lit("one two three"), F.lit(texts.RUN))).first()[0] == 0
+
+
+def test_all_pairs_of_a_search_in_one_task(spark, places):
+    """Ranked where they are made: the same ranks as over the shuffled pairs, and no shuffle after the join; ids that come again go the plain way."""
+    _, _, p, s = places
+    towns = p.select("point", "lat", "lon", F.concat(F.lit("T"), F.col("point") % 900).alias("city"), F.lit("MO").alias("state"))
+    near = radius.within_radius(s, towns, whole=True)
+    assert set(common.DEAL) <= set(near.columns)
+    rows = lambda df: collections.Counter(tuple(r) for r in df.select("search_id", "city", "rank").collect())
+    ranked = radius.nearest_k(near)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Window") < plan.index("SortMergeJoin") and "Exchange" not in plan[plan.index("Window"):plan.index("SortMergeJoin")]
+    assert rows(ranked) == rows(radius.nearest_k(radius.within_radius(s, towns)))
+    twice = radius.within_radius(s.unionByName(s), towns, whole=True)
+    assert not set(common.DEAL) & set(twice.columns)
+
+
+def test_whole_join_cuts_areas_by_their_pairs(spark):
+    rows = spark.range(40).select(F.col("id").alias("row"), (F.col("id") % 2).alias("_area"))
+    others = spark.range(60).select(F.col("id").alias("other"), (F.col("id") % 3).alias("_area"))
+    met = common.whole_join(rows, others, pairs_per_task=50)
+    assert sorted(tuple(r) for r in met.select("row", "other").collect()) == sorted((i, j) for i in range(40) for j in range(60) if i % 2 == j % 3)
+    assert met.groupBy("row").agg(F.countDistinct("_area", "_slice").alias("n")).agg(F.max("n")).first()[0] == 1
+    assert met.select("_slice").distinct().count() > 1
+    assert common.whole_join(rows, others, others_per_row=5) is None
+
+
+def test_what_a_search_covers_goes_along_with_it(spark, places):
+    _, _, p, s = places
+    towns = p.select(F.concat(F.lit("T"), "point").alias("city"), F.lit("MO").alias("state"), "lat", "lon")
+    portals = towns.select(F.concat(F.lower("city"), F.lit("|MO")).alias("city_key"), F.lit(0).alias("fail_count"))
+    all_ = radius.towns_in_reach(s, towns, portals)
+    done = all_.where("hash(city_key, search_id) % 3 = 0").select("search_id", "city_key").unionByName(spark.sql("select int(null) search_id, 't1|MO' city_key"))
+    key = ["search_id", "city_key"]
+    got = radius.towns_in_reach(s, towns, portals, done)
+    assert collections.Counter(got.select(*key).collect()) == collections.Counter(all_.select(*key).join(done, key, "left_anti").collect())
+
+
+def test_pairs_dealt_for_a_further_join_are_as_many_tasks_as_they_need(spark):
+    left = spark.range(300).select((F.col("id") % 5).alias("k"), F.col("id").alias("a"))
+    right = spark.range(300).select((F.col("id") % 5).alias("k"), F.col("id").alias("b"))
+    pairs = common.split_hot_join(left, right, ["k"], pairs_per_task=1000, where=F.col("a") > F.col("b"), by=["a"])
+    assert pairs.rdd.getNumPartitions() == 18
+    assert pairs.count() == sum(i > j for i in range(300) for j in range(300) if i % 5 == j % 5)
