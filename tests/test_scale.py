@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from noticegrid.functions import geo
 from noticegrid.functions import text as texts
 from noticegrid.operators import common, containment, pages, radius
-from noticegrid.plans import alerts
+from noticegrid.plans import alerts, discovery
 from noticegrid.sources import sinks
 from noticegrid.streaming import jobs
 
@@ -343,3 +343,37 @@ def test_pairs_dealt_for_a_further_join_are_as_many_tasks_as_they_need(spark):
     pairs = common.split_hot_join(left, right, ["k"], pairs_per_task=1000, where=F.col("a") > F.col("b"), by=["a"])
     assert pairs.rdd.getNumPartitions() == 18
     assert pairs.count() == sum(i > j for i in range(300) for j in range(300) if i % 5 == j % 5)
+
+
+def test_leads_are_ranked_where_their_pairs_are_made(spark):
+    """Parts of four leads: the ranks go on from part to part, over sources and areas; no pair is shuffled; ids that come again go the plain way."""
+    rnd = random.Random(8)
+    spots = {"Austin": (30.27, -97.74), "Cambridge": (42.37, -71.11), "Round Rock": (30.51, -97.68)}
+    sources = [(i, c, "TX", *at) for i, (c, at) in enumerate(spots.items())] + [(3, "Austin", "TX", 30.4, -97.7)]
+    searches = [(i, a + rnd.uniform(-0.7, 0.7), b + rnd.uniform(-0.7, 0.7), rnd.choice([5, 20, 40, 90])) for i, (a, b) in enumerate(list(spots.values()) * 8)] + [(99, None, -97.0, 50)]
+    leads = []
+    for i in range(160):
+        city = rnd.choice([*spots, "Nowhere"])
+        a, b = spots.get(city, (30.0, -97.0))
+        placed = (a + rnd.uniform(-0.5, 0.5), b + rnd.uniform(-0.5, 0.5)) if i % 3 else (None, None)
+        leads.append((f"P{i:03d}", f"P{i:03d}", city, "TX", rnd.choice(["1", "2"]), rnd.choice(["2001-07-01", "2001-07-02", "", None]), *placed, rnd.choice(["open", "builder", "unknown", "taken"])))
+    frames = (spark.createDataFrame(searches, "search_id long, lat double, lon double, radius int"),
+              spark.createDataFrame(leads, "permit_id string, seq string, city string, state string, zip string, issued_date string, lat double, lon double, lead_type string"),
+              spark.createDataFrame(sources, "source_ord int, city string, state string, lat double, lon double"), spark.createDataFrame([("1", 30.3, -97.7)], "zip string, lat double, lon double"))
+    want = []
+    for i, y, x, r in searches:
+        mine = []
+        for permit, seq, city, _, code, day, a, b, kind in leads:
+            a, b = (a, b) if a is not None else (30.3, -97.7) if code == "1" else (None, None)
+            for ord_, town, _, c, d in sources:
+                if y is not None and town == city and miles(y, x, c, d) <= r + 25 and (a is None or miles(y, x, a, b) <= r):
+                    mine.append((["open", "builder", "unknown", "taken"].index(kind), -int(day[-2:]) if day else -99, seq, ord_, permit))
+        want += [(i, permit, ord_, n) for n, (*_, ord_, permit) in enumerate(sorted(mine), 1)]
+    key = ["search_id", "permit_id", "source_ord", "rank"]
+    got = discovery.residential_leads(*frames, leads_per_part=4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[plan.index("Window"):plan.index("SortMergeJoin")]
+    assert want and sorted(tuple(r) for r in got.select(*key).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in discovery.residential_leads(*frames).select(*key).collect()) == sorted(want)
+    twice = discovery.residential_leads(frames[0].unionByName(frames[0].where("search_id = 3")), *frames[1:]).where("search_id <> 3")
+    assert sorted(tuple(r) for r in twice.select(*key).collect()) == sorted(w for w in want if w[0] != 3)
