@@ -377,3 +377,31 @@ def test_leads_are_ranked_where_their_pairs_are_made(spark):
     assert sorted(tuple(r) for r in discovery.residential_leads(*frames).select(*key).collect()) == sorted(want)
     twice = discovery.residential_leads(frames[0].unionByName(frames[0].where("search_id = 3")), *frames[1:]).where("search_id <> 3")
     assert sorted(tuple(r) for r in twice.select(*key).collect()) == sorted(w for w in want if w[0] != 3)
+
+
+def test_new_matches_by_signature_keep_the_rule_and_a_row_for_each_bid(spark, tmp_path):
+    """Bids and who meets their place apart: told as from single matches, also when the stream goes on later, for a search without id and a signature of two places."""
+    rnd = random.Random(7)
+    meets = spark.createDataFrame([(1, "a"), (2, "a"), (None, "a"), (2, "b"), (3, "b"), (4, "c"), (4, "c")], "search_id long, place string")
+    by_place = {"a": {1, 2, None}, "b": {2, 3}, "c": {4}}
+    told, store = collections.Counter(), {}
+    for number in range(6):
+        rows = [(p, f"{rnd.choice([p, 'x'])}{b}") for p in rnd.sample("abc", 2 if number != 3 else 1) for b in rnd.sample(range(8), 4)]
+        spark.createDataFrame(rows, "place string, sig string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        bids = spark.readStream.schema("place string, sig string").parquet(f"{tmp_path}/in")
+        jobs.matches_of_runs(bids, lambda b: (b, meets), "m", f"{tmp_path}/matches", str(tmp_path), together=["place"]).awaitTermination()
+        held = collections.defaultdict(set)
+        for place, sig in rows:
+            for s in by_place[place]:
+                held[s].add(sig)
+        for s, sigs in held.items():
+            told.update((s, number, x) for x in sigs - store.get(s, set()))
+            store[s] = sigs
+        if number in (2, 5):
+            matches = spark.readStream.schema("sig string, before bigint, searches array<bigint>, unnamed boolean, run bigint").parquet(f"{tmp_path}/matches")
+            jobs.start(jobs.new_matches_stream(matches), "n", str(tmp_path), mode="append", path=f"{tmp_path}/new").awaitTermination()
+    assert collections.Counter(tuple(r) for r in spark.read.parquet(f"{tmp_path}/new").select("search_id", "run", "sig").collect()) == told
+    state = jobs.current(spark, "n", str(tmp_path), "held").collect()
+    assert len(state) == len({r["sig"] for r in state}) == len({x for _, _, x in told})
+    many = {i * 97: 5 if i % 50 else 4 for i in range(2000)}
+    assert jobs.unpacked(jobs.packed(many | {None: 1})) == many | {None: 1} and len(jobs.packed(many)) < 2 * len(many)
