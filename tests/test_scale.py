@@ -405,3 +405,29 @@ def test_new_matches_by_signature_keep_the_rule_and_a_row_for_each_bid(spark, tm
     assert len(state) == len({r["sig"] for r in state}) == len({x for _, _, x in told})
     many = {i * 97: 5 if i % 50 else 4 for i in range(2000)}
     assert jobs.unpacked(jobs.packed(many | {None: 1})) == many | {None: 1} and len(jobs.packed(many)) < 2 * len(many)
+
+
+def test_signatures_of_a_part_are_read_and_written_at_once():
+    class Held:
+        rows, calls = [], []
+
+        def get(self):
+            self.calls.append("get")
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.calls.append("put")
+            self.rows = rows
+
+        def appendList(self, rows):
+            self.calls.append("appendList")
+            self.rows = self.rows + rows
+
+    told = jobs.NewForSearches()
+    told.held = Held()
+    row = lambda sig, run, before, searches: {"sig": sig, "run": run, "before": before, "searches": searches, "unnamed": False}
+    tell = lambda *rows: {(r["sig"], r["run"]): r["searches"] for r in told.handleInputRows((0,), iter(rows), None)}
+    assert len(tell(*[row(f"s{i}", 0, None, [1, 2]) for i in range(300)])) == 300 and told.held.calls == ["get", "appendList"]
+    assert tell(row("n", 1, 0, [1])) == {("n", 1): [1]} and told.held.calls[2:] == ["get", "appendList"]
+    assert tell(row("s1", 1, 0, [2, 3]), row("s2", 2, 1, [1]), row("s2", 1, 0, [1])) == {("s1", 1): [3]} and told.held.calls[4:] == ["get", "put"]
+    assert len(told.held.rows) == 301 and jobs.unpacked(dict(told.held.rows)["s1"]) == {1: 0, 2: 1, 3: 1}
