@@ -1,5 +1,6 @@
 """Operators and jobs on small inputs: brute-force comparisons, invariants, golden rows."""
 
+import collections
 import math
 import random
 
@@ -296,3 +297,43 @@ def test_matches_are_not_written_and_ranks_hold_for_labels_that_are_alike(spark)
     assert len([r for r in got if r.search_id == 1]) == 36
     one = scan.scan(searches.where("search_id = 1"), scan.prepare(bids.where("bid_id < 100"), gaz, reg, NOW()))
     assert "pairs-" not in " ".join(one.inputFiles()) and one.count() == 30
+
+
+def test_matches_apart_tell_what_single_matches_tell(spark):
+    """Also for places of several points, searches without an id or with one that comes again, and a bid that is there twice; nothing is kept by (search, place)."""
+    rows = [bid(i, "Springfield" if i % 3 else "Aurora", title=f"Curb {i % 50}" if i % 7 else "", url="u" if i % 14 == 0 else f"https://x.gov/{i}") for i in range(90)]
+    rows += [bid(200 + i, "Greene County", title=f"Ramp {i}", fallback_lat=37.2 + (i % 2) / 10) for i in range(6)] + [bid(5, "Springfield", title="Curb 5")]
+    bids, gaz, reg = frames(spark, rows)
+    centres = [(i, 37.2, -93.3, "MO" if i % 2 else "AR", 60 if i % 3 else 5) for i in range(12)] + [(None, 37.2, -93.3, "MO", 60), (3, 37.0, -93.7, "MO", 60)]
+    searches = spark.createDataFrame(centres, "search_id int, lat double, lon double, state string, radius int")
+    prepared = scan.prepare(bids, gaz, reg, NOW())
+    single, apart = scan.scan(searches, prepared), scan.scan(searches, prepared, apart=True)
+    seen = alerts.current_signatures(single).where("bid_id % 4 = 0").select("search_id", "sig")
+    assert same_rows(alerts.current_signatures(apart).where("bid_id % 4 = 0").pairs("sig"), seen)
+    want, got = alerts.alerts(single, prepared, seen), alerts.alerts(apart, prepared, seen)
+    assert want["new"].where("search_id is null").count() and want["new"].count() < want["current"].count()
+    for part in ("new", "digest", "seen"):
+        assert same_rows(got[part], want[part]), part
+    assert same_rows(got["current"].pairs("label", "bid_id", "sig"), want["current"])
+    own = single.where("search_id = 1")
+    assert sorted(alerts.seen_after(got["current"], 9).where("search_id = 1").collect()) == sorted(alerts.seen_after(alerts.current_signatures(own), 9).collect())
+    few = scan.scan(searches.where("search_id = 1"), scan.prepare(bids.where("bid_id < 100"), gaz, reg, NOW()))
+    assert few.count() and not [f for f in few.inputFiles() if "/near-" in f or "/pairs-" in f]
+
+
+def same_rows(left, right):
+    columns = sorted(set(left.columns) & set(right.columns))
+    rows = lambda df: collections.Counter(tuple(r) for r in df.select(*columns).collect())
+    return len(columns) > 1 and rows(left) == rows(right)
+
+
+def test_columns_that_matches_carry_are_not_joined_again(spark):
+    bids, gaz, reg = frames(spark, [bid(i, "Springfield", title=f"Curb {i}", phone="555" if i % 2 else "") for i in range(20)])
+    details = bids.select("url", *[F.lit("417" if c == "phone" else "").alias(c) for c in bid_ops.DETAIL_FIELDS], F.lit(False).alias("addenda"), F.array(F.lit("d")).alias("documents"))
+    searches = spark.createDataFrame([(1, 37.2, -93.3, "MO", 60)], "search_id int, lat double, lon double, state string, radius int")
+    prepared = scan.prepare(bids, gaz, reg, NOW(), details=details)
+    carried = scan.attach(scan.scan(searches, prepared, columns=["phone"]), prepared, ["phone"])
+    assert same_rows(carried, scan.attach(scan.scan(searches, prepared), prepared, ["phone"])) and not [f for f in carried.inputFiles() if "/prepared-" in f]
+    twice = scan.prepare(bids.unionByName(bids.where("bid_id = 3").withColumns({"title": F.lit("Other"), "phone": F.lit("777")})), gaz, reg, NOW(), details=details)
+    matches = scan.scan(searches, twice, columns=["phone"])
+    assert same_rows(scan.attach(matches, twice, ["phone"]), scan.attach(scan.scan(searches, twice), twice, ["phone"]))
